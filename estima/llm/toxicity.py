@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
 #: The bounds of what the classifier is fitted on: rows of confirmed toxic text, of unlabelled text, and features.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 5000, 20000, 4096
 THRESHOLD = 0.3
@@ -22,47 +25,67 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features(text: str) -> set[str]:
-    """The distinct words of a text in lower case (behind a =) and their beginnings (behind a ^)."""
-    out = set()
-    for word in set(WORDS.findall(text.lower())):
-        out.add("=" + word)
+def features(text: str) -> tuple[Counter[str], int]:
+    """(how often each word in lower case, behind a =, and each beginning of words, behind a ^, occurs; words)."""
+    words, out = Counter(WORDS.findall(text.lower())), Counter()
+    for word, n in words.items():
+        out["=" + word] += n
         for k in PREFIXES:
             if len(word) >= k:
-                out.add("^" + word[:k])
-    return out
+                out["^" + word[:k]] += n
+    return out, sum(words.values())
 
 
-def nnpu(x_rows: np.ndarray, x_cols: np.ndarray, positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic classifier over sparse 0/1 features, fitted by the non-negative risk estimator
+def value(count: float, n_words: int) -> float:
+    """What a feature of so many places counts in a text of so many words: chance finds grow with the length, their
+    spread with its root."""
+    return 5 * count / math.sqrt(n_words + 10)
 
-        prior * mean over positives of loss(+) + max(0, mean over unlabelled of loss(-) - prior * mean over positives of loss(-)).
 
-    Where the second part is below 0 the step goes against its gradient, which undoes over-fitting of unlabelled rows.
-    x_rows, x_cols: the ones of the matrix; positive: by row, whether it is confirmed, else it is unlabelled.
+def length(n_words: int) -> float:
+    return math.log1p(n_words) - 5
+
+
+class Model(NamedTuple):
+    weights: dict[str, float]
+    bias: float
+    by_length: float
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def nnpu(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, more: np.ndarray, positive: np.ndarray, width: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, those of the dense columns) of a linear classifier, fitted by the non-negative risk estimator
+
+        prior * mean over positives of loss(+) + max(0, mean over unlabelled of loss(-) - prior * mean over positives of loss(-))
+
+    with the sigmoid loss, which is bounded. Where the second part is below 0 the step goes against its gradient,
+    which undoes over-fitting of unlabelled rows. rows, columns, values: the sparse matrix; more: dense columns, the
+    first of ones; positive: by row, whether it is confirmed, else it is unlabelled.
     """
-    n = len(positive)
-    w, b = np.zeros(width), np.log(prior / (1 - prior))
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
+    n, k = len(positive), more.shape[1]
+    w, e = np.zeros(width), np.zeros(k)
+    e[0] = math.log(prior / (1 - prior))
+    m, v = np.zeros(width + k), np.zeros(width + k)
     p, u = positive, ~positive
     n_p, n_u = max(1, p.sum()), max(1, u.sum())
     for step in range(1, steps + 1):
-        z = np.bincount(x_rows, w[x_cols], n) + b
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        soft = np.logaddexp(0, z)  # the loss of calling it negative
-        negative = soft[u].sum() / n_u - prior * soft[p].sum() / n_p
-        g_positive = np.where(p, prior * (s - 1) / n_p, 0)
-        g_negative = np.where(u, s / n_u, -prior * s / n_p)
-        g = g_positive + g_negative if negative >= 0 else -g_negative
-        grad = np.append(np.bincount(x_cols, g[x_rows], width) + decay * w, g.sum())
+        s = sigmoid(np.bincount(rows, w[columns] * values, n) + more @ e)
+        slope = s * (1 - s)
+        negative = s[u].sum() / n_u - prior * s[p].sum() / n_p
+        g_negative = np.where(u, slope / n_u, -prior * slope / n_p)
+        g = np.where(p, -prior * slope / n_p, 0) + g_negative if negative >= 0 else -g_negative
+        grad = np.concatenate([np.bincount(columns, g[rows] * values, width) + decay * w, more.T @ g])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        w, e = w - move[:width], e - move[width:]
+    return w, e
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", prior: float | None = None, seed: int = 0) -> tuple[dict[str, float], float]:
-    """({feature: weight}, bias), learnt from labels of rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", prior: float | None = None, seed: int = 0) -> Model:
+    """A model learnt from labels of rows that are not held out.
 
     At most MAX_POSITIVE confirmed rows and MAX_UNLABELLED others, those of smallest seeded hash of the id, are
     read; their features are counted by a distributed aggregate, the MAX_FEATURES that most favour confirmed rows
@@ -84,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             names: list[str] = []
             marks: list[bool] = []
             for i, (text, p) in enumerate(zip(batch.column(0), batch.column(1).to_pylist()), 1):
-                own = features(text.as_py())
+                own = features(text.as_py())[0]
                 names += own
                 marks += [p] * len(own)
                 if len(names) > 100_000 or i == len(batch):
@@ -93,56 +116,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     n_p, n_u = sample.agg(F.count_if("p"), F.count_if(~F.col("p"))).first()
     if not n_p or not n_u:
-        return {}, float(np.log(prior / (1 - prior)))
+        return Model({}, math.log(prior / (1 - prior)), 0.0)
     counts = sample.mapInArrow(listed, "f string, p boolean").groupBy("f").agg(F.count_if("p").alias("k"), F.count_if(~F.col("p")).alias("n")).where("k >= 3")
     in_p, in_u = (F.col("k") + 0.5) / (n_p + 1), (F.col("n") + 0.5) / (n_u + 1)
     best = counts.withColumn("lift", in_p / in_u).where("lift >= 2.5").orderBy(F.desc(F.col("k") * F.log("lift")), "f").limit(MAX_FEATURES).select("f").toPandas()["f"]
     names = sorted(best)
     if not names:
-        return {}, float(np.log(prior / (1 - prior)))
+        return Model({}, math.log(prior / (1 - prior)), 0.0)
     number = {f: i for i, f in enumerate(names)}
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(number[f] for f in features(t) if f in number) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["x", "p"])
+            x, values, n = [], [], []
+            for text in batch.column(0):
+                found, words = features(text.as_py())
+                own = sorted((number[f], value(c, words)) for f, c in found.items() if f in number)
+                x.append([i for i, _ in own])
+                values.append([a for _, a in own])
+                n.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(n, pa.int64()), batch.column(1)], names=["x", "v", "n", "p"])
 
     # Ordered, so that the sums, and with them the weights, come out the same whatever the order of tasks.
-    rows = sorted(sample.mapInArrow(numbers, "x array<int>, p boolean").toPandas().itertuples(index=False), key=lambda r: (r.p, list(r.x)))
-    x = [np.asarray(r.x, np.int64) for r in rows]
-    weights, bias = nnpu(np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x) if x else np.zeros(0, np.int64), np.array([r.p for r in rows], bool), len(names), prior)
-    return {f: float(w) for f, w in zip(names, weights) if w}, bias
-
-
-def score_text(text: str | None, weights: dict[str, float], bias: float) -> float:
-    z = bias + sum(sorted(weights[f] for f in features(text or "") if f in weights))
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def score(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = sorted(sample.mapInArrow(numbers, "x array<int>, v array<double>, n long, p boolean").toPandas().itertuples(index=False), key=lambda r: (r.p, r.n, list(r.x), list(r.v)))
+    flat = lambda parts, kind: np.concatenate([np.asarray(x, kind) for x in parts])
+    at = np.repeat(np.arange(len(rows)), [len(r.x) for r in rows])
+    more = np.array([[1.0, length(r.n)] for r in rows])
+    weights, (bias, by_length) = nnpu(at, flat([r.x for r in rows], np.int64), flat([r.v for r in rows], float), more, np.array([r.p for r in rows], bool), len(names), prior)
+    return Model({f: float(w) for f, w in zip(names, weights) if w}, float(bias), float(by_length))
+
+
+def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
+    words = {f[1:]: w for f, w in model.weights.items() if f[0] == "="}
+    starts = {k: {f[1:]: w for f, w in model.weights.items() if f[0] == "^" and len(f) == k + 1} for k in PREFIXES}
+    z = np.empty(len(texts))
+    for i, text in enumerate(texts):
+        counts = Counter(WORDS.findall((text or "").lower()))
+        n, found = sum(counts.values()), []
+        for word, count in counts.items():
+            weight = words.get(word, 0.0)
+            for k, own in starts.items():
+                if len(word) >= k:
+                    weight += own.get(word[:k], 0.0)
+            if weight:
+                found.append(weight * count)
+        z[i] = model.bias + model.by_length * length(n) + value(math.fsum(found), n)
+    return sigmoid(z)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, then __score (0 to 1) and __predicted (1 if the score reaches the threshold, else 0).
 
-    The whole of every text counts, by its distinct words and their beginnings, and nothing but the text. A null
+    The whole of every text counts, by its words and their beginnings, and nothing but the text. A null
     text scores like an empty one: by the bias alone. Rows keep their number and may repeat; columns of any name
     stay; an empty table gives an empty table; without confirmed rows all score the prior.
     """
-    weights, bias = model
-    words = {f[1:]: w for f, w in weights.items() if f[0] == "="}
-    starts = {k: {f[1:]: w for f, w in weights.items() if f[0] == "^" and len(f) == k + 1} for k in PREFIXES}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = np.full(len(batch), bias)
-            for i, text in enumerate(batch):
-                found: dict[str, float] = {}
-                for word in set(WORDS.findall((text.as_py() or "").lower())):
-                    if word in words:
-                        found["=" + word] = words[word]
-                    for k, own in starts.items():
-                        if len(word) >= k and (at := word[:k]) in own:
-                            found["^" + at] = own[at]
-                out[i] += sum(sorted(found.values()))
-            yield pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))), pa.float64())
+            yield pa.array(score_texts(batch.to_pylist(), model), pa.float64())
 
     scorer = F.arrow_udf(run, "double")
     return docs.withColumn("__score", scorer(F.col(text_col))).withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
