@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, licenses, mixing, sharding, topk, toxicity, warc
+from . import bpe, html_text, licenses, mixing, ngram_join, sharding, topk, toxicity, warc
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = [f"shard-{i:02d}" for i in range(40)]
@@ -58,6 +58,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep_ids=False)
 
@@ -67,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_topk, op4_mixing, op5_sharding, op6_html, op7_toxicity, op9_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op1_warc, op2_topk, op4_mixing, op5_sharding, op6_html, op7_toxicity, op8_ngram_join, op9_bpe, op10_licenses)}
 
 
 OP1_SQL = """
@@ -137,5 +141,21 @@ SELECT d.*, 'shard-' || lpad(CAST(slots[slot + 1] AS VARCHAR), 2, '0') AS shard
 """
 
 
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, CAST(len(ws) - 3 AS BIGINT)), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))
+    WHEN len(ws) > 0 THEN [len(ws) || '|' || list_aggregate(ws, 'string_agg', ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS c FROM r GROUP BY node) m ON m.node = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op4_mixing": _op4_sql(), "op5_sharding": _op5_sql()}
+    return {"op8_ngram_join": OP8_SQL, "op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op4_mixing": _op4_sql(), "op5_sharding": _op5_sql()}
