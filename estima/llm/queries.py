@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, licenses, mixing, ngram_join, sharding, topk, toxicity, warc
+from . import bpe, html_text, licenses, media, mixing, ngram_join, sharding, topk, toxicity, warc
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 SHARDS = [f"shard-{i:02d}" for i in range(40)]
@@ -37,6 +37,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.find_copies(media.pictures_of(table(spark, sf_dir, "embeddings")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
@@ -71,7 +75,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_topk, op4_mixing, op5_sharding, op6_html, op7_toxicity, op8_ngram_join, op9_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op1_warc, op2_topk, op3_media, op4_mixing, op5_sharding, op6_html, op7_toxicity, op8_ngram_join, op9_bpe, op10_licenses)}
 
 
 OP1_SQL = """
@@ -158,4 +162,4 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_ngram_join": OP8_SQL, "op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op4_mixing": _op4_sql(), "op5_sharding": _op5_sql()}
+    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op4_mixing": _op4_sql(), "op5_sharding": _op5_sql(), "op8_ngram_join": OP8_SQL}
