@@ -18,53 +18,71 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Opening or characteristic passages of license texts and notices, by label, with the phrases that
-# each must hold to count. Lower case, words as WORD finds them.
+# Opening or characteristic passages of license texts and notices, by name: the label, the
+# passage and the phrases that a place must hold to count. Lower case, words as WORD finds them.
 TEMPLATES = {
-    "mit": (
+    "mit text": (
+        "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
         ["permission is hereby granted free of charge"],
     ),
-    "apache-2": (
+    "apache-2 text": (
+        "apache-2",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
         ["apache license version 2", "in compliance with the license"],
     ),
-    "bsd": (
+    "bsd text": (
+        "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         ["redistribution and use in source and binary forms"],
     ),
-    "gpl": (
+    "gpl text": (
+        "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
         ["gnu general public license"],
     ),
-    "lgpl": (
+    "lgpl text": (
+        "lgpl",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
         ["gnu lesser general public license"],
     ),
-    "mpl-2": (
+    "mpl-2 text": (
+        "mpl-2",
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
         ["mozilla public license"],
     ),
-    "cc-by": (
+    "cc-by text": (
+        "cc-by",
         "this work is licensed under a creative commons attribution 4 0 international license",
         ["creative commons attribution"],
     ),
-    "cc-by-nc": (
+    "cc-by-nc text": (
+        "cc-by-nc",
         "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
         ["creative commons attribution noncommercial"],
     ),
-    "cc0": (
+    "cc0 text": (
+        "cc0",
         "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
         ["waived all copyright and related or neighboring rights"],
     ),
-    "isc": (
+    "isc text": (
+        "isc",
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
         ["permission to use copy modify and or distribute this software"],
     ),
-    "unlicense": (
+    "unlicense text": (
+        "unlicense",
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
         ["free and unencumbered software released into the public domain"],
     ),
+    "mit notice": ("mit", "released under the mit license", ["mit license"]),
+    "apache-2 notice": ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
+    "gpl-3 notice": ("gpl-3", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    "gpl-2 notice": ("gpl-2", "this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+    "cc-by-nc notice": ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
+    "cc-by notice": ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
+    "cc-by-sa notice": ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
 }
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,54 +97,63 @@ class Index:
     """Postings (template, position) of the templates' words, and the rarest words by which a file is looked up."""
 
     def __init__(self, idf: dict[bytes, float], templates: dict, rare_words: int, min_match: float, slack: int):
+        self.label = {k: label for k, (label, _, _) in templates.items()}
         self.idf, self.min_match, self.rare_words, self.slack = idf, min_match, rare_words, slack
-        self.bodies = {k: text.encode().split() for k, (text, _) in templates.items()}
-        self.phrases = {k: [p.encode().split() for p in phrases] for k, (_, phrases) in templates.items()}
+        self.bodies = {k: text.encode().split() for k, (_, text, _) in templates.items()}
+        self.phrases = {k: [p.encode().split() for p in phrases] for k, (_, _, phrases) in templates.items()}
         self.postings = defaultdict(list)
-        for label, body in self.bodies.items():
+        for name, body in self.bodies.items():
             for at, word in enumerate(body):
-                self.postings[word].append((label, at))
+                self.postings[word].append((name, at))
         self.weight = {k: sum(idf[w] for w in body) for k, body in self.bodies.items()}
+        self.needed = {k: {w for p in phrases for w in p} for k, phrases in self.phrases.items()}
         self.base = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
-        self.last = {p[-1] for p, _ in self.base}
         rare = sorted(self.postings, key=lambda w: (-idf[w], w))
         self.rank = {w: i for i, w in enumerate(rare)}
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str], dict[str, float]]:
         """(places of base phrases, first, last, their labels, {label of the index: share of its weight found})."""
+        own = set(words)
+        phrases = [(p, label) for p, label in self.base if own.issuperset(p)]
+        # Only a template whose mandatory words, and words of enough weight, stand somewhere in the file can match.
+        names = [k for k, need in self.needed.items() if need <= own and sum(self.idf[w] for w in self.bodies[k] if w in own) >= self.min_match * self.weight[k]]
+        if not phrases and not names:
+            return 0, None, None, set(), {}
+        wanted = {p[-1] for p, _ in phrases}.union(*(self.bodies[k] for k in names))
         at = defaultdict(list)
         for i, word in enumerate(words):
-            if word in self.postings or word in self.last:
+            if word in wanted:
                 at[word].append(i)
-        if not at:
-            return 0, None, None, set(), {}
         places, base = [], set()
-        for phrase, label in self.base:
+        for phrase, label in phrases:
             k = len(phrase)
-            # Overlapping places count too; the phrase's last word is its rarest.
-            found = [i - k + 1 for i in at.get(phrase[-1], ()) if i + 1 >= k and words[i - k + 1 : i + 1] == phrase]
+            found = [i - k + 1 for i in at[phrase[-1]] if i + 1 >= k and words[i - k + 1 : i + 1] == phrase]
             places += found
             base |= {label} if found else set()
-        return len(places), min(places, default=None), max(places, default=None), base, self._templates(words, at)
-
-    def _templates(self, words: list[bytes], at: dict[bytes, list[int]]) -> dict[str, float]:
-        seeds = sorted((w for w in at if w in self.postings), key=self.rank.__getitem__)[: self.rare_words]
-        starts = defaultdict(float)  # by template and where it would begin, the weight of the seeds that agree
-        for word in seeds:
-            for label, offset in self.postings[word]:
-                for i in at[word]:
-                    starts[label, i - offset] += self.idf[word]
+        return len(places), min(places, default=None), max(places, default=None), base, self._templates(words, at, names)
+
+    def _templates(self, words: list[bytes], at: dict[bytes, list[int]], names: list[str]) -> dict[str, float]:
         out: dict[str, float] = {}
-        best: dict[tuple[str, int], float] = {}
-        for (label, start), weight in starts.items():
-            best[label, start // (self.slack + 1)] = max(best.get((label, start // (self.slack + 1)), 0.0), weight)
-        tried = {(label, start) for (label, start), w in starts.items() if w >= best[label, start // (self.slack + 1)]}
-        for label, start in tried:
-            body = self.bodies[label]
-            near = words[max(0, start - self.slack) : max(0, start + len(body) + self.slack)]
-            share = self._share(body, words, start) / self.weight[label]
-            if share >= self.min_match and share > out.get(label, 0.0) and all(_holds(near, p) for p in self.phrases[label]):
-                out[label] = share
+        for template in names:
+            label = self.label[template]
+            seeds = sorted(set(self.bodies[template]).intersection(at), key=self.rank.__getitem__)[: self.rare_words]
+            starts = defaultdict(float)  # by where the template would begin, the weight of the seeds that agree
+            for word in seeds:
+                for name, offset in self.postings[word]:
+                    if name == template:
+                        for i in at[word]:
+                            starts[i - offset] += self.idf[word]
+            best = defaultdict(float)
+            for start, weight in starts.items():
+                best[start // (self.slack + 1)] = max(best[start // (self.slack + 1)], weight)
+            body = self.bodies[template]
+            # A place where less than half of the seeds' weight agrees is no copy of the template.
+            enough = sum(self.idf[w] for w in seeds) / 2
+            for start in sorted(x for x, w in starts.items() if w >= max(enough, best[x // (self.slack + 1)])):
+                near = words[max(0, start - self.slack) : max(0, start + len(body) + self.slack)]
+                share = self._share(body, words, start) / self.weight[template]
+                if share >= self.min_match and share > out.get(label, 0.0) and all(_holds(near, p) for p in self.phrases[template]):
+                    out[label] = share
         return out
 
     def _share(self, body: list[bytes], words: list[bytes], start: int) -> float:
@@ -146,7 +173,7 @@ def _holds(words: list[bytes], phrase: list[bytes]) -> bool:
 
 def document_frequencies(docs: DataFrame, text_col: str, templates: dict) -> tuple[int, dict[bytes, int]]:
     """(rows, in how many of them each word of the templates occurs): a table as large as the templates' vocabulary."""
-    vocabulary = {w for text, _ in templates.values() for w in text.encode().split()}
+    vocabulary = {w for _, text, _ in templates.values() for w in text.encode().split()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, seen = 0, defaultdict(int)
@@ -177,7 +204,7 @@ def scan(docs: DataFrame, templates: dict | None = None, rare_words: int = 12, m
     """
     templates = templates or TEMPLATES
     rows, counts = document_frequencies(docs, text_col, templates)
-    idf = {w: math.log((1 + rows) / (1 + counts.get(w, 0))) + 1 for text, _ in templates.values() for w in text.encode().split()}
+    idf = {w: math.log((1 + rows) / (1 + counts.get(w, 0))) + 1 for _, text, _ in templates.values() for w in text.encode().split()}
     names = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
 
