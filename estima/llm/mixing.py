@@ -52,9 +52,9 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float = 0.6, max_epochs: int = 2, seed: int = 1, bucket_digits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float = 0.6, max_epochs: int = 2, seed: int = 1, digits: tuple[int, ...] = (2, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs chosen to meet the weights, once for every epoch that takes them: all columns of docs,
-    then the levels as __l1, __l2, ..., __tokens (null unless asked of words below) and __epoch (from 0).
+    then the levels as __l1, __l2, ... and __epoch (from 0).
 
     total is share of all words, rounded down. A leaf of t words and budget b gives b // t whole epochs and, of
     the next epoch, the longest prefix of its seeded permutation with at most b % t words; rows with equal keys
@@ -62,8 +62,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     have no words and come with their epoch or prefix, a leaf without words gives nothing, and an empty table
     gives an empty table.
 
-    The permutation of a leaf is never sorted in one task: words are summed by leaf and leading hash digits, the
-    sums are accumulated, and only the one bucket in which the budget ends is ordered row by row. Texts are not
+    The permutation of a leaf is never sorted in one task: words are summed by leaf and the first of the
+    key's hex digits, the sums are accumulated, the one bucket in which the budget ends is summed by further digits,
+    and only what is left, one part in 65,536, is ordered row by row. Texts are not
     shuffled; the budgets (one row a leaf) are joined by broadcast after their rows are counted.
     """
     names = [f"__l{i}" for i in range(1, len(levels) + 1)]
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     n_leaves, total = leaves.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     by_level = {n: weights.get(level, {}) for n, level in zip(names, levels)}
     plan = written(budgets(leaves, names, by_level, int(total * share), max_epochs).where("budget > 0").select(*names, F.expr("budget div tokens").alias("__whole"), F.expr("budget % tokens").alias("__rest")))
-    cut = _cuts(slim, plan, names, n_leaves, seed, bucket_digits)
+    cut = _cuts(slim, plan, names, n_leaves, seed, digits)
     plan = written(plan.join(cut, names, "left"))
     out = join_small(keyed, plan, names, n_leaves)
     taken = F.col("__whole") + F.when(order_key(F.col(id_col), F.col("__whole"), seed) <= F.col("__cut"), 1).otherwise(0)
@@ -81,15 +82,21 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *names, "__epoch")
 
 
-def _cuts(slim: DataFrame, plan: DataFrame, names: list[str], n_leaves: int, seed: int, digits: int) -> DataFrame:
-    """(names, __cut): of each leaf with a part of an epoch, the last key that the part holds."""
-    rows = join_small(slim, plan.where("__rest > 0"), names, n_leaves).withColumn("__key", order_key(F.col("__id"), F.col("__whole"), seed))
-    rows = rows.withColumn("__bucket", F.substring("__key", 1, digits))
-    sums = rows.groupBy(*names, "__bucket", "__rest").agg(F.sum("__tokens").alias("__s"))
-    run = Window.partitionBy(*names).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = sums.withColumn("__to", F.sum("__s").over(run)).where("__to > __rest").groupBy(*names).agg(F.min(F.struct("__bucket", (F.col("__rest") - F.col("__to") + F.col("__s")).alias("__left"))).alias("__at"))
-    last = last.select(*names, F.col("__at.__bucket").alias("__bucket"), F.col("__at.__left").alias("__left"))
-    inner = join_small(rows.drop("__rest"), last, [*names, "__bucket"], n_leaves)
+def _cuts(slim: DataFrame, plan: DataFrame, names: list[str], n_leaves: int, seed: int, digits: tuple[int, ...]) -> DataFrame:
+    """(names, __cut): of each leaf with a part of an epoch, the last key that the part holds. Each round narrows the
+    place where the budget ends to one bucket of the round before, by sums over its 256 or so parts."""
+    rows = join_small(slim, plan.where("__rest > 0").select(*names, "__whole"), names, n_leaves).withColumn("__key", order_key(F.col("__id"), F.col("__whole"), seed)).select(*names, "__key", "__tokens")
+    at = plan.where("__rest > 0").select(*names, F.lit("").alias("__at"), F.col("__rest").alias("__left"))
+    for n, width in enumerate(digits):
+        if n:
+            rows = rows.withColumn("__at", F.substring("__key", 1, digits[n - 1]))
+        own = join_small(rows, at, [*names, "__at"] if n else names, n_leaves).withColumn("__part", F.substring("__key", 1, width))
+        sums = own.groupBy(*names, "__part", "__left").agg(F.sum("__tokens").alias("__s"))
+        run = Window.partitionBy(*names).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ends = sums.withColumn("__to", F.sum("__s").over(run)).where("__to > __left").groupBy(*names)
+        at = ends.agg(F.min(F.struct("__part", (F.col("__left") - F.col("__to") + F.col("__s")).alias("__l"))).alias("__f"))
+        at = written(at.select(*names, F.col("__f.__part").alias("__at"), F.col("__f.__l").alias("__left")))
+    inner = join_small(rows.withColumn("__at", F.substring("__key", 1, digits[-1])), at, [*names, "__at"], n_leaves)
     peers = Window.partitionBy(*names).orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = inner.withColumn("__to", F.sum("__tokens").over(peers))
-    return inner.groupBy(*names, "__bucket").agg(F.max(F.when(F.col("__to") <= F.col("__left"), F.col("__key"))).alias("__k")).select(*names, F.coalesce("__k", "__bucket").alias("__cut"))
+    inner = inner.withColumn("__to", F.sum("__tokens").over(peers)).groupBy(*names).agg(F.max(F.when(F.col("__to") <= F.col("__left"), F.col("__key"))).alias("__k"))
+    return at.join(inner, names, "left").select(*names, F.coalesce("__k", "__at").alias("__cut"))
