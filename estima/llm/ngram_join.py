@@ -58,11 +58,19 @@ def _signature(grams: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(digest, np.int64).tolist())
 
 
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """A bit map of the set, each n-gram flipping one of 2,048 bits, of 16,384 for large sets. Maps of two sets differ in
+    no more bits than the sets have n-grams of their own."""
+    bits = 11 if len(grams) <= 2048 else 14
+    flips = np.bincount((grams & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(flips.astype(bool)).view(np.int64)
+
+
 def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """(a row (doc_id, n, s1, s2) for each document, with the two halves of its set's signature; the counters of
-    how often n-grams occur, summed by task and block)."""
-    names = ["doc_id", "n", "s1", "s2", "block", "part", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    """(a row (doc_id, n, s1, s2, bits) for each document, with the two halves of its set's signature and its bit
+    map; the counters of how often n-grams occur, summed by task and block)."""
+    names = ["doc_id", "n", "s1", "s2", "bits", "block", "part", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
@@ -70,21 +78,21 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             rows, held = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = shingles(text.as_py(), words)
-                rows.append((key, len(grams), *_signature(grams)))
+                rows.append((key, len(grams), *_signature(grams), _parity(grams)))
                 held.append((grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64))
             if rows:
                 counts += np.bincount(np.concatenate(held), minlength=1 << ORDER_BITS)
                 none = [None] * len(rows)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), *(pa.array(none, t) for t in types[4:])], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), *(pa.array(none, t) for t in types[5:])], names=names)
         part, blocks = TaskContext.get().partitionId(), counts.reshape(-1, BLOCK)
         some = [i for i in range(len(blocks)) if blocks[i].any()]
         for at in range(0, len(some), 32):
             own = some[at : at + 32]
             none = [None] * len(own)
-            yield pa.RecordBatch.from_arrays([*(pa.array(none, t) for t in types[:4]), pa.array(own, types[4]), pa.array([part] * len(own), types[5]), pa.array([blocks[i] for i in own], types[6])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(none, t) for t in types[:5]), pa.array(own, types[5]), pa.array([part] * len(own), types[6]), pa.array([blocks[i] for i in own], types[7])], names=names)
 
-    both = written(docs.select("doc_id", F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, block int, part int, counts array<long>"))
-    return both.where("block IS NULL").select("doc_id", "n", "s1", "s2"), both.where("block IS NOT NULL").select("block", "part", "counts")
+    both = written(docs.select("doc_id", F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits array<long>, block int, part int, counts array<long>"))
+    return both.where("block IS NULL").select("doc_id", "n", "s1", "s2", "bits"), both.where("block IS NOT NULL").select("block", "part", "counts")
 
 
 def _order(counts: DataFrame) -> np.ndarray:
@@ -102,13 +110,14 @@ def _order(counts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(gram, salt, salted, at, n, s1, s2): the n-grams of each set, rarest first, of which a set that overlaps
-    enough must hold one among its own; at is the place in that order. A task gives each set once."""
+    """(gram, salt, at, n, s1): the n-grams of each set, rarest first, of which a set that overlaps enough must hold
+    one among its own; at is the place in that order. A task gives each set once. salt is -1 but for n-grams whose
+    counter is far above the others."""
     level = np.round(8 * np.log2(1 + counts)).astype(np.uint8)
     mean = max(1.0, counts.mean())
     salts = np.where(counts > 16 * mean + HOT_ROWS, np.ceil((counts - mean) / HOT_ROWS), 1).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast((level, salts if salts.max() > 1 else None))
-    names = ["gram", "salt", "salted", "at", "n", "s1", "s2"]
+    names = ["gram", "salt", "at", "n", "s1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, own_salts = shared.value
@@ -119,11 +128,11 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
         def pack() -> pa.RecordBatch:
             grams = np.concatenate([p[0] for p in parts])
             k = [len(p[0]) for p in parts]
-            spread = [np.repeat(np.array([p[i] for p in parts], np.int64), k) for i in (1, 2, 3)]
+            spread = [np.repeat(np.array([p[i] for p in parts], np.int64), k) for i in (1, 2)]
             at = np.concatenate([np.arange(x, dtype=np.int32) for x in k])
             n_salts = np.ones(len(grams), np.int32) if own_salts is None else own_salts[(grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-            salt = (spread[1] % n_salts).astype(np.int32)
-            columns = [grams.view(np.int64), salt, n_salts > 1, at, spread[0].astype(np.int32), spread[1], spread[2]]
+            salt = np.where(n_salts > 1, spread[1] % n_salts, -1).astype(np.int32)
+            columns = [grams.view(np.int64), salt, at, spread[0].astype(np.int32), spread[1]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         for batch in batches:
@@ -139,7 +148,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
                 first = n - -(-percent * n // 100) + 1
                 rank = levels[(grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 # grams are sorted, so a stable sort by level is the order by (level, gram)
-                parts.append((grams[np.argsort(rank, kind="stable")[:first]], n, *key))
+                parts.append((grams[np.argsort(rank, kind="stable")[:first]], n, key[0]))
                 size += first
                 if size > 100_000:
                     yield pack()
@@ -147,7 +156,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
         if parts:
             yield pack()
 
-    return docs.select(F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "gram long, salt int, salted boolean, at int, n int, s1 long, s2 long")
+    return docs.select(F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "gram long, salt int, at int, n int, s1 long")
 
 
 def _may(n: Column, at: Column, m: Column, bt: Column, percent: int) -> Column:
@@ -177,14 +186,20 @@ def _segments(docs: DataFrame, ids: DataFrame, n_ids: int, sets: DataFrame, word
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the candidate pairs (a1, a2, an, b1, b2, bn) those that reach the threshold: partial overlaps are counted
-    in each fragment by itself and summed."""
-    ends = written(pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).distinct())
+    """Links (a1, a2, b1, b2) among the candidate pairs (a, b) of halves of signatures: the bit maps rule out most of
+    what can't reach the threshold; for the rest partial overlaps are counted in each fragment by itself and summed."""
+    end = lambda e: classes.select(F.col("s1").alias(e), F.col("s2").alias(f"{e}2"), F.col("n").alias(f"{e}n"), F.col("bits").alias(f"{e}bits"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b")
+    n = F.col("an") + F.col("bn")
+    apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    may = (F.size("abits") != F.size("bbits")) | (F.lit(100 + percent) * (n - apart) >= F.lit(2 * percent) * n)
+    near = written(both.where(may).select(F.col("a").alias("a1"), "a2", "an", F.col("b").alias("b1"), "b2", "bn"))
+    ends = written(near.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(near.select("b1", "b2")).distinct())
     ids = written(classes.join(ends, ["s1", "s2"]).select(F.col("rep").alias("doc_id")).distinct())
     segments = written(_segments(docs, ids, ids.count(), ends, words))
     left = segments.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), "fragment", F.col("grams").alias("x"))
     right = segments.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), "fragment", F.col("grams").alias("y"))
-    partial = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2", "fragment"]).select("a1", "a2", "an", "b1", "b2", "bn", F.size(F.array_intersect("x", "y")).alias("common"))
+    partial = near.join(left, ["a1", "a2"]).join(right, ["b1", "b2", "fragment"]).select("a1", "a2", "an", "b1", "b2", "bn", F.size(F.array_intersect("x", "y")).alias("common"))
     total = partial.groupBy("a1", "a2", "an", "b1", "b2", "bn").agg(F.sum("common").alias("o"))
     return written(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("an") + F.col("bn") - F.col("o"))).select("a1", "a2", "b1", "b2"))
 
@@ -207,32 +222,33 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets, counts = _sets(own, words)
     some = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
+    classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     order = _order(counts)
     with_id = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # From here to the links a class goes by the first half of its signature. Where two classes share it, both
+    # are candidates wherever one is, and of each other.
     group = Window.partitionBy("gram", "salt")
-    me = F.struct("s1", "s2")
-    rows = _prefixes(with_id, order, words, percent).withColumns({"lo": F.min(me).over(group), "hi": F.max(me).over(group)})
-    shared = written(rows.where("salted OR lo <> hi").select("gram", "at", "n", "s1", "s2").distinct())
-
-    first = written(shared.groupBy("gram").agg(F.min(F.struct("at", "n", "s1", "s2")).alias("f"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("f.at").alias("fat"), F.col("f.n").alias("fn"), F.col("f.s1").alias("f1"), F.col("f.s2").alias("f2")))
-    met = shared.join(first, "gram")
-    other = (F.col("s1") != F.col("f1")) | (F.col("s2") != F.col("f2"))
-    stars = written(met.where(other & _may(F.col("fn"), F.col("fat"), F.col("n"), F.col("at"), percent)).select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("fn").alias("an"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("n").alias("bn")).distinct())
-    links = _linked(stars, own, classes, words, percent)
-    named = _named(links, classes)
-    parts = written(components(named))
-
-    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
-    first = first.join(label.select(F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("c").alias("fc")), ["f1", "f2"])
-    held = written(shared.join(label, ["s1", "s2"]).join(first, "gram").where(other))
-    stray = held.where("c <> fc").select("gram", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"), "fc")
-    rest = held.select("gram", F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc"))
-    once = (F.col("bc") == F.col("fc")) | (F.struct("a1", "a2") < F.struct("b1", "b2"))
-    left_over = stray.join(rest, "gram").where((F.col("ac") != F.col("bc")) & once & _may(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat"), percent))
-    ends = [F.struct(F.col(f"{e}1").alias("a1"), F.col(f"{e}2").alias("a2"), F.col(f"{e}n").alias("an")) for e in "ab"]
-    left_over = written(left_over.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y")).distinct().select("x.*", F.col("y.a1").alias("b1"), F.col("y.a2").alias("b2"), F.col("y.an").alias("bn")))
-    more = _linked(left_over, own, classes, words, percent)
+    rows = _prefixes(with_id, order, words, percent).withColumns({"lo": F.min("s1").over(group), "hi": F.max("s1").over(group)})
+    shared = written(rows.where("salt >= 0 OR lo <> hi").select("gram", "at", "n", "s1").distinct())
+    first = written(shared.groupBy("gram").agg(F.min(F.struct("at", "n", "s1")).alias("f"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("f.at").alias("fat"), F.col("f.n").alias("fn"), F.col("f.s1").alias("f1")))
+    met = shared.join(first, "gram").where("s1 <> f1")
+    stars = met.where(_may(F.col("fn"), F.col("fat"), F.col("n"), F.col("at"), percent)).select(F.col("f1").alias("a"), F.col("s1").alias("b"))
+    twins = classes.groupBy("s1").agg(F.count("*").alias("k")).where("k > 1").select(F.col("s1").alias("a"), F.col("s1").alias("b"))
+    links = _linked(written(stars.union(twins).distinct()), own, classes, words, percent)
+    parts = written(components(_named(links, classes)))
+
+    # Classes that share a first half are rare enough to have one label here: it only saves comparisons of the same
+    # component, and such classes are kept apart by the smaller label, which compares too much rather than too little.
+    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("s1").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("component", "rep")).alias("d"))
+    label = label.select("s1", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"))
+    first = first.join(label.select(F.col("s1").alias("f1"), F.col("c").alias("fc")), "f1")
+    held = written(shared.join(label, "s1").join(first, "gram").where("s1 <> f1"))
+    apart = lambda x, y: ~F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    stray = held.where(apart("c", "fc")).select("gram", F.col("s1").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"))
+    rest = held.select("gram", F.col("s1").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc"), apart("c", "fc").alias("bstray"))
+    once = ~F.col("bstray") | (F.col("a") < F.col("b"))
+    over = stray.join(rest, "gram").where(apart("ac", "bc") & (F.col("a") != F.col("b")) & once & _may(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat"), percent))
+    more = _linked(written(over.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), own, classes, words, percent)
     if more.limit(1).count():
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_named(more, classes))))
     # An id whose rows have several texts is one document: its classes belong together.
@@ -241,7 +257,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_
         tied = some.join(doubles, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tied)))
     label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
-    out = sets.join(label, ["s1", "s2"], "left")
+    out = sets.drop("bits").join(label, ["s1", "s2"], "left")
     mine = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
