@@ -171,6 +171,17 @@ def to_sql(expression: str) -> str:
     return text
 
 
+def cell_of(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are not above x, by nested comparisons that halve them."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(x < F.lit(float(cuts[mid])), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return search(0, len(cuts)).cast("long")
+
+
 def filter_rows(df: DataFrame, expression: str) -> DataFrame:
     return df.filter(to_sql(expression))
 

@@ -22,7 +22,7 @@ def one_way_table(df: DataFrame, value: str, group: str) -> DataFrame:
     """(source, ss, df, ms, f_stat, eta_sq) for between, within and total, by Spark alone."""
     g = complete(df, {"v": value}, [F.col(group).alias("g")]).where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("w"))
     t = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
-    s = g.crossJoin(F.broadcast(t)).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("b"), F.sum("w").alias("w"), F.max("grand").alias("grand"))
+    s = g.crossJoin(F.broadcast(t.select("grand"))).agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("b"), F.sum("w").alias("w"))
     one = s.crossJoin(F.broadcast(t.select("n", "k")))
     db, dw = F.col("k") - 1, F.col("n") - F.col("k")
     f = F.col("b") / db / (F.col("w") / dw)

@@ -261,7 +261,7 @@ def logistic_density(df: DataFrame, y: str, x: Sequence[str], prior_sd: float =
     def f(b: np.ndarray) -> tuple[float, np.ndarray]:
         eta = m @ b
         lp = float((k * eta - n * np.logaddexp(0, eta)).sum()) - 0.5 * float(b @ b) / prior_sd**2
-        return lp, m.T @ (k - n / (1 + np.exp(-eta))) - b / prior_sd**2
+        return lp, m.T @ (k - n / (1 + np.exp(-np.clip(eta, -500, 500)))) - b / prior_sd**2
 
     return f
 

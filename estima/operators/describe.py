@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import distributions as D
+from ..functions.columns import cell_of
 from ..functions.result import frame
 from ..plans.gram import complete, number
 from ..plans.ranks import value_ranks, with_ranks
@@ -112,7 +113,7 @@ def _kendall(own: DataFrame, cells: int = 64) -> DataFrame:
     cells alone, and only those that share a row or column of cells are compared value by value, in blocks."""
     counts = own.groupBy("a", "b").agg(F.count("*").alias("c"))
     cuts = own.agg(F.percentile_approx("a", [i / cells for i in range(1, cells)], 10000).alias("qa"), F.percentile_approx("b", [i / cells for i in range(1, cells)], 10000).alias("qb")).first()
-    bucket = lambda c, q: F.expr(f"width_bucket({c}, array({','.join(repr(float(x)) + 'D' for x in sorted(set(q)))}))")
+    bucket = lambda c, q: cell_of(F.col(c), sorted(set(q)))
     cell = counts.withColumns({"i": bucket("a", cuts["qa"]), "j": bucket("b", cuts["qb"])})
     grid = cell.groupBy("i", "j").agg(F.sum("c").alias("c"))
     x, y = grid.select(F.col("i").alias("i1"), F.col("j").alias("j1"), F.col("c").alias("c1")), grid.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("c").alias("c2"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
+from ..functions.columns import cell_of
 from ..functions.result import TEST, coefficients, frame, test_row
 from ..plans.gram import Gram, complete, gram
 from .linear import INTERCEPT, Fit, design_gram, from_gram, solve
@@ -46,7 +47,7 @@ def condition_number(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return frame(df.sparkSession, [(k, "severe" if k > 30 else "moderate" if k > 10 else "none")], "condition_number double, severity string")
 
 
-def _lagged(rows: DataFrame, order: Sequence[str], value: str, lags: int, cells: int = 256) -> DataFrame:
+def _lagged(rows: DataFrame, order: Sequence[str], value: str, lags: int, cells: int = 128) -> DataFrame:
     """rows with value_1 .. value_lags, the values so many rows before in the order of the first key (then the rest).
     Rows are cut into cells at quantiles of that key; the last values of each cell, so many rows, are handed to the
     next, so that no task orders all rows."""
@@ -56,7 +57,7 @@ def _lagged(rows: DataFrame, order: Sequence[str], value: str, lags: int, cells:
     rows = rows.withColumn("__place", place.cast("double"))
     cuts = rows.agg(F.percentile_approx("__place", [i / cells for i in range(1, cells)], 10000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    cell = F.expr(f"width_bucket(__place, array({','.join(repr(float(c)) + 'D' for c in cuts)}))") if cuts else F.lit(0).cast("long")
+    cell = cell_of(F.col("__place"), cuts)
     rows = rows.withColumn("__cell", cell)
     back = Window.partitionBy("__cell").orderBy(*[F.desc(o) for o in order])
     tail = rows.withColumn("__k", F.row_number().over(back)).where(F.col("__k") <= lags)

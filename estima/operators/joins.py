@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DISTANCES
+from ..functions.columns import DISTANCES, cell_of
 
 #: Rows of a side that may be broadcast (of numbers and keys, not texts).
 MAX_BROADCAST_ROWS = 100_000
@@ -39,7 +39,7 @@ def merge(a: DataFrame, b: DataFrame, on: str | Sequence[str] | None = None, how
     return out.select(*[F.coalesce(f"__l_{k}", f"__r_{k}").alias(k) for k in keys], *[F.col(f"`{c}`") for c in [*left.columns, *right.columns] if not c.startswith(("__l_", "__r_"))])
 
 
-def nearest_below_above(rows: DataFrame, id_col: str, score: str, treated: str, cells: int = 256) -> DataFrame:
+def nearest_below_above(rows: DataFrame, id_col: str, score: str, treated: str, cells: int = 128) -> DataFrame:
     """(id, score, below_id, below, above_id, above): of each treated row the nearest controls on either side.
 
     A backward and a forward as-of join on one score. The score's range is cut into cells at quantiles; each
@@ -48,7 +48,7 @@ def nearest_below_above(rows: DataFrame, id_col: str, score: str, treated: str,
     own = rows.select(F.col(id_col).alias("id"), F.col(score).cast("double").alias("s"), F.col(treated).cast("int").alias("t")).dropna()
     cuts = own.agg(F.percentile_approx("s", [i / cells for i in range(1, cells)], 10000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
-    own = own.withColumn("cell", F.expr(f"width_bucket(s, array({','.join(repr(float(c)) + 'D' for c in cuts)}))") if cuts else F.lit(0).cast("long"))
+    own = own.withColumn("cell", cell_of(F.col("s"), cuts))
     # Controls of one score are told apart by their id: the smaller is the nearer.
     controls = own.where("t = 0").groupBy("cell", "s").agg(F.min("id").alias("id"))
     ends = controls.groupBy("cell").agg(F.min(F.struct("s", "id")).alias("first"), F.max(F.struct("s", F.col("id"))).alias("last"))
@@ -98,8 +98,8 @@ def knn_blocks(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     """As knn_exact, for many queries: blocks of queries meet blocks of data, each pair one matrix product."""
     n_q, n_d = queries.count(), data.count()
     qs, ds = max(1, -(-n_q // block)), max(1, -(-n_d // block))
-    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(qs)).alias("qb")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(ds - 1))).cast("long"))
-    d = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(ds)).alias("db")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).cast("long"))
+    q = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(qs)).alias("qb")).withColumn("db", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ds - 1).cast("long"))))
+    d = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(ds)).alias("db")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qs - 1).cast("long"))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -151,7 +151,7 @@ def greedy_match(rows: DataFrame, id_col: str, score: str, treated: str, caliper
     one pass over all rows, but no task holds more than a slice."""
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(score).cast("double").alias("s"), F.col(treated).cast("int").alias("t")).dropna()
     cuts = sorted(set(own.agg(F.percentile_approx("s", [i / slices for i in range(1, slices)], 10000).alias("q")).first()["q"] or []))
-    own = own.withColumn("cell", F.expr(f"width_bucket(s, array({','.join(repr(float(c)) + 'D' for c in cuts)}))") if cuts else F.lit(0).cast("long"))
+    own = own.withColumn("cell", cell_of(F.col("s"), cuts))
 
     def take(frame: pd.DataFrame) -> pd.DataFrame:
         controls = frame[frame.t == 0].sort_values(["s", "id"])
