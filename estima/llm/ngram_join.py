@@ -4,7 +4,6 @@ counted in each fragment by itself and summed per pair."""
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,40 +16,86 @@ from pyspark.sql import functions as F
 
 from .common import components, join_small, written
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: 2 ** ORDER_BITS counters, dealt over blocks of BLOCK, say roughly how frequent an n-gram is. A fixed size.
 ORDER_BITS, BLOCK = 20, 4096
 FRAGMENTS = 8
 #: So many rows of one n-gram, above the mean of a counter, make a salt of their own.
 HOT_ROWS = 20_000
-MAX_CACHED_WORDS = 400_000
-
-_cache: dict[bytes, int] = {}
+#: Texts are hashed in pieces of so many bytes, so that work space stays small beside a long text.
+PIECE = 1 << 18
+
+_MULTIPLIER = 0xD1342543DE82EF95
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, _MULTIPLIER, np.uint64)]))
+_INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)]))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def _word_hash(word: bytes) -> int:
-    out = _cache.get(word)
-    if out is None:
-        if len(_cache) >= MAX_CACHED_WORDS:
-            _cache.clear()
-        out = _cache[word] = xxhash.xxh3_64_intdigest(word)
-    return out
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(32))
+    h *= _MIX[3]
+    h ^= h >> np.uint64(29)
+    h *= _MIX[4]
+    return h ^ (h >> np.uint64(32))
+
+
+def _hash_words(piece: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of at most PIECE bytes of lower-case text: the words' bytes as digits in a large odd
+    base, from one running sum over the piece, then spread."""
+    b = np.frombuffer(piece, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    starts, ends = edges[::2], edges[1::2]
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(b)], out=total[1:])
+    return _spread((total[ends] - total[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64) * _MIX[0])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of a lower-case text's words. A word of more than PIECE bytes is hashed by itself."""
+    if len(text) <= PIECE:
+        return _hash_words(text)
+    out, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        if end < len(text):
+            cut = max(text.rfind(bytes([c]), at, end) for c in (9, 10, 11, 12, 13, 32))
+            if cut < 0:  # no white space: the word goes on, as far as its own end
+                end = min([k for c in (9, 10, 11, 12, 13, 32) if (k := text.find(bytes([c]), end)) >= 0], default=len(text))
+                if end - at > PIECE:
+                    out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end])], np.uint64))
+                    at = end
+                    continue
+            else:
+                end = cut + 1
+        out.append(_hash_words(text[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's n-grams, A-Z in lower case; of fewer words, one of them all."""
-    found = WORD.findall((text or b"").lower())
-    if len(found) < words:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))] if found else [], np.uint64)
-    h = np.fromiter(map(_word_hash, found), np.uint64, len(found))
-    n = len(found) - words + 1
-    out = np.zeros(n, np.uint64)
-    for i in range(words):
+    h = word_hashes((text or b"").lower())
+    if not len(h):
+        return h
+    size = min(words, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
         out += h[i : i + n] * _MIX[i % 5]
         out ^= out >> np.uint64(29)
         out *= _MIX[(i + 2) % 5]
-    return np.unique(out)
+    return _distinct(out)
 
 
 def _signature(grams: np.ndarray) -> tuple[int, int]:
@@ -66,6 +111,13 @@ def _parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(bool)).view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(a row (doc_id, n, s1, s2, bits) for each document, with the two halves of its set's signature and its bit
     map; the counters of how often n-grams occur, summed by task and block)."""
@@ -74,14 +126,16 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for batch in batches:
-            rows, held = [], []
+        for batch in _slices(batches):
+            rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 grams = shingles(text.as_py(), words)
                 rows.append((key, len(grams), *_signature(grams), _parity(grams)))
-                held.append((grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64))
+                # A text's n-grams are sorted, and so are their counters: equal ones stand together.
+                slots = (grams >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1]])) if len(slots) else slots
+                counts[slots[first]] += np.diff(np.append(first, len(slots)))
             if rows:
-                counts += np.bincount(np.concatenate(held), minlength=1 << ORDER_BITS)
                 none = [None] * len(rows)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), *(pa.array(none, t) for t in types[5:])], names=names)
         part, blocks = TaskContext.get().partitionId(), counts.reshape(-1, BLOCK)
@@ -135,7 +189,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) ->
             columns = [grams.view(np.int64), salt, at, spread[0].astype(np.int32), spread[1]]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0):
                 grams = shingles(text.as_py(), words)
                 n = len(grams)
@@ -171,14 +225,16 @@ def _segments(docs: DataFrame, ids: DataFrame, n_ids: int, sets: DataFrame, word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
-        for batch in batches:
+        for batch in _slices(batches, 256):
+            rows = []
             for text in batch.column(0):
                 grams = shingles(text.as_py(), words)
                 key = _signature(grams)
                 cuts = np.searchsorted((grams >> shift), np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                own = [(i, grams[cuts[i] : cuts[i + 1]].view(np.int64)) for i in range(FRAGMENTS) if cuts[i] < cuts[i + 1]]
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(own)), pa.array([key[1]] * len(own)), pa.array([i for i, _ in own], pa.int32()), pa.array([g for _, g in own], pa.list_(pa.int64()))], names=["s1", "s2", "fragment", "grams"])
+                rows += [(*key, i, grams[cuts[i] : cuts[i + 1]].view(np.int64)) for i in range(FRAGMENTS) if cuts[i] < cuts[i + 1]]
+            if rows:
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["s1", "s2", "fragment", "grams"])
 
     chosen = join_small(docs, ids, ["doc_id"], n_ids, "left_semi") if n_ids else docs.limit(0)
     out = chosen.select(F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "s1 long, s2 long, fragment int, grams array<long>")
