@@ -173,7 +173,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(score_texts(batch.to_pylist(), model), pa.float64())
+            # A part of a batch at a time, so that its texts aren't all held twice.
+            parts = [score_texts(batch.slice(at, 256).to_pylist(), model) for at in range(0, len(batch), 256)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     scorer = F.arrow_udf(run, "double")
     return docs.withColumn("__score", scorer(F.col(text_col))).withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
