@@ -355,6 +355,8 @@ def outcome_matrix(df: DataFrame, unit: str, time: str, outcome: str) -> tuple[l
 
 
 def _synthetic(y: np.ndarray, treated: int, pre: np.ndarray, donors: list[int]) -> dict:
+    if not donors or not pre.any() or pre.all() or not np.isfinite(y[:, treated]).all():
+        raise ValueError("a synthetic control needs donors and periods on both sides without gaps")
     a, b = y[pre][:, donors], y[pre, treated]
     w = simplex_weights(a.T @ a, a.T @ b)
     gap = y[:, treated] - y[:, donors] @ w

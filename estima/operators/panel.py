@@ -152,7 +152,8 @@ def hausman(df: DataFrame, y: str, x: Sequence[str], unit: str) -> DataFrame:
     fe = fixed_effects(df, y, x, unit, cluster=False)[2]
     re = random_effects(df, y, x, unit)[2]
     d = fe.beta - re.beta[1:]
-    value, vector = np.linalg.eigh(fe.vcov - re.vcov[1:, 1:])
+    # Both covariances with the within variance: their difference then has no negative part but by rounding.
+    value, vector = np.linalg.eigh(fe.vcov - re.bread[1:, 1:] * fe.sigma2)
     ok = value > 1e-10 * max(1e-300, np.abs(value).max())
     h = float(((vector[:, ok].T @ d) ** 2 / value[ok]).sum())
     return frame(df.sparkSession, [test_row("Hausman", h, D.chi2_sf(h, max(1, ok.sum())), int(ok.sum()), fe.n)], TEST)

@@ -114,12 +114,14 @@ def b5_rename_drop(s, d):
     return table(s, d, "nation").withColumnRenamed("n_name", "name").drop("n_regionkey").select("name", "n_nationkey")
 
 
-HOLES = F.when(F.col("l_discount") != 0, F.col("l_discount"))
+def holes():
+    """The discount with its zeros as nulls."""
+    return F.when(F.col("l_discount") != 0, F.col("l_discount"))
 
 
 @query("SELECT count(*) AS n FROM lineitem WHERE nullif(l_discount, 0) IS NOT NULL")
 def b7_drop_missing(s, d):
-    return prep.drop_missing(line(s, d).withColumn("x", HOLES), "x").agg(F.count("*").alias("n"))
+    return prep.drop_missing(line(s, d).withColumn("x", holes()), "x").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, TRY_CAST(substr(p_brand, 7) AS DOUBLE) AS v FROM part")
@@ -137,7 +139,7 @@ def _imputed(strategy: str, fill: str) -> str:
 
 
 def _impute(s, d, strategy: str, value=None):
-    return prep.impute(line(s, d).withColumn("x", HOLES), "x", strategy, value).select("l_orderkey", "l_linenumber", F.round("x", 8).alias("x"))
+    return prep.impute(line(s, d).withColumn("x", holes()), "x", strategy, value).select("l_orderkey", "l_linenumber", F.round("x", 8).alias("x"))
 
 
 @query(_imputed("mean", "(SELECT avg(nullif(l_discount, 0)) FROM lineitem)"))
@@ -162,7 +164,7 @@ def b10_impute_constant(s, d):
 
 @query()
 def b11_impute_chained(s, d):
-    return prep.impute_chained(line(s, d).withColumn("x", HOLES), ["x", "l_quantity", "l_extendedprice"], 3).select("l_orderkey", "l_linenumber", "x")
+    return prep.impute_chained(line(s, d).withColumn("x", holes()), ["x", "l_quantity", "l_extendedprice"], 3).select("l_orderkey", "l_linenumber", "x")
 
 
 @query('SELECT l_orderkey, l_linenumber, l_returnflag = \'A\' AS "l_returnflag_A", l_returnflag = \'N\' AS "l_returnflag_N", l_returnflag = \'R\' AS "l_returnflag_R" FROM lineitem')

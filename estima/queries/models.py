@@ -211,17 +211,17 @@ def k1_vif(s, d):
     return rounded(K.vif(line(s, d), ["l_quantity", "l_extendedprice"]), 8)
 
 
-SIMPLE = "f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS m, regr_sxx(l_extendedprice, l_quantity) AS sxx, CAST(count(*) AS DOUBLE) AS n FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x, l_extendedprice - a - b * l_quantity AS e, 1 / n + power(l_quantity - m, 2) / sxx AS h, n FROM lineitem, f)"
+SIMPLE = "f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS m, regr_sxx(l_extendedprice, l_quantity) AS sxx, CAST(count(*) AS DOUBLE) AS n FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS x, l_extendedprice - a - b * l_quantity AS e, 1 / n + power(l_quantity - m, 2) / sxx AS h, n FROM lineitem, f)"
 
 
 def simple(s, d):
     return I.ols(line(s, d), "l_extendedprice", ["l_quantity"])
 
 
-ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-@query(f"WITH {SIMPLE}, l AS (SELECT e, lag(e) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS p FROM r) SELECT round(sum(power(e - p, 2)) / sum(e * e), 6) AS statistic FROM l")
+@query(f"WITH {SIMPLE}, l AS (SELECT e, lag(e) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM r) SELECT round(sum(power(e - p, 2)) / sum(e * e), 6) AS statistic FROM l")
 def k2_durbin_watson(s, d):
     return K.durbin_watson(line(s, d), simple(s, d), ORDER).select(F.round("statistic", 6).alias("statistic"))
 
@@ -272,10 +272,10 @@ def k12_reset(s, d):
     return K.reset(line(s, d), simple(s, d))
 
 
-@query("""WITH p AS (SELECT *, l_orderkey >= 7000 AS k FROM lineitem), q AS (SELECT regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity) AS rss FROM p GROUP BY k), t AS (SELECT regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity) AS rss, count(*) AS n FROM p)
+@query("""WITH p AS (SELECT *, l_orderkey >= 700 AS k FROM lineitem), q AS (SELECT regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity) AS rss FROM p GROUP BY k), t AS (SELECT regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity) AS rss, count(*) AS n FROM p)
 SELECT round((t.rss - (SELECT sum(rss) FROM q)) / 2 / ((SELECT sum(rss) FROM q) / (t.n - 4)), 5) AS statistic FROM t""")
 def k13_chow(s, d):
-    return K.chow(line(s, d), "l_extendedprice", ["l_quantity"], F.col("l_orderkey") >= 7000).select(F.round("statistic", 5).alias("statistic"))
+    return K.chow(line(s, d), "l_extendedprice", ["l_quantity"], F.col("l_orderkey") >= 700).select(F.round("statistic", 5).alias("statistic"))
 
 
 @query()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("UTF-8", "windows-31j", "Shift_JIS", "ISO-8859-1")
+SPARK_ENCODINGS = ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16")
 #: Files that pandas reads on the driver may be no larger.
 MAX_DRIVER_BYTES = 512 << 20
 FORMATS = (".csv", ".tsv", ".txt", ".json", ".parquet", ".feather", ".arrow", ".xlsx", ".xls", ".h5", ".hdf5", ".dta", ".sav", ".sas7bdat", ".xpt")
@@ -32,6 +33,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | Non
     """With a header and inferred types. Without an encoding, the first of ENCODINGS in which no line has a character that
     can't be read; the test is one aggregate over the file."""
     for name in [encoding] if encoding else ENCODINGS:
+        if name not in SPARK_ENCODINGS:  # the session then takes any character set that Java knows
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         text = spark.read.option("encoding", name).option("header", "false").option("sep", "\x01").csv(path)
         bad = text.agg(F.max(F.concat_ws("", *[F.col(c) for c in text.columns]).contains("�").cast("int"))).first()[0] if text.columns else 0
         if encoding or not bad:
