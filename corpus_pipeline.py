@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text with digests of them and of what they decode to."""
-    out = bpe.encode(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep_ids=True)
-    return out.drop("decoded")
+    return bpe.encode(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep_decoded=False)
 
 
 STAGES = [

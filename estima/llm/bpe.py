@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts longer than this are encoded by themselves and not beside others, so that a batch stays small.
-BATCH_CHARS = 1 << 20
+from .common import small_batches
+
+#: Texts are encoded together up to so many characters, longer ones by themselves; and so many rows are read at once.
+BATCH_CHARS, BATCH_ROWS = 1 << 18, 256
 
 
 def byte_to_char() -> list[str]:
@@ -41,6 +44,8 @@ class Codec:
     """Encodes and decodes by a rank file whose 256 single bytes are tokens."""
 
     def __init__(self, path: str, pattern: str):
+        # One thread a task: the executor's cores have tasks of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks, chars = read_ranks(path), byte_to_char()
@@ -92,33 +97,36 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
     """Per row: the id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
-    decoded_sha256 (of the bytes that the ids decode to) and, with keep_ids, token_ids and decoded.
+    decoded_sha256 (of the bytes that the ids decode to) and, if they are to be kept, token_ids and decoded.
 
     path is a rank file that every executor can open. Each match of pattern is encoded by itself, no special
     tokens are made, and their strings in a text are ordinary text. Null and empty texts have no tokens. Rows
     keep their number and may repeat; no other column of docs is read; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     fields = [("id", "long"), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-    fields += [("token_ids", "array<int>"), ("decoded", "binary")] if keep_ids else []
+    fields += [("token_ids", "array<int>")] * keep_ids + [("decoded", "binary")] * keep_decoded
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in stream:
-            texts = batch.column(1).to_pylist()
-            for start, end in _groups(texts):
-                ids = own.encode(texts[start:end])
-                decoded = [own.decode_bytes(x) for x in ids]
-                columns = [
-                    batch.column(0).slice(start, end - start),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-                ]
-                if keep_ids:
-                    columns += [pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
+        for whole in stream:
+            for at in range(0, len(whole), BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                texts = batch.column(1).to_pylist()
+                for start, end in _groups(texts):
+                    ids = own.encode(texts[start:end])
+                    decoded = [own.decode_bytes(x) for x in ids]
+                    columns = [
+                        batch.column(0).slice(start, end - start),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                    ]
+                    columns += [pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32()))] if keep_ids else []
+                    columns += [pa.array(decoded, pa.binary())] if keep_decoded else []
+                    yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
     return source.mapInArrow(batches, ", ".join(f"{n} {t}" for n, t in fields)).withColumnRenamed("id", id_col)

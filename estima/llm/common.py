@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/estima-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """From now on Arrow batches of this session have at most so many rows and bytes. Rows of texts are large: a batch of
+    Spark's usual 10,000 holds tens of MB in the JVM and again in each Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and a lost executor loses nothing."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)

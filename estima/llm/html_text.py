@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # Elements by their meaning in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -251,5 +253,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("h"))
     return source.mapInArrow(run, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)

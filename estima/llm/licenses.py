@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The phrases that name a license wherever they stand.
 BASE_PHRASES = {
     "under the mit license": "mit",
@@ -202,6 +204,7 @@ def scan(docs: DataFrame, templates: dict | None = None, rare_words: int = 12, m
     number; no other column of docs is read; an empty table gives an empty table. What is collected is one count
     for each word of the templates.
     """
+    small_batches(docs.sparkSession)
     templates = templates or TEMPLATES
     rows, counts = document_frequencies(docs, text_col, templates)
     idf = {w: math.log((1 + rows) / (1 + counts.get(w, 0))) + 1 for _, text, _ in templates.values() for w in text.encode().split()}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, small_batches, written
 
 #: Corners described per image, the strongest of all scales; part of the method, as in any such descriptor.
 CORNERS = 24
@@ -275,6 +275,7 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
     own). Pictures without corners are linked by equal pixels alone. Rows without an id have a null class. Rows may
     repeat; an empty table gives an empty table; other columns are not read.
     """
+    small_batches(media.sparkSession)
     rows, pictures = _described(media, id_col, image_col)
     pictures = written(pictures)
     some = rows.where("id IS NOT NULL")

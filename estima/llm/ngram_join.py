@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_small, written
+from .common import components, join_small, small_batches, written
 
 #: 2 ** ORDER_BITS counters, dealt over blocks of BLOCK, say roughly how frequent an n-gram is. A fixed size.
 ORDER_BITS, BLOCK = 20, 4096
@@ -275,6 +275,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_
     components with each other, as far as sizes and places allow a link: so a group of near copies costs about
     one comparison a member, and no link between components is lost. Nothing is capped or sampled.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets, counts = _sets(own, words)
     some = sets.where("n > 0 AND doc_id IS NOT NULL")

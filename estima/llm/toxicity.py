@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORDS = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
 #: The bounds of what the classifier is fitted on: rows of confirmed toxic text, of unlabelled text, and features.
@@ -92,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     are kept, and only the rows' numbers of these features reach the driver. prior, the share of toxic rows, is by
     default that of the labelled rows.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     by_hash = lambda frame, n: frame.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
     share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
@@ -173,10 +176,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            # A part of a batch at a time, so that its texts aren't all held twice.
+            # A part of a batch at a time, so that its texts are not all held twice.
             parts = [score_texts(batch.slice(at, 256).to_pylist(), model) for at in range(0, len(batch), 256)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
+    small_batches(docs.sparkSession)
     scorer = F.arrow_udf(run, "double")
     return docs.withColumn("__score", scorer(F.col(text_col))).withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
 

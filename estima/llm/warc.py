@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, shared_dir, written
+from .common import MAX_BROADCAST_ROWS, shared_dir, small_batches, written
 
 READ_BYTES = 1 << 16
 MIN_REVISIT_BYTES = 100
@@ -132,6 +132,7 @@ def with_revisits(pages: DataFrame, id_col: str, html_col: str, url_col: str | N
 
     A payload with over a thousandth of all rows is looked up in a table of a thousand rows at most, which is
     broadcast; the rest are joined by digest, where no key is larger than that."""
+    small_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), (F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")).alias("url"), payload.alias("html")).withColumns({"digest": F.sha2("html", 256), "length": F.octet_length("html").cast("long")})
     groups = written(base.where(F.col("length") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
