@@ -26,6 +26,10 @@ def quantised(embedding: Column) -> Column:
     return F.when(embedding.isNull() | wrong, None).otherwise(F.transform(embedding, lambda x: F.floor(x.cast("double") * 256)))
 
 
+LAST = np.iinfo(np.int64).max
+NONE = -LAST
+
+
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
@@ -51,7 +55,8 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Integer inner products; beyond what doubles hold exactly, in Python's integers."""
     if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
         return (a @ b.T).astype(np.int64)
-    return (a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T).astype(np.int64)
+    wide = a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
+    return np.clip(wide, NONE + 1, LAST - 1).astype(np.int64)
 
 
 def _keep(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +66,6 @@ def _keep(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.nd
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-LAST = np.iinfo(np.int64).max
-NONE = -LAST
 
 
 def _search(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, top: float, ids: np.ndarray, x: np.ndarray, lift: np.ndarray, to_pivot: np.ndarray, pivot: np.ndarray, pivot_lift: float, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +121,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     indexed and results are exact whatever the sample.
 
     Rows whose id or vector is null, or whose vector holds null or non-finite components, take no part. Shorter
-    vectors count as filled with zeros. Of rows of equal id the one of the smallest vector, component by component,
+    vectors count as filled with zeros. Scores beyond 64 bits end at their limits. Of rows of equal id the one of the smallest vector, component by component,
     counts. An empty table, or one without queries, gives an empty table. No other column is read.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
