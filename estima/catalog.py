@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .queries import causality, foundation, models, series, testing  # noqa: F401  they register what they hold
+from .queries import causality, extras, foundation, models, series, testing  # noqa: F401  they register what they hold
 from .registry import Query
 
 
