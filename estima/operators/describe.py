@@ -14,7 +14,7 @@ from ..functions import distributions as D
 from ..functions.columns import cell_of
 from ..functions.result import frame
 from ..plans.gram import complete, number
-from ..plans.ranks import value_ranks, with_ranks
+from ..plans.ranks import quantiles, value_ranks, with_ranks
 
 
 def _stack(df: DataFrame, columns: Sequence[str], stats: dict, schema: list[str]) -> DataFrame:
@@ -36,16 +36,22 @@ def adjusted_kurtosis(c: Column) -> Column:
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Per numeric column: count, missing, missing_pct, unique, mean, std, min, median, max, skew, kurtosis."""
-    columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    """Per numeric column: count, missing, missing_pct, unique, mean, std, min, median, max, skew, kurtosis. One aggregate of
+    sums; distinct values by one shuffle of (column, value) pairs, which are first made distinct within each task; medians
+    by narrowing brackets."""
+    columns = list(columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)])
+    own = df.select(*[number(c).alias(c) for c in columns])
     stats = {
-        "count": lambda c: F.count(number(c)), "missing": lambda c: F.count(F.lit(1)) - F.count(number(c)),
-        "missing_pct": lambda c: 100.0 * (1 - F.count(number(c)) / F.count(F.lit(1))), "unique": lambda c: F.count_distinct(number(c)),
-        "mean": lambda c: F.avg(number(c)), "std": lambda c: F.stddev_samp(number(c)), "min": lambda c: F.min(number(c)),
-        "median": lambda c: F.percentile(number(c), 0.5), "max": lambda c: F.max(number(c)),
-        "skew": lambda c: adjusted_skew(number(c)), "kurtosis": lambda c: adjusted_kurtosis(number(c)),
+        "count": F.count, "missing": lambda c: F.count(F.lit(1)) - F.count(c), "missing_pct": lambda c: 100.0 * (1 - F.count(c) / F.count(F.lit(1))),
+        "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": lambda c: adjusted_skew(F.col(c)), "kurtosis": lambda c: adjusted_kurtosis(F.col(c)),
     }
-    return _stack(df, columns, stats, ["variable", *stats])
+    sums = _stack(own, columns, stats, ["variable", *stats])
+    pairs = own.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").alias("v")) for c in columns])).alias("p")).select("p.*").where("v IS NOT NULL")
+    unique = pairs.distinct().groupBy("variable").agg(F.count("*").alias("unique"))
+    mid = quantiles(own, columns, [0.5])
+    median = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(None if math.isnan(mid[c][0]) else float(mid[c][0])).cast("double"))])
+    out = sums.join(unique, "variable", "left").withColumns({"unique": F.coalesce("unique", F.lit(0)), "median": median[F.col("variable")]})
+    return out.select("variable", "count", "missing", "missing_pct", "unique", "mean", "std", "min", "median", "max", "skew", "kurtosis")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
@@ -56,10 +62,15 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
-    """count, mean, std, min, quartiles and max per column, rounded."""
-    r = lambda f: (lambda c: F.round(f(number(c)), digits))
-    stats = {"count": lambda c: F.count(number(c)), "mean": r(F.avg), "std": r(F.stddev_samp), "min": r(F.min), "q1": r(lambda c: F.percentile(c, 0.25)), "median": r(lambda c: F.percentile(c, 0.5)), "q3": r(lambda c: F.percentile(c, 0.75)), "max": r(F.max)}
-    return _stack(df, columns, stats, ["variable", *stats])
+    """count, mean, std, min, quartiles and max per column, rounded. Quartiles are exact, by narrowing brackets."""
+    columns = list(columns)
+    own = df.select(*[number(c).alias(c) for c in columns])
+    r = lambda f: (lambda c: F.round(f(c), digits))
+    sums = _stack(own, columns, {"count": F.count, "mean": r(F.avg), "std": r(F.stddev_samp), "min": r(F.min), "max": r(F.max)}, ["variable", "count", "mean", "std", "min", "max"])
+    q = quantiles(own, columns, [0.25, 0.5, 0.75])
+    of = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*[F.lit(None if math.isnan(v) else float(v)).cast("double") for v in q[c]]))])[F.col("variable")]
+    out = sums.withColumns({n: F.round(of[i], digits) for i, n in enumerate(("q1", "median", "q3"))})
+    return out.select("variable", "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:

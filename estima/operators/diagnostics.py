@@ -13,6 +13,7 @@ from ..functions import distributions as D
 from ..functions.columns import cell_of
 from ..functions.result import TEST, coefficients, frame, test_row
 from ..plans.gram import Gram, complete, gram
+from ..plans.ranks import quantiles
 from .linear import INTERCEPT, Fit, design_gram, from_gram, solve
 
 NAN = math.nan
@@ -126,7 +127,7 @@ def breusch_godfrey(df: DataFrame, fit: Fit, order: Sequence[str], lags: int = 1
 def goldfeld_quandt(df: DataFrame, y: str, x: Sequence[str], order: str, drop: float = 0.2) -> DataFrame:
     """The ratio of residual variances of the last and the first rows by an order key, the middle left out."""
     own = complete(df, {"__y": y, **{c: c for c in x}}, [F.col(order).alias("__o")])
-    low, high = own.agg(F.percentile("__o", F.array(F.lit(0.5 - drop / 2), F.lit(0.5 + drop / 2)))).first()[0]
+    low, high = quantiles(own.select(F.col("__o").cast("double").alias("o")), ["o"], [0.5 - drop / 2, 0.5 + drop / 2])["o"]
     part = F.when(F.col("__o") <= low, 0).when(F.col("__o") > high, 1)
     from ..plans.gram import grouped
 

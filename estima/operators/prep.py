@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.gram import gram, number
+from ..plans.ranks import quantiles
 
 #: Distinct values that may become columns.
 MAX_LEVELS = 1000
@@ -49,12 +50,14 @@ def convert(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def impute(df: DataFrame, column: str, strategy: str = "mean", fill_value=None) -> DataFrame:
-    """Nulls and NaN replaced by the column's mean, median, smallest mode, or a constant. The statistic is one row,
-    which is broadcast."""
+    """Nulls and NaN replaced by the column's mean, median, smallest mode, or a constant. The statistic is one value."""
     if strategy == "constant":
         return df.withColumn(column, F.coalesce(_present(df, column), F.lit(fill_value)))
     own = _present(df, column)
-    stat = {"mean": F.avg(own), "median": F.median(own), "mode": F.mode(own, True)}
+    if strategy == "median":
+        mid = quantiles(df.select(number(column).alias("x")), ["x"], [0.5])["x"][0]
+        return df.withColumn(column, F.coalesce(own, F.lit(None if mid != mid else mid)))
+    stat = {"mean": F.avg(own), "mode": F.mode(own, True)}
     if strategy not in stat:
         raise ValueError("strategy must be mean, median, mode or constant")
     one = df.agg(stat[strategy].alias("__fill"))
@@ -203,7 +206,7 @@ def parse_formula(formula: str) -> tuple[str, list[str], list[tuple[str, str]],
 
 def folds(df: DataFrame, k: int, order: str) -> DataFrame:
     """Contiguous folds 0 .. k-1 by an order key, from its quantiles: no task sees all rows."""
-    cuts = df.agg(F.percentile(order, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("q")).first()["q"] if k > 1 else []
+    cuts = quantiles(df.select(number(order).alias("o")), ["o"], [i / k for i in range(1, k)])["o"] if k > 1 else []
     fold = F.lit(0)
     for c in cuts:
         fold = fold + (F.col(order) > F.lit(c)).cast("int")

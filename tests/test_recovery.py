@@ -384,3 +384,15 @@ def test_tests_against_brute_force(spark):
     assert r["statistic"] == sum((a > b) + 0.5 * (a == b) for a in x for b in y)
     p = H.correct_p_values(frame(spark, p_value=[0.01, 0.04, 0.03]), method="holm").toPandas().sort_values("p_value")["p_adjusted"].tolist()
     assert np.allclose(p, [0.03, 0.06, 0.06])
+
+
+def test_exact_quantiles(spark):
+    from estima.plans.ranks import quantiles
+
+    r = np.random.RandomState(2)
+    x, y = r.randn(3000), r.randint(0, 5, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)], "x double, y double, z double")
+    shares = [0.0, 0.1, 0.5, 0.513, 0.99, 1.0]
+    for few in (50_000, 10):
+        got = quantiles(df, ["x", "y", "z"], shares, few)
+        assert np.allclose(got["x"], np.quantile(x, shares)) and np.allclose(got["y"], np.quantile(y, shares)) and np.isnan(got["z"]).all()
