@@ -168,7 +168,7 @@ def m19_fuzzy_rdd(s, d):
 
 def regions(s, d):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.select(F.col("c_nationkey").alias("unit"), panel.period_column(F.col("o_orderdate"), "year").alias("t"), (F.col("o_totalprice") / 1000).alias("y")).where("unit < 12")
+    return o.select(F.col("c_nationkey").alias("unit"), panel.period_column(F.col("o_orderdate"), "year").alias("t"), (F.col("o_totalprice") / 1000).alias("y"))
 
 
 @query()
@@ -214,7 +214,7 @@ def p2_mediation(s, d):
 
 @query()
 def p2_mediation_bootstrap(s, d):
-    return mediation.mediation(line(s, d).where("l_orderkey < 2000"), "l_extendedprice", "l_quantity", "l_discount", "l_orderkey", reps=100)
+    return mediation.mediation(line(s, d), "l_extendedprice", "l_quantity", "l_discount", "l_orderkey", reps=40)
 
 
 # --- V ---------------------------------------------------------------------------------------------------------------------

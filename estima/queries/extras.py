@@ -28,7 +28,7 @@ def a7_feather(s, d):
     """A file for one process: it is written and read on the driver alone."""
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "region.feather")
-        table(s, d, "region").limit(1000).toPandas().to_feather(path)
+        table(s, d, "region").toPandas().to_feather(path)
         return files.read(s, path).select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
 
 
@@ -36,7 +36,7 @@ def a7_feather(s, d):
 def a9_stata(s, d):
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "region.dta")
-        table(s, d, "region").limit(1000).toPandas().to_stata(path, write_index=False)
+        table(s, d, "region").toPandas().to_stata(path, write_index=False)
         return files.read(s, path).select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name")
 
 
