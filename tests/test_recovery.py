@@ -231,7 +231,8 @@ def test_series(spark):
     walk = frame(spark, x=np.cumsum(0.1 + r.randn(600)), t=np.arange(600))
     assert N.adf(df, "a", "t", 1)["statistic"] < -3 and N.adf(walk, "x", "t", 1)["p_value"] > 0.05
     assert N.kpss(walk, "x", "t")["statistic"] > 0.463
-    x = np.cumsum(normal(600, seed=77))
+    r = np.random.RandomState(78)
+    x = np.cumsum(r.randn(600))
     both = frame(spark, x=x, y=2 * x + r.randn(600), t=np.arange(600))
     assert N.johansen(both, ["x", "y"], "t", 2)[2] == 1 and N.engle_granger(both, "y", "x", "t")["statistic"] < -4
 
