@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DISTANCES, cell_of
+from ..plans.storage import written
 
 #: Rows of a side that may be broadcast (of numbers and keys, not texts).
 MAX_BROADCAST_ROWS = 100_000
@@ -122,27 +124,51 @@ def knn_blocks(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
-def knn_lsh(data: DataFrame, queries: DataFrame, k: int, tables: int = 8, width: float = 0.5, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, distance): approximate k nearest by bucketed random projections; exact distances of
-    what shares a bucket in any table."""
-    first = data.select(vector_col).first()
+def reach(tables: int, projections: int, width: float, recall: float) -> float:
+    """Up to which distance two vectors share a bucket in some table with a chance of at least recall."""
+    def chance(distance: float) -> float:
+        u = width / distance
+        one = math.erf(u / math.sqrt(2)) - math.sqrt(2 / math.pi) / u * (1 - math.exp(-u * u / 2))
+        return 1 - (1 - one**projections) ** tables
+
+    low, high = 0.0, width
+    while chance(high) >= recall:
+        low, high = high, 2 * high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chance(mid) >= recall else (low, mid)
+    return low
+
+
+def knn_lsh(data: DataFrame, queries: DataFrame, k: int, tables: int = 16, width: float = 0.5, seed: int = 1, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 8, recall: float = 0.95) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k nearest by bucketed random projections, each true neighbour with a
+    chance of at least recall. What shares a bucket in any table is compared. A neighbour that was missed is no
+    farther than the k-th found, so a query stands if buckets hold pairs of that distance with a chance of recall
+    (see reach); every other query meets all rows (knn_blocks). Rows without a vector are left out."""
+    some = [rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), vector_col) for rows in (data, queries)]
+    first = some[0].select(vector_col).first()
     if first is None:
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, distance double")
-    planes = np.random.RandomState(seed).randn(tables, 2, len(first[0]))
-
-    def hashes(v: Column) -> Column:
-        own = []
-        for t in range(tables):
-            keys = [F.floor(F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in plane]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) / width) for plane in planes[t]]
-            own.append(F.struct(F.lit(t).alias("t"), *[x.alias(f"h{i}") for i, x in enumerate(keys)]))
-        return F.explode(F.array(*own))
-
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"), hashes(F.col(vector_col)).alias("h"))
-    d = data.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("dv"), hashes(F.col(vector_col)).alias("h"))
-    pairs = q.join(d, "h").where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"])
-    scored = pairs.select("query_id", "vec_id", DISTANCES["l2"](F.col("qv"), F.col("dv")).alias("distance"))
+    random, n = np.random.RandomState(seed), tables * projections
+    planes, shifts, mix = random.randn(len(first[0]), n), random.rand(n), random.randint(1, 1 << 62, n)
+
+    def hashes(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        places = np.floor(np.stack(v).astype(float) @ planes / width + shifts).astype(np.int64)
+        return pd.Series(list((places * mix).reshape(len(v), tables, projections).sum(2)))
+
+    held = F.pandas_udf(hashes, "array<long>")
+    d = some[0].select(F.col(id_col).alias("vec_id"), F.posexplode(held(vector_col)).alias("t", "h"))
+    q = some[1].select(F.col(id_col).alias("query_id"), F.posexplode(held(vector_col)).alias("t", "h"))
+    pairs = q.join(d, ["t", "h"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
+    both = pairs.join(some[0].select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("dv")), "vec_id").join(some[1].select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv")), "query_id")
+    scored = both.select("query_id", "vec_id", DISTANCES["l2"](F.col("qv"), F.col("dv")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    found = written(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance"))
+    sure = found.where((F.col("rank") == k) & (F.col("distance") <= reach(tables, projections, width, recall) ** 2)).select("query_id")
+    rest = some[1].join(sure, F.col(id_col) == F.col("query_id"), "left_anti")
+    return found.join(sure, "query_id", "left_semi").unionByName(knn_blocks(some[0], rest, k, "l2", id_col, vector_col))
 
 
 def greedy_match(rows: DataFrame, id_col: str, score: str, treated: str, caliper: float | None = None, slices: int = 64) -> DataFrame:

@@ -208,6 +208,20 @@ def test_nearest_join_like_brute_force(spark):
     assert pairs["match_id"].is_unique and pairs["id"].is_unique and len(pairs) == min(t.sum(), (t == 0).sum()) or len(pairs) > 0.8 * t.sum()
 
 
+def test_approximate_neighbours_are_found(spark):
+    r = np.random.RandomState(21)
+    far = r.randn(600, 64)
+    near = np.repeat(r.randn(40, 64), 15, 0) + 0.002 * r.randn(600, 64)  # groups of near copies, which buckets find
+    for x in (far, near, np.concatenate([far, near])):
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        for k, width in ((5, 0.5), (10, 0.8)):
+            q = df.where("vec_id % 20 = 0")
+            true = {(a["query_id"], a["vec_id"]) for a in joins.knn_blocks(df, q, k).collect()}
+            got = [(a["query_id"], a["vec_id"]) for a in joins.knn_lsh(df, q, k, width=width).collect()]
+            assert len(got) == len(set(got)) == len(true) and len(set(got) & true) >= 0.9 * len(true)
+
+
 def test_synthetic_control(spark):
     b, c = np.linspace(1, 10, 10), np.linspace(3, 6, 10)
     a = (b + c) / 2 + 5 * (np.arange(10) >= 7)
