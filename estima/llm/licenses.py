@@ -139,19 +139,15 @@ class Index:
         for template in names:
             label = self.label[template]
             seeds = sorted(set(self.bodies[template]).intersection(at), key=self.rank.__getitem__)[: self.rare_words]
-            starts = defaultdict(float)  # by where the template would begin, the weight of the seeds that agree
+            votes = defaultdict(float)  # by where the template would begin, the weight of the seeds that stand there, give or take slack
             for word in seeds:
-                for name, offset in self.postings[word]:
-                    if name == template:
-                        for i in at[word]:
-                            starts[i - offset] += self.idf[word]
-            best = defaultdict(float)
-            for start, weight in starts.items():
-                best[start // (self.slack + 1)] = max(best[start // (self.slack + 1)], weight)
+                agreed = {i - offset + d for name, offset in self.postings[word] if name == template for i in at[word] for d in range(-self.slack, self.slack + 1)}
+                for start in agreed:
+                    votes[start] += self.idf[word]
             body = self.bodies[template]
-            # A place where less than half of the seeds' weight agrees is no copy of the template.
-            enough = sum(self.idf[w] for w in seeds) / 2
-            for start in sorted(x for x, w in starts.items() if w >= max(enough, best[x // (self.slack + 1)])):
+            # A match may miss words of 1 - min_match of the template's weight; where seeds of more are missing, none begins.
+            enough = sum(self.idf[w] for w in seeds) - (1 - self.min_match) * self.weight[template] - 1e-9
+            for start in sorted(x for x, w in votes.items() if w >= enough):
                 near = words[max(0, start - self.slack) : max(0, start + len(body) + self.slack)]
                 share = self._share(body, words, start) / self.weight[template]
                 if share >= self.min_match and share > out.get(label, 0.0) and all(_holds(near, p) for p in self.phrases[template]):
@@ -195,9 +191,10 @@ def scan(docs: DataFrame, templates: dict | None = None, rare_words: int = 12, m
 
     Words are runs of 0-9, a-z (A-Z in lower case) and anything beyond ASCII. n_base counts all places where a
     base phrase's words stand one after the other; first_word and last_word are the smallest and largest start.
-    A template's label is added if, from the file's rare_words words of highest inverse document frequency (over
-    all rows of docs), some agree on where the template would begin, words of min_match of its weight stand at
-    their places give or take slack words, and all its mandatory phrases are there. score is 1 with a base
+    A template's label is added if, from a place where one of the file's rare_words words of highest inverse document
+    frequency (over all rows of docs) stands give or take slack words, words of min_match of its weight stand at
+    their places give or take slack words, and all its mandatory phrases are there. Places that the rare words rule
+    out by that weight aren't tried. score is 1 with a base
     label, else the best template's share of weight, else 0. Labels are distinct, sorted, joined by commas.
 
     Null and empty texts have no words, places or labels (empty strings, score 0). Rows may repeat and keep their

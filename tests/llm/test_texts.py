@@ -179,6 +179,27 @@ def test_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_templates_with_edits_like_all_starts():
+    random = np.random.RandomState(5)
+    vocabulary = sorted({w for _, text, _ in licenses.TEMPLATES.values() for w in text.encode().split()})
+    index = licenses.Index(dict(zip(vocabulary, random.uniform(1, 9, len(vocabulary)))), licenses.TEMPLATES, 12, 0.8, 2)
+    for name, body in index.bodies.items():
+        for edits in (1, 2, 2, 2, 3, 4, 5) * 6:
+            words = list(body)
+            for _ in range(edits):
+                at, kind = random.randint(len(words)), random.randint(4)
+                words[at : at + (kind == 3)] = [] if kind == 3 else [b"dnl"]
+            words = [b"x"] * random.randint(4) + words + [b"the"] * random.randint(3)
+            best = {}
+            for template, other in index.bodies.items():
+                for start in range(-2 - len(other), len(words) + 2):
+                    share = index._share(other, words, start) / index.weight[template]
+                    near = words[max(0, start - 2) : max(0, start + len(other) + 2)]
+                    if share >= 0.8 and all(licenses._holds(near, p) for p in index.phrases[template]):
+                        best[index.label[template]] = max(share, best.get(index.label[template], 0))
+            assert index.scan(words)[4] == pytest.approx(best), (name, words)
+
+
 def test_scan_of_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in df.collect()}
