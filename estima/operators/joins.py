@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from ..plans.storage import written
 
 #: Rows of a side that may be broadcast (of numbers and keys, not texts).
 MAX_BROADCAST_ROWS = 100_000
+#: Rows that greedy matching holds in one task.
+SLICE_ROWS = 100_000
 
 
 def common_keys(a: DataFrame, b: DataFrame) -> list[str]:
@@ -172,12 +175,49 @@ def knn_lsh(data: DataFrame, queries: DataFrame, k: int, tables: int = 16, width
 
 
 def greedy_match(rows: DataFrame, id_col: str, score: str, treated: str, caliper: float | None = None, slices: int = 64) -> DataFrame:
-    """(id, match_id, distance): matching without replacement. Scores are cut into slices at quantiles; within a
-    slice treated rows, by score then id, each take the nearest control that is left. Another valid optimum than
-    one pass over all rows, but no task holds more than a slice."""
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(score).cast("double").alias("s"), F.col(treated).cast("int").alias("t")).dropna()
-    cuts = sorted(set(own.agg(F.percentile_approx("s", [i / slices for i in range(1, slices)], 10000).alias("q")).first()["q"] or []))
-    own = own.withColumn("cell", cell_of(F.col("s"), cuts))
+    """(id, match_id, distance): matching without replacement, until no unmatched treated row has a free control
+    within the caliper. Scores are cut into slices at quantiles; within a slice treated rows, by score then id, each
+    take the nearest control that is left. Treated rows and controls that still have each other within the caliper
+    go on to a next round: in one slice once they are at most SLICE_ROWS, before that in slices by chance and by
+    score in turn, so that no task holds more than a slice. Distances may differ from those of one pass over all rows."""
+    left = written(rows.select(F.col(id_col).cast("long").alias("id"), F.col(score).cast("double").alias("s"), F.col(treated).cast("int").alias("t")).dropna())
+    found, turn = [], 0
+    while True:
+        pairs = written(_in_slices(left, caliper, slices, turn))
+        if turn and not pairs.limit(1).count():
+            # Slices parted all that could match: of the treated rows nearest to a control, the nearest has it.
+            best = near.groupBy("match_id").agg(F.min(F.struct("distance", "id")).alias("b"))
+            pairs = written(best.select("b.id", "match_id", "b.distance"))
+        found.append(pairs)
+        left = written(left.join(pairs.select(F.explode(F.array("id", "match_id")).alias("id")), "id", "left_anti"))
+        near = written(nearest(left, "id", "s", "t", caliper))
+        if not near.limit(1).count():
+            return reduce(DataFrame.unionAll, found)
+        # Controls only grow fewer: who has none within the caliper now never will.
+        sought = nearest(left.withColumn("t", 1 - F.col("t")), "id", "s", "t", caliper)
+        left = written(left.join(near.select("id").union(sought.select("id")), "id", "left_semi"))
+        turn += 1
+
+
+def _in_slices(rows: DataFrame, caliper: float | None, slices: int, turn: int) -> DataFrame:
+    """(id, match_id, distance) of a round of greedy_match."""
+    need = -(-rows.count() // SLICE_ROWS)
+    n = max(slices, need) if turn == 0 else max(1, need)
+    if turn % 2 or n == 1:
+        own = rows.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(n))).withColumn("part", F.lit(0).cast("long"))
+    else:
+        cuts, times = np.unique(rows.agg(F.percentile_approx("s", [i / n for i in range(1, n)], 10000).alias("q")).first()["q"] or [], return_counts=True)
+
+        def place(s: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, s.to_numpy(), "right"), dtype="int64")
+
+        def parts(s: pd.Series) -> pd.Series:
+            """Among how many slices the rows of a score are dealt: a frequent one is a cut several times."""
+            at = np.searchsorted(cuts, s.to_numpy())
+            same = np.append(cuts, np.nan)[at] == s.to_numpy()
+            return pd.Series(np.where(same, np.append(times, 1)[at], 1), dtype="int64")
+
+        own = rows.withColumn("cell", F.pandas_udf(place, "long")("s")).withColumn("part", F.pmod(F.xxhash64("id"), F.pandas_udf(parts, "long")("s")))
 
     def take(frame: pd.DataFrame) -> pd.DataFrame:
         controls = frame[frame.t == 0].sort_values(["s", "id"])
@@ -204,7 +244,7 @@ def greedy_match(rows: DataFrame, id_col: str, score: str, treated: str, caliper
                 below[pick], above[pick] = pick - 1, pick + 1
         return pd.DataFrame(out, columns=["id", "match_id", "distance"]).astype({"id": "int64", "match_id": "int64", "distance": "float64"})
 
-    return own.groupBy("cell").applyInPandas(take, "id long, match_id long, distance double")
+    return own.groupBy("cell", "part").applyInPandas(take, "id long, match_id long, distance double")
 
 
 def knn_weights(points: DataFrame, id_col: str, coords: Sequence[str], k: int) -> DataFrame:

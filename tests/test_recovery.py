@@ -222,6 +222,23 @@ def test_approximate_neighbours_are_found(spark):
             assert len(got) == len(set(got)) == len(true) and len(set(got) & true) >= 0.9 * len(true)
 
 
+@pytest.mark.parametrize("slice_rows", [100_000, 150])
+def test_greedy_match_leaves_no_feasible_pair(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(joins, "SLICE_ROWS", slice_rows)
+    r = np.random.RandomState(22)
+    t = np.repeat([0, 1], 400)
+    s = np.where(t == 0, 0.8 + 0.1 * r.rand(800), 0.9 + 0.1 * r.rand(800))
+    for caliper in (None, 0.02):
+        pairs = joins.greedy_match(frame(spark, id=np.arange(800), s=s, t=t), "id", "s", "t", caliper).toPandas()
+        assert pairs["id"].is_unique and pairs["match_id"].is_unique and (t[pairs["id"]] == 1).all() and (t[pairs["match_id"]] == 0).all()
+        assert np.allclose(np.abs(s[pairs["id"]] - s[pairs["match_id"]]), pairs["distance"])
+        one, other = s[np.setdiff1d(np.flatnonzero(t == 1), pairs["id"])], s[np.setdiff1d(np.flatnonzero(t == 0), pairs["match_id"])]
+        if caliper is None:
+            assert len(pairs) == 400
+        else:
+            assert len(pairs) and (pairs["distance"] <= caliper).all() and (np.abs(one[:, None] - other) > caliper).all()
+
+
 def test_synthetic_control(spark):
     b, c = np.linspace(1, 10, 10), np.linspace(3, 6, 10)
     a = (b + c) / 2 + 5 * (np.arange(10) >= 7)
