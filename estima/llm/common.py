@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from estima.plans.storage import scratch, shared_folder, written
+
+__all__ = ["MAX_BROADCAST_ROWS", "components", "free_names", "join_small", "scratch", "shared_folder", "small_batches", "union_all", "written"]
+
 #: Rows of at most a few dozen bytes each; under 100 MB, so that a broadcast is safe.
 MAX_BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset (tests, one
-    machine) a temporary folder takes its place and is set for the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="estima-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/estima-{uuid.uuid4().hex}"
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until no taken name equals it, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
@@ -32,23 +35,16 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) ->
             spark.conf.set(key, most)
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and a lost executor loses nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
     """big joined with a table of distinct keys. It is broadcast only if its counted rows are within
     MAX_BROADCAST_ROWS; beyond that both sides shuffle and the big side's hot keys are dealt over 64 salts."""
     if rows <= MAX_BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
     salts = 64
-    left = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    (salt,) = free_names([*big.columns, *small.columns], "__salt")
+    left = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts)))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

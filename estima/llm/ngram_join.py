@@ -14,64 +14,35 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_small, small_batches, written
+from .common import components, join_small, scratch, small_batches, written
 
 #: 2 ** ORDER_BITS counters, dealt over blocks of BLOCK, say roughly how frequent an n-gram is. A fixed size.
-ORDER_BITS, BLOCK = 20, 4096
+ORDER_BITS, BLOCK = 20, 16384
 FRAGMENTS = 8
 #: So many rows of one n-gram, above the mean of a counter, make a salt of their own.
 HOT_ROWS = 20_000
 #: Texts are hashed in pieces of so many bytes, so that work space stays small beside a long text.
 PIECE = 1 << 18
+SPACES = (9, 10, 11, 12, 13, 32)
+#: Where all pairs of a component are counted, blocks of classes have about so many n-grams and rows at most (a class
+#: with more n-grams is a block of its own), and so many columns of their overlaps are counted at a time.
+BLOCK_GRAMS, BLOCK_ROWS, COLUMNS = 1 << 19, 256, 4096
 
-_MULTIPLIER = 0xD1342543DE82EF95
-_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, _MULTIPLIER, np.uint64)]))
-_INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)]))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= _MIX[3]
-    h ^= h >> np.uint64(29)
-    h *= _MIX[4]
-    return h ^ (h >> np.uint64(32))
-
-
-def _hash_words(piece: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of at most PIECE bytes of lower-case text: the words' bytes as digits in a large odd
-    base, from one running sum over the piece, then spread."""
-    b = np.frombuffer(piece, np.uint8)
-    inside = np.concatenate([[False], ~_SPACE[b], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    if not len(edges):
-        return np.zeros(0, np.uint64)
-    starts, ends = edges[::2], edges[1::2]
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(b)], out=total[1:])
-    return _spread((total[ends] - total[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64) * _MIX[0])
-
-
 def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of a lower-case text's words. A word of more than PIECE bytes is hashed by itself."""
-    if len(text) <= PIECE:
-        return _hash_words(text)
+    """A 64-bit hash (xxh3) of each word of a lower-case text, which is split a piece at a time. split() parts bytes at
+    space and tab to carriage return, no others."""
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + PIECE)
         if end < len(text):
-            cut = max(text.rfind(bytes([c]), at, end) for c in (9, 10, 11, 12, 13, 32))
-            if cut < 0:  # no white space: the word goes on, as far as its own end
-                end = min([k for c in (9, 10, 11, 12, 13, 32) if (k := text.find(bytes([c]), end)) >= 0], default=len(text))
-                if end - at > PIECE:
-                    out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end])], np.uint64))
-                    at = end
-                    continue
-            else:
-                end = cut + 1
-        out.append(_hash_words(text[at:end]))
+            cut = max(text.rfind(bytes([c]), at, end) for c in SPACES)
+            # Without white space the word goes on, as far as its own end.
+            end = cut + 1 if cut >= 0 else min([k for c in SPACES if (k := text.find(bytes([c]), end)) >= 0], default=len(text))
+        words = text[at:end].split()
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -122,7 +93,7 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(a row (doc_id, n, s1, s2, bits) for each document, with the two halves of its set's signature and its bit
     map; the counters of how often n-grams occur, summed by task and block)."""
     names = ["doc_id", "n", "s1", "s2", "bits", "block", "part", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << ORDER_BITS, np.int64)
@@ -143,9 +114,9 @@ def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         for at in range(0, len(some), 32):
             own = some[at : at + 32]
             none = [None] * len(own)
-            yield pa.RecordBatch.from_arrays([*(pa.array(none, t) for t in types[:5]), pa.array(own, types[5]), pa.array([part] * len(own), types[6]), pa.array([blocks[i] for i in own], types[7])], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(none, t) for t in types[:5]), pa.array(own, types[5]), pa.array([part] * len(own), types[6]), pa.array([blocks[i].tobytes() for i in own], types[7])], names=names)
 
-    both = written(docs.select("doc_id", F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits array<long>, block int, part int, counts array<long>"))
+    both = written(docs.select("doc_id", F.encode("text", "UTF-8").alias("t")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits array<long>, block int, part int, counts binary"))
     return both.where("block IS NULL").select("doc_id", "n", "s1", "s2", "bits"), both.where("block IS NOT NULL").select("block", "part", "counts")
 
 
@@ -153,13 +124,16 @@ def _order(counts: DataFrame) -> np.ndarray:
     """All counters, 2 ** ORDER_BITS of them whatever the input, summed in two steps so that no task holds many."""
 
     def add(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "part": np.array([0], "i4"), "counts": [np.sum(np.stack(frames["counts"].to_list()), axis=0)]})
+        total = np.zeros(BLOCK, np.int64)
+        for own in frames["counts"]:
+            total += np.frombuffer(own, np.int64)
+        return pd.DataFrame({"block": [key[0]], "part": np.array([0], "i4"), "counts": [total.tobytes()]})
 
-    schema = "block int, part int, counts array<long>"
+    schema = "block int, part int, counts binary"
     some = counts.withColumn("part", F.pmod("part", F.lit(64))).groupBy("block", "part").applyInPandas(add, schema)
     out = np.zeros((1 << ORDER_BITS) // BLOCK * BLOCK, np.int64).reshape(-1, BLOCK)
     for row in some.groupBy("block").applyInPandas(add, schema).toPandas().itertuples(index=False):
-        out[row.block] = row.counts
+        out[row.block] = np.frombuffer(row.counts, np.int64)
     return out.reshape(-1)
 
 
@@ -241,14 +215,14 @@ def _segments(docs: DataFrame, ids: DataFrame, n_ids: int, sets: DataFrame, word
     return out.join(sets, ["s1", "s2"], "left_semi").groupBy("s1", "s2", "fragment").agg(F.first("grams").alias("grams"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a1, a2, b1, b2) among the candidate pairs (a, b) of halves of signatures: the bit maps rule out most of
-    what can't reach the threshold; for the rest partial overlaps are counted in each fragment by itself and summed."""
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a1, a2, b1, b2) among the candidate pairs (a, b) of halves of signatures, the segments of the sets that
+    were looked at): the bit maps rule out most of what can't reach the threshold; for the rest partial overlaps are
+    counted in each fragment by itself and summed."""
     end = lambda e: classes.select(F.col("s1").alias(e), F.col("s2").alias(f"{e}2"), F.col("n").alias(f"{e}n"), F.col("bits").alias(f"{e}bits"))
     both = pairs.join(end("a"), "a").join(end("b"), "b")
-    n = F.col("an") + F.col("bn")
     apart = F.aggregate(F.zip_with("abits", "bbits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    may = (F.size("abits") != F.size("bbits")) | (F.lit(100 + percent) * (n - apart) >= F.lit(2 * percent) * n)
+    may = (F.size("abits") != F.size("bbits")) | _near(F.col("an") + F.col("bn"), apart, percent)
     near = written(both.where(may).select(F.col("a").alias("a1"), "a2", "an", F.col("b").alias("b1"), "b2", "bn"))
     ends = written(near.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(near.select("b1", "b2")).distinct())
     ids = written(classes.join(ends, ["s1", "s2"]).select(F.col("rep").alias("doc_id")).distinct())
@@ -257,28 +231,130 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
     right = segments.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), "fragment", F.col("grams").alias("y"))
     partial = near.join(left, ["a1", "a2"]).join(right, ["b1", "b2", "fragment"]).select("a1", "a2", "an", "b1", "b2", "bn", F.size(F.array_intersect("x", "y")).alias("common"))
     total = partial.groupBy("a1", "a2", "an", "b1", "b2", "bn").agg(F.sum("common").alias("o"))
-    return written(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("an") + F.col("bn") - F.col("o"))).select("a1", "a2", "b1", "b2"))
-
-
-def join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id per row: documents link if the Jaccard similarity of their sets of word
-    n-grams is percent / 100 or more; component_id is the smallest id that links reach.
+    return written(total.where(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("an") + F.col("bn") - F.col("o"))).select("a1", "a2", "b1", "b2")), segments
+
+
+def _near(n: Column, apart: Column, percent: int) -> Column:
+    """Whether two sets of n grams together, of which at least apart are in one alone, can reach the threshold."""
+    return F.lit(100 + percent) * (n - apart) >= F.lit(2 * percent) * n
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many n-grams each set of a shares with each of b (with each other of a, if None). The n-grams that several sets hold are cut
+    into fragments of COLUMNS; in each the overlaps of all pairs are one product of matrices, and these are summed."""
+    sets = a if b is None else a + b
+    grams = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    column = np.cumsum(np.concatenate([[False], grams[1:] != grams[:-1]])[: len(grams)])
+    common = np.bincount(column, minlength=1) > 1
+    keep = common[column]
+    column, owner = (np.cumsum(common) - 1)[column][keep], owner[keep]
+    out = np.zeros((len(a), len(sets) - len(a) if b is not None else len(a)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        held[owner[part], column[part] - at] = 1
+        out += (held[: len(a)] @ held[len(a) if b is not None else 0 :].T).astype(np.int64)
+    return out
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """members (c, s1, s2, n, ids) once for each pair of blocks in which it is to meet others: l and r name the pair,
+    and second says whether the row is in its second block.
+
+    Components of up to BLOCK_GRAMS n-grams and BLOCK_ROWS sets are packed whole. The sets of larger ones are dealt
+    over bands of size, of which only neighbours can reach the threshold, and within a band over blocks by hash."""
+    whole = written(members.groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("grams")))
+    small = (F.col("k") <= BLOCK_ROWS) & (F.col("grams") <= BLOCK_GRAMS)
+    packs = 1 + int((whole.where(small).agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]) // BLOCK_GRAMS)
+    # Two sets that reach the threshold differ in size by 100 / percent at most, which is less than a band.
+    rows = members.join(whole, "c").withColumn("band", F.floor(F.log("n") / F.log(F.lit(101 / percent))).cast("long"))
+    packed = rows.where(small).withColumns({"l": F.array(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.pmod(F.xxhash64("c"), F.lit(packs))), "second": F.lit(False)}).withColumn("r", F.col("l"))
+    large = rows.where(~small)
+    counts = large.groupBy("c", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks"))
+    near = lambda step, name: counts.select("c", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+    dealt = large.join(counts, ["c", "band"]).join(near(-1, "above"), ["c", "band"], "left").join(near(1, "below"), ["c", "band"], "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")))
+    own = F.array("c", "band", "block")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    there = lambda n, f: F.when(F.col(n) > 0, F.transform(upto(n), f)).otherwise(F.array().cast("array<struct<l:array<bigint>,r:array<bigint>,second:boolean>>"))
+    meet = lambda x, y, second: F.struct(x.alias("l"), y.alias("r"), second.alias("second"))
+    same = there("blocks", lambda t: meet(F.array("c", "band", F.least("block", t)), F.array("c", "band", F.greatest("block", t)), F.col("block") > t))
+    above = there("above", lambda t: meet(own, F.array(F.col("c"), F.col("band") + 1, t), F.lit(False)))
+    below = there("below", lambda t: meet(F.array(F.col("c"), F.col("band") - 1, t), own, F.lit(True)))
+    dealt = dealt.withColumn("p", F.explode(F.concat(same, above, below)))
+    names = ["c", "s1", "s2", "n", "ids", "second"]
+    return packed.select(*names, "l", "r").unionByName(dealt.select(*names[:-1], "p.*").select(*names, "l", "r"))
+
+
+def _partners(classes: DataFrame, parts: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2, others): of each class in a component the ids in the classes that it links with, all pairs of different
+    sets of a component being counted, in blocks."""
+    members = classes.join(parts.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep")
+    pairs = members.groupBy("c").agg(F.count("*").alias("k"), F.sum("ids").alias("all"))
+    members = written(members.join(pairs, "c").select("c", "s1", "s2", "n", "ids", "k", "all"))
+    # Two classes in a component by themselves are linked, or they weren't in it.
+    alone = members.where("k = 2").select("s1", "s2", (F.col("all") - F.col("ids")).alias("others"))
+    asked = written(_blocks(members.where("k > 2").drop("k", "all"), percent))
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in frame.groupby("c", sort=False):
+            sets = [g.reset_index(drop=True) for _, g in part.groupby(["second", "s1", "s2"], sort=False)]
+            first, second = ([x for x in sets if bool(x["second"][0]) == side] for side in (False, True))
+            cross = part["l"].iloc[0].tolist() != part["r"].iloc[0].tolist()
+            if not first or (cross and not second):
+                continue
+            grams = lambda side: [np.concatenate([np.asarray(g, np.int64) for g in x["grams"]]) for x in side]
+            number = lambda side, name: np.array([x[name][0] for x in side], np.int64)
+            common = overlaps(grams(first), grams(second) if cross else None)
+            other = second if cross else first
+            n, m = number(first, "n"), number(other, "n")
+            link = 100 * common >= percent * (n[:, None] + m - common)
+            if not cross:
+                np.fill_diagonal(link, False)
+            for side, found in ((first, link @ number(other, "ids")), (second, number(first, "ids") @ link)):
+                if len(side) and len(found) == len(side):
+                    out.append(pd.DataFrame({"s1": number(side, "s1"), "s2": number(side, "s2"), "others": found}))
+        return pd.concat(out) if out else pd.DataFrame({"s1": [], "s2": [], "others": []}, dtype="i8")
+
+    full = asked.join(segments.select("s1", "s2", "grams"), ["s1", "s2"])
+    found = full.groupBy("l", "r").applyInPandas(count, "s1 long, s2 long, others long")
+    return found.unionByName(alone).groupBy("s1", "s2").agg(F.sum("others").alias("others"))
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with count_links, n_links per row: documents link if the Jaccard similarity
+    of their sets of word n-grams is percent / 100 or more; component_id is the smallest id that links reach, n_links
+    the number of other documents that the row's text links with.
 
     Words are runs of anything but white space (space, tab to carriage return), A-Z in lower case. Shorter texts have one n-gram of all
     their words. Null texts and texts without words have none, link with nothing and are their own component. Rows
-    without an id have a null component. Rows may repeat; rows of one id are one document, whose links are those
-    of all its texts. An empty table gives an empty table; other columns are not read.
+    without an id have a null component and null n_links. Rows may repeat; rows of one id are one document, whose links are those
+    of all its texts; an id with several texts counts once for each in the n_links of others. An empty table gives an
+    empty table; other columns are not read.
 
     Equal sets are one class, however many rows it has, and only classes are compared. N-grams are ordered by
     rough frequency, then by hash; classes that reach the threshold share one of their first n-grams. Of the
     classes that share one, each is compared with that which has it earliest, then any that are still in different
-    components with each other, as far as sizes and places allow a link: so a group of near copies costs about
-    one comparison a member, and no link between components is lost. Nothing is capped or sampled.
+    components with each other, as far as sizes, places and small bit maps allow a link: so the components of a group
+    of near copies cost about one comparison a member. Within the components so found all pairs of classes of fitting
+    sizes are then counted, in blocks. Nothing is capped or sampled.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        out = _joined(own, words, percent, count_links)
+        names = [F.col("doc_id").alias(id_col), "n_shingles", "component_id"] + ["n_links"] * count_links
+        return written(out.select(*names), keep=True)
+
+
+def _joined(own: DataFrame, words: int, percent: int, count_links: bool) -> DataFrame:
     sets, counts = _sets(own, words)
     some = sets.where("n > 0 AND doc_id IS NOT NULL")
+    entries = some.select("doc_id", "s1", "s2").distinct()
     classes = written(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     order = _order(counts)
     with_id = own.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -291,32 +367,44 @@ def join(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_
     met = shared.join(first, "gram").where("s1 <> f1")
     stars = met.where(_may(F.col("fn"), F.col("fat"), F.col("n"), F.col("at"), percent)).select(F.col("f1").alias("a"), F.col("s1").alias("b"))
     twins = classes.groupBy("s1").agg(F.count("*").alias("k")).where("k > 1").select(F.col("s1").alias("a"), F.col("s1").alias("b"))
-    links = _linked(written(stars.union(twins).distinct()), own, classes, words, percent)
+    links, segments = _linked(written(stars.union(twins).distinct()), own, classes, words, percent)
     parts = written(components(_named(links, classes)))
 
     # Classes that share a first half are rare enough to have one label here: it only saves comparisons of the same
     # component, and such classes are kept apart by the smaller label, which compares too much rather than too little.
-    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("s1").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("component", "rep")).alias("d"))
-    label = label.select("s1", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"))
+    # Folded to 256 bits, a set's map still differs from another's in no more bits than the sets have n-grams of their own.
+    fold = F.expr("transform(sequence(0, 3), i -> aggregate(sequence(i, size(bits) - 1, 4), 0L, (t, j) -> t ^ bits[j]))")
+    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("s1").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("component", "rep")).alias("d"), F.count("*").alias("k"), F.first(fold).alias("w"))
+    label = label.select("s1", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"), F.when(F.col("k") == 1, F.col("w")).alias("w"))
     first = first.join(label.select(F.col("s1").alias("f1"), F.col("c").alias("fc")), "f1")
     held = written(shared.join(label, "s1").join(first, "gram").where("s1 <> f1"))
     apart = lambda x, y: ~F.coalesce(F.col(x) == F.col(y), F.lit(False))
-    stray = held.where(apart("c", "fc")).select("gram", F.col("s1").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"))
-    rest = held.select("gram", F.col("s1").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc"), apart("c", "fc").alias("bstray"))
+    band = F.floor(F.log("n") / F.log(F.lit(101 / percent))).cast("int")
+    stray = held.where(apart("c", "fc")).select("gram", F.col("s1").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"), F.col("w").alias("aw"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    rest = held.select("gram", F.col("s1").alias("b"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc"), F.col("w").alias("bw"), apart("c", "fc").alias("bstray"), band.alias("band"))
     once = ~F.col("bstray") | (F.col("a") < F.col("b"))
-    over = stray.join(rest, "gram").where(apart("ac", "bc") & (F.col("a") != F.col("b")) & once & _may(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat"), percent))
-    more = _linked(written(over.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), own, classes, words, percent)
+    flipped = sum((F.bit_count(F.col("aw")[i].bitwiseXOR(F.col("bw")[i])) for i in range(1, 4)), F.bit_count(F.col("aw")[0].bitwiseXOR(F.col("bw")[0])))
+    over = stray.join(rest, ["gram", "band"]).where(apart("ac", "bc") & (F.col("a") != F.col("b")) & once & _may(F.col("an"), F.col("aat"), F.col("bn"), F.col("bat"), percent) & F.coalesce(_near(F.col("an") + F.col("bn"), flipped, percent), F.lit(True)))
+    more, others = _linked(written(over.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), own, classes, words, percent)
     if more.limit(1).count():
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_named(more, classes))))
+        segments = segments.union(others).dropDuplicates(["s1", "s2", "fragment"])
+    if count_links:
+        ids = entries.groupBy("s1", "s2").agg(F.count("*").alias("ids"))
+        sized = written(classes.join(ids, ["s1", "s2"]).select("s1", "s2", "rep", "n", "ids"))
+        partners = written(sized.join(_partners(sized, parts, segments, percent), ["s1", "s2"], "left").select("s1", "s2", (F.coalesce("others", F.lit(0)) + F.col("ids") - 1).alias("links")))
     # An id whose rows have several texts is one document: its classes belong together.
-    doubles = some.select("doc_id", "s1", "s2").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
+    doubles = entries.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
     if doubles.limit(1).count():
-        tied = some.join(doubles, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        tied = entries.join(doubles, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tied)))
     label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
+    if count_links:
+        label = label.join(partners, ["s1", "s2"])
     out = sets.drop("bits").join(label, ["s1", "s2"], "left")
     mine = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    out = out.withColumns({"n_shingles": F.col("n"), "component_id": mine})
+    return out.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0)))) if count_links else out
 
 
 def _named(links: DataFrame, classes: DataFrame) -> DataFrame:

@@ -156,8 +156,9 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, CAST(coalesce(k.k, 0) AS BIGINT) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS c FROM r GROUP BY node) m ON m.node = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) k ON k.a = d.doc_id
 """
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_ROWS, shared_dir, small_batches, written
+from .common import MAX_BROADCAST_ROWS, shared_folder, small_batches, written
 
 READ_BYTES = 1 << 16
 MIN_REVISIT_BYTES = 100
@@ -221,4 +221,4 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     """
     spark = pages.sparkSession
     records = with_revisits(pages, id_col, html_col, url_col)
-    return read(spark, write(records, shared_dir(spark)), keep_payload)
+    return read(spark, write(records, shared_folder(spark)), keep_payload)

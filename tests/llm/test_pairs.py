@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from estima.llm import common, media, ngram_join, topk
@@ -65,7 +66,7 @@ def brute_join(docs):
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
         s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
-        order.append((i, len(s)))
+        order.append((i, s))
         if i is not None:
             sets.setdefault(i, []).append(s)
     parent = {i: i for i in sets}
@@ -75,13 +76,19 @@ def brute_join(docs):
             x = parent[x]
         return x
 
+    like = lambda s, t: bool(s and t) and 100 * len(s & t) >= 75 * len(s | t)
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if any(s and t and 100 * len(s & t) >= 75 * len(s | t) for s in sets[a] for t in sets[b]):
+            if any(like(s, t) for s in sets[a] for t in sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    return sorted(((i, n, None if i is None else root(i)) for i, n in order), key=str)
+    links = lambda i, s: None if i is None else sum(like(s, t) for j in sets for t in set(sets[j])) - bool(s)
+    return sorted(((i, len(s), None if i is None else root(i), links(i, s)) for i, s in order), key=str)
+
+
+def joined(docs):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.join(docs).collect()), key=str)
 
 
 def corpus(seed: int, n: int = 150, words: int = 60):
@@ -108,12 +115,13 @@ def corpus(seed: int, n: int = 150, words: int = 60):
 def test_join_like_brute_force(spark, monkeypatch, seed):
     if seed == 3:  # salts for frequent n-grams, and shuffled joins in place of broadcasts
         monkeypatch.setattr(ngram_join, "HOT_ROWS", -10)
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+        monkeypatch.setattr(ngram_join, "COLUMNS", 16)
         monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
     docs = corpus(seed)
     docs += [(900, None), (901, ""), (902, " \t "), (903, "a b"), (904, "A  B"), (905, "b a"), (907, "a b c d e"), (906, "A b c D e"), (None, docs[0][1]), (3, docs[3][1]), (910, docs[5][1]), (910, docs[9][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(5)
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()), key=str)
-    assert got == brute_join(docs)
+    assert joined(df) == brute_join(docs)
 
 
 def test_join_large_sets_and_near_group(spark):
@@ -127,13 +135,54 @@ def test_join_large_sets_and_near_group(spark):
         docs.append((i, " ".join(w)))
     docs += [(100, "z" * 600000 + " b c d e f"), (101, "z" * 600000 + " b c d e f"), (102, " ".join(base[:1300]))]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()), key=str) == brute_join(docs)
+    assert joined(df) == brute_join(docs)
+
+
+def test_word_hashes():
+    """Words that agree modulo 2 ** 64 as digits of any odd base (Thue-Morse words and their complements) differ."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+        b = a.translate(str.maketrans("ab", "ba"))
+        one, other = (ngram_join.word_hashes(x.encode())[0] for x in (a, b))
+        assert one != other
+    text = b"x y  z" + b"w" * 1000 + b"\t\x0bq\n"
+    assert ngram_join.word_hashes(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in text.split()] and not len(ngram_join.word_hashes(b" \t"))
+
+
+@pytest.mark.parametrize("piece", [4, 7])
+def test_words_in_pieces(monkeypatch, piece):
+    text = b"ab cde f  ghijklmnop q\nrs " * 3
+    whole = ngram_join.word_hashes(text).tolist()
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    assert ngram_join.word_hashes(text).tolist() == whole
+
+
+def test_overlaps():
+    r = np.random.RandomState(2)
+    sets = [np.unique(r.randint(0, 60, r.randint(1, 50))) for _ in range(9)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    got = ngram_join.overlaps(sets)
+    np.fill_diagonal(got, np.diag(want))
+    assert got.tolist() == want
+    assert ngram_join.overlaps(sets[:4], sets[4:]).tolist() == [row[4:] for row in want[:4]]
+
+
+def test_form_letters(spark):
+    """Texts that share three quarters of their words and aren't linked, a chain of linked ones, and sizes at the edge."""
+    r = random.Random(11)
+    letter = [f"f{i}" for i in range(60)]
+    docs = [(i, " ".join([f"o{i}x{k}" for k in range(r.randint(10, 22))] + letter)) for i in range(60)]
+    chain = [f"c{i}" for i in range(200)]
+    docs += [(100 + i, " ".join(chain[i * 5 : i * 5 + 60])) for i in range(28)]
+    docs += [(200 + i, " ".join(f"s{k}" for k in range(4 + n))) for i, n in enumerate((75, 100, 101, 74, 133, 134))]
+    assert joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute_join(docs)
 
 
 def test_join_empty(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = spark.createDataFrame([(1, None)], "doc_id long, text string")
-    assert [tuple(r) for r in ngram_join.join(one).collect()] == [(1, 0, 1)]
+    assert [tuple(r) for r in ngram_join.join(one).collect()] == [(1, 0, 1, 0)]
 
 
 def test_components(spark):
@@ -216,7 +265,7 @@ def test_pipeline(spark, tmp_path):
     toxic = {r[0] for r in rows[0] if labels.get(r[0]) == 1}
     clean = {r[0] for r in rows[0] if labels.get(r[0]) == 0}
     assert len(toxic & kept) <= 0.2 * len(toxic) and len(clean - kept) <= 0.05 * len(clean)
-    component = {i: c for i, _, c in brute_join([(r[0], r[1]) for r in rows[1]])}
+    component = {i: c for i, _, c, _ in brute_join([(r[0], r[1]) for r in rows[1]])}
     assert sorted(r[0] for r in rows[2]) == sorted(i for i, c in component.items() if c == i)
     words = lambda rs: sum(len(r[1].split()) for r in rs)
     assert {r[0] for r in rows[3]} <= {r[0] for r in rows[2]} and 0.7 * words(rows[2]) <= words(rows[3]) <= 0.8 * words(rows[2])
