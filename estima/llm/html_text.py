@@ -16,17 +16,29 @@ from .common import small_batches
 # Elements by their meaning in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
+IN_HEAD = RAW | {"base", "link", "meta", "head"}
 OUT = {
     "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "menu", "dialog",
     "svg", "math", "canvas", "audio", "video", "object", "embed", "head", "datalist", "search", "map",
 }
 BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl",
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl",
     "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
     "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "tr", "ul",
 }
-CLOSES_P = BLOCK - {"br", "body", "html", "caption", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LIST = {"ul", "ol", "dl", "table"}
+# A start tag that closes an open element whose end tag may be left out, as far as the next boundary.
+CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
+P_SCOPE = {"table", "td", "th", "caption", "button", "object"}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+}
+#: Beyond these an end tag closes nothing but what belongs to the table.
+CELL = {"table", "td", "th", "caption"}
+TABLE = {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}
 # Words of class, id and role names that mark what isn't the article.
 NOISE = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs",
@@ -36,135 +48,179 @@ NOISE = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets", "search", "signup",
     "complementary", "alert", "overlay", "copyright", "skip", "topbar", "login", "disclaimer",
 }
-KEEP = {"article", "main", "body", "html"}
+# After a word of NOISE these say no more than what part of a page it is ("comment-list").
+PART = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "cards", "column",
+    "container", "content", "form", "group", "header", "heading", "holder", "icon", "icons", "inner", "item", "items",
+    "left", "link", "links", "list", "menu", "message", "outer", "panel", "policy", "post", "posts", "primary", "right",
+    "row", "secondary", "section", "slot", "stories", "text", "thread", "title", "top", "unit", "widget", "wrap", "wrapper",
+}
+# Names that begin with these say how a page is laid out, not what an element is ("no-sidebar").
+STATE = {"no", "has", "with", "without", "is", "not", "layout", "hide", "show", "js", "page", "theme", "body"}
 #: Beside "header" in a name, these say that it is the header of the article and no page header.
 OWN_HEADER = {"article", "content", "entry", "post", "story"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+# Attributes by the rules of HTML: a quote opens a value only after =, elsewhere it is a character like others. One that
+# is never closed opens none.
+ATTRIBUTES = r"""(?>[\s/]+|=|[^\s/>=]+(?>\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?)*+"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?>\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 
+def _names_noise(name: str) -> bool:
+    """Whether one name of a class, id or role says that an element isn't the article: its only or last word does, or
+    its first, followed by nothing but names of parts of a page."""
+    words = [w.lower() for w in NAME.findall(name)]
+    if not words or words[0] in STATE:
+        return False
+    if words[-1] == "header":
+        return not OWN_HEADER & set(words)
+    return words[-1] in NOISE or (words[0] in NOISE and PART.issuperset(words[1:]))
+
+
 def _noise(tag: str, attributes: str) -> bool:
-    """Whether an element is a menu, notice, advert, form or the like by its tag, or by its class, id or role."""
-    if tag in OUT:
-        return True
-    if tag in KEEP or not attributes:
+    """Whether an element is a menu, notice, advert, form or the like by its class, id or role, or hidden."""
+    if not attributes or tag in ("body", "html"):
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes) or re.search(r"display\s*:\s*none", attributes):
-        return True
     for name, value in ATTRIBUTE.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
-            words = {w.lower() for w in NAME.findall(value)}
-            if words & NOISE or "header" in words and not words & OWN_HEADER:
-                return True
-        if name.lower() == "aria-hidden" and value.strip("\"'").lower() == "true":
+        name, value = name.lower(), value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] else value
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            return True
+        if name in ("class", "id", "role") and any(map(_names_noise, value.split())):
             return True
     return False
 
 
 class Line:
-    """A block of text: its characters, how many of them stand in links, and whether it is in an article element."""
+    """A block of text: its characters and how many of them stand in links, the element it is in, the nearest article or
+    main element (0: none), and whether it is in a heading or in a list or table."""
 
-    __slots__ = ("text", "linked", "article", "main", "heading")
+    __slots__ = ("text", "linked", "element", "scope", "heading", "listed", "marks")
 
-    def __init__(self, text: str, linked: int, article: bool, main: bool, heading: bool):
-        self.text, self.linked, self.article, self.main, self.heading = text, linked, article, main, heading
+    def __init__(self, text: str, linked: int, element: int, scope: int, heading: bool, listed: bool, marks: tuple):
+        self.text, self.linked, self.element, self.scope, self.heading, self.listed, self.marks = text, linked, element, scope, heading, listed, marks
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's blocks of text outside elements that are marked as something else, in page order."""
-    out: list[Line] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[str] = []
-    skipped = 0  # depth of the stack at which a noise element was opened, plus 1
-    at, size = 0, len(page)
-    counts = {"a": 0, "article": 0, "main": 0, "h": 0}
+class Page:
+    """The blocks of text of a page, in page order, and its tree of block elements: the parent of each, and of each
+    article or main element the tag and the scope that it stands in. One pass, in time linear in the page's length."""
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+    def __init__(self, page: str):
+        self.lines: list[Line] = []
+        self.parent, self.scopes = [0], {0: ("", 0)}
+        #: Elements that a name marks, but which hold the page's main element or an article, and so aren't noise.
+        self.wide: set[int] = set()
+        self._parts: list[str] = []
+        self._linked = 0
+        #: Open elements: (tag, number of the innermost block element, its scope, whether it is skipped, marked).
+        self._stack: list[tuple[str, int, int, bool, bool]] = []
+        self._at: dict[str, list[int]] = {}
+        self._marks: list[int] = []
+        self._link = 0  # depth at which a link was opened, plus 1
+        self._read(page)
+        self._flush()
+        by_name = [x for x in self.lines if self.wide.issuperset(x.marks)]
+        self.lines = by_name or self.lines
+
+    def _flush(self) -> None:
+        if self._parts:
+            text = SPACE.sub(" ", entities.unescape("".join(self._parts))).strip()
             if text:
-                out.append(Line(text, linked, counts["article"] > 0, counts["main"] > 0, counts["h"] > 0))
-            parts.clear()
-        linked = 0
-
-    def kind(tag: str) -> str | None:
-        return tag if tag in ("a", "article", "main") else "h" if re.fullmatch(r"h[1-6]", tag) else None
-
-    def pop() -> None:
-        nonlocal skipped
-        tag = stack.pop()
-        if skipped and len(stack) < skipped:
-            skipped = 0
-        if (k := kind(tag)) is not None:
-            counts[k] -= 1
-
-    def text(raw: str) -> None:
-        nonlocal linked
-        if raw and not skipped:
-            parts.append(raw)
-            if counts["a"]:
-                linked += len(raw.strip())
-
-    while at < size:
-        found = TOKEN.search(page, at)
-        if not found:
-            text(page[at:])
-            break
-        text(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
-            if found[0].startswith("<![CDATA["):
-                text(found[0][9:-3])
-            continue
-        if found[1]:
-            if tag in BLOCK:
-                flush()
-            if tag in stack:
-                while stack[-1] != tag:
-                    pop()
-                pop()
-            continue
-        if tag in BLOCK:
-            flush()
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
-        if tag in VOID or found[3].rstrip().endswith("/"):
-            continue
-        if "head" in stack and tag in BLOCK:  # its end tag may be left out
-            while stack.pop() != "head":
-                pass
-            skipped = 0
-        # Elements whose end tag may be left out.
-        if tag in CLOSES_P and "p" in stack:
-            scope = len(stack) - 1 - stack[::-1].index("p")
-            if not any(x in ("table", "td", "th", "button", "article", "div", "section", "main", "li", "blockquote") for x in stack[scope + 1 :]):
-                inline = stack[scope + 1 :]
-                while len(stack) > scope:
-                    pop()
-                for x in inline:  # formatting that is still open goes on; it carries no noise
-                    if x not in BLOCK:
-                        stack.append(x)
-                        if (k := kind(x)) is not None:
-                            counts[k] += 1
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1] == tag:
-            pop()
-        stack.append(tag)
-        if (k := kind(tag)) is not None:
-            counts[k] += 1
+                _, element, scope, _, _ = self._stack[-1] if self._stack else ("", 0, 0, False, False)
+                heading, listed = (any(self._at.get(t) for t in tags) for tags in (HEADING, LIST))
+                self.lines.append(Line(text, self._linked, element, scope, heading, listed, tuple(self._marks)))
+            self._parts.clear()
+        self._linked = 0
+
+    def _last(self, tags) -> int:
+        """The place of the innermost open element of these tags, -1 if there is none."""
+        return max((own[-1] for t in tags if (own := self._at.get(t))), default=-1)
+
+    def _pop_to(self, size: int) -> None:
+        while len(self._stack) > size:
+            tag, _, _, _, marked = self._stack.pop()
+            self._at[tag].pop()
+            if marked:
+                self._marks.pop()
+        if self._link > len(self._stack) + 1:
+            self._link = 0
+
+    def _text(self, raw: str) -> None:
+        if self._at.get("head") and not raw.isspace():
+            self._pop_to(self._last(["head"]))
+        if not (self._stack and self._stack[-1][3]):
+            self._parts.append(raw)
+            if self._link:
+                self._linked += len(raw.strip())
+
+    def _open(self, tag: str, attributes: str) -> None:
+        _, element, scope, skipped, _ = self._stack[-1] if self._stack else ("", 0, 0, False, False)
+        marked = False
+        if tag in BLOCK or tag in OUT:
+            self.parent.append(element)
+            element = len(self.parent) - 1
         if not skipped:
-            header = tag == "header" and not counts["article"]
-            if header or _noise(tag, found[3]):
-                skipped = len(stack)
-    flush()
-    return out
+            own = tag in ("article", "main")
+            named = _noise(tag, attributes)
+            if own and not named:
+                self.wide.update(self._marks)
+            if (tag in OUT and tag != "form") or (tag == "header" and not self.scopes[scope][0]):
+                skipped = True
+            elif named or tag == "form":
+                if tag not in BLOCK:  # an inline element has a number of its own only if it is marked
+                    self.parent.append(element)
+                    element = len(self.parent) - 1
+                marked = True
+                self._marks.append(element)
+            if own:
+                self.scopes[element] = (tag, scope)
+                scope = element
+        self._at.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, element, scope, skipped, marked))
+        if tag == "a":
+            self._link = len(self._stack)
+
+    def _read(self, page: str) -> None:
+        at, size = 0, len(page)
+        while at < size:
+            found = TOKEN.search(page, at)
+            if not found:
+                self._text(page[at:])
+                return
+            if found.start() > at:
+                self._text(page[at : found.start()])
+            at, tag = found.end(), (found[2] or "").lower()
+            if not tag:
+                continue
+            if tag in BLOCK:
+                self._flush()
+            if found[1]:
+                place = self._last([tag])
+                # An end tag of a block closes all within it, though not beyond its table cell; one of other elements
+                # only what stands in the same block.
+                bound = -1 if tag in TABLE else self._last(CELL if tag in BLOCK or tag in OUT else BLOCK)
+                if place > bound:
+                    self._pop_to(place)
+                continue
+            if self._at.get("head") and tag not in IN_HEAD:
+                self._pop_to(self._last(["head"]))
+            if tag in RAW:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else size
+                continue
+            if tag == "br":
+                self._text(" ")
+            if tag in VOID or (found[3].rstrip().endswith("/") and tag in OUT - BLOCK):
+                continue
+            if tag in CLOSES_P and (p := self._last(["p"])) > self._last(P_SCOPE):
+                self._pop_to(p)
+            elif tag in CLOSES and (own := self._last(CLOSES[tag][0])) > self._last(CLOSES[tag][1]):
+                self._pop_to(own)
+            elif tag == "a" and self._last(["a"]) > self._last(BLOCK):
+                self._pop_to(self._last(["a"]))
+            self._open(tag, found[3])
 
 
 def line_blocks(lengths: np.ndarray, width: int) -> np.ndarray:
@@ -174,77 +230,102 @@ def line_blocks(lengths: np.ndarray, width: int) -> np.ndarray:
 
 
 def surges(lengths: np.ndarray, width: int, least: int) -> list[tuple[int, int]]:
-    """(from, to) of each rise of the distribution: from the surge point, the first line whose block reaches least,
-    to the dive point, after which the blocks stay empty or the rise of another begins."""
-    blocks, out, i = line_blocks(lengths, width), [], 0
-    while i < len(lengths):
-        if blocks[i] >= least and lengths[i] > 0:
-            end = i
-            while end < len(lengths) and blocks[end] > 0:
-                end += 1
-            out.append((i, end))
-            i = end
-        else:
-            i += 1
-    return out
+    """(from, to) of each rise of the distribution, from its surge point to its dive point: the lines of the windows that
+    reach least, without those at either end that have no text."""
+    high = np.concatenate([[0], np.cumsum(line_blocks(lengths, width) >= least)])
+    at = np.arange(len(lengths))
+    rising = high[at + 1] > high[np.maximum(at - width + 1, 0)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], rising, [False]]).astype(np.int8)))
+    full = np.flatnonzero(lengths > 0)
+    own = [full[np.searchsorted(full, a) : np.searchsorted(full, b)] for a, b in zip(edges[::2], edges[1::2])]
+    return [(int(x[0]), int(x[-1]) + 1) for x in own if len(x)]
+
+
+#: How much a line counts for being in an article or in a main element.
+WEIGHT = {"article": 3, "main": 2, "": 1}
 
 
 def main_text(page: str | None, width: int = 3, least: int = 60, max_linked: float = 0.5) -> str:
     """The article of a page; see extract()."""
-    lines = lines_of(page or "")
-    if any(x.article for x in lines):
-        lines = [x for x in lines if x.article]
-        marked = True
-    elif any(x.main for x in lines):
-        lines = [x for x in lines if x.main]
-        marked = True
-    else:
-        marked = False
-    if not lines:
-        return ""
+    return "\n".join(x.text for x in main_lines(Page(page or ""), width, least, max_linked))
+
+
+def main_lines(page: Page, width: int, least: int, max_linked: float) -> list[Line]:
+    by_scope: dict[int, list[Line]] = {}
+    for x in page.lines:
+        by_scope.setdefault(x.scope, []).append(x)
     # Lines that are mostly links don't raise the distribution; between its surge and its dive they stay.
-    lengths = np.array([0 if x.linked > max_linked * len(x.text) else len(x.text) for x in lines])
-    if marked:
-        # The page itself marks the article: the distribution has no say but over rows of links at its edges.
-        spans = surges(lengths, width, 1)
-        first, last = (spans[0][0], spans[-1][1]) if spans else (0, len(lines))
+    lengths = {k: np.array([0 if x.linked > max_linked * len(x.text) else len(x.text) for x in own]) for k, own in by_scope.items()}
+    for low in (least, 1):
+        rises = {k: surges(n, width, low) for k, n in lengths.items()}
+        weight = {k: WEIGHT[page.scopes[k][0]] * sum(int(lengths[k][a:b].sum()) for a, b in own) for k, own in rises.items()}
+        if any(weight.values()):
+            break
     else:
-        spans = surges(lengths, width, least) or surges(lengths, width, 1)
-        if not spans:
-            return ""
-        weight = [int(lengths[a:b].sum()) for a, b in spans]
-        k = int(np.argmax(weight))
-        first, last = spans[k]
-        # Rises next to the largest belong to it if they hold a fair share of text: a picture or list parts them.
-        for a, b in spans[k + 1 :]:
-            if lengths[a:b].sum() * 8 >= weight[k] and a - last <= 2 * width:
-                last = b
-        for a, b in reversed(spans[:k]):
-            if lengths[a:b].sum() * 8 >= weight[k] and first - b <= 2 * width:
-                first = a
-        while first and lines[first - 1].heading:
-            first -= 1
-        while last > first + 1 and len(lines[last - 1].text) < least / 2 and lines[last - 1].text[-1] not in ".!?…。！？\"”»)":
-            last -= 1  # a dive goes on into a page's closing lines, which are no sentences
-    kept = lines[first:last]
-    while kept and kept[-1].linked > max_linked * len(kept[-1].text):
-        kept.pop()
-    return "\n".join(x.text for x in kept)
+        return [x for x in page.lines if x.scope]  # nothing but links: those of an article or main element, if there is one
+    best = max(weight, key=lambda k: (weight[k], -k))
+    if not best:
+        return _unmarked(page, by_scope[0], lengths[0], rises[0])
+    # What stands in the chosen element stays to the last line. Articles beside it, and the main element around it or
+    # articles in it, belong to the text if they rise half as much.
+    tag, around = page.scopes[best]
+    chosen = {best}
+    for k, (own, above) in page.scopes.items():
+        beside = own == "article" and k and page.parent[k] == page.parent[best]
+        nested = above in chosen  # scopes are numbered from the outside in
+        if nested and tag == "article" or (beside or nested or (k == around and own == "main")) and 2 * weight.get(k, 0) >= weight[best]:
+            chosen.add(k)
+    out = [x for x in page.lines if x.scope in chosen]
+    # A heading in the main element just before its article is the article's.
+    at = page.lines.index(out[0])
+    while at and page.lines[at - 1].heading and page.scopes[page.lines[at - 1].scope][0] == "main":
+        at -= 1
+        out.insert(0, page.lines[at])
+    return out
+
+
+def _unmarked(page: Page, lines: list[Line], lengths: np.ndarray, rises: list[tuple[int, int]]) -> list[Line]:
+    """Of a page that marks no article: the lines from the first surge to the last dive within the innermost element
+    that holds two thirds of all that rises."""
+    weight = np.zeros(len(page.parent), np.int64)
+    for a, b in rises:
+        for x, n in zip(lines[a:b], lengths[a:b].tolist()):
+            weight[page.parent[x.element]] += n  # that around its paragraph or item, in which its neighbours are too
+    total = int(weight.sum())
+    for k in range(len(weight) - 1, 0, -1):
+        weight[page.parent[k]] += weight[k]
+    holder = int(np.flatnonzero(3 * weight >= 2 * total).max())
+    inside = np.zeros(len(weight), bool)
+    for k in range(len(weight)):
+        inside[k] = k == holder or (k > 0 and inside[page.parent[k]])
+    kept = [i for a, b in rises for i in range(a, b) if inside[lines[i].element]]
+    first, last = kept[0], kept[-1] + 1
+    while first and lines[first - 1].heading:
+        first -= 1
+    # After the last dive: the rest of a list or table that isn't of links, and sentences.
+    while last < len(lines) and lengths[last] and (lines[last].listed or lines[last].text[-1] in ".!?…。！？\"”»)"):
+        last += 1
+    return lines[first:last]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: the id, the url, text and n_chars (code points of text).
 
     Scripts, styles, comments, titles and elements that tag, class, id or role mark as menus, headers of the page,
-    footers, sidebars, notices, adverts, forms or readers' comments go with all they hold. What is left are
-    lines, one a block element or line break; character references are decoded, white space within a line is one
-    space. Over windows of 3 lines the text lengths are summed; text is what lies between the surge point, where
-    a window reaches 60 characters, and the dive point of the largest such rise (with neighbouring rises). Where
-    the page has an article or main element with text, only its lines are looked at, and from the first to the
-    last that isn't mostly links all stay, however short.
-
-    A null or empty html gives an empty text. Tags that are never closed end with the page. Rows may repeat and
-    keep their number; other columns are not read; an empty table gives an empty table.
+    footers, sidebars, notices, adverts, forms or readers' comments go with all they hold; a name counts as a whole,
+    and not on an element that holds the main element or an article. What is left are lines, one a block
+    element; character references are decoded, and white space and line breaks within a line are one space.
+
+    Over windows of 3 lines the text lengths are summed, for the lines of each article element, of each main element
+    and of the rest of the page. A surge point is where a window reaches 60 characters, a dive point where it no longer
+    does. The text comes from where most rises between the two, a line in an article counting three times and in a
+    main element twice. From an article or main element every line is kept, however short or linked; from the rest of a
+    page all that lies between the first surge and the last dive in the innermost element that holds two thirds of
+    what rises, with headings before it and list items and sentences after it. Where no window reaches 60, any
+    text makes a rise.
+
+    A null or empty html gives an empty text. Tags that are never closed end with the page, quotes that are never closed
+    with their tag. Rows may repeat and keep their number; other columns are not read; an empty table gives an empty table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

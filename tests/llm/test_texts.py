@@ -73,7 +73,7 @@ def test_hot_payload_is_split(spark, monkeypatch):
 
 PAGES = {
     "<html><body><nav>Menu</nav><article><h1>T &amp; U</h1><p>One  two\n three.<p>As.<div class='share'>Share</div></article><footer>F</footer>": "T & U\nOne two three.\nAs.",
-    "<body><div id=menu><a href=#>Home</a></div><main><p>Text<br>line</p><form><p>Name</p></form><aside>Side</aside></main></body>": "Text\nline",
+    "<body><div id=menu><a href=#>Home</a></div><main><p>Text<br>line</p><form><p>Name</p></form><aside>Side</aside></main></body>": "Text line",
     "<article><p>Kept.</p><section class='comments'><p>I agree!</p></section><script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --></article>": "Kept.",
     "<article><header class='entry-header'><h1>Title</h1></header><p>Body &lt;b&gt; &#233; &eacute;.</p></article>": "Title\nBody <b> é é.",
     "<header><p>Site</p></header><article><p>x</p></article>": "x",
@@ -87,8 +87,74 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "A sentence that is long enough to raise the distribution of the lines, as prose does."
+
+CASES = {
+    "comments in articles": (f"<body><article class='comment'><p>{LONG * 3}</p></article><article><p>Body. {LONG}</p></article>", f"Body. {LONG}"),
+    "names of a layout": (f"<body><div class='no-sidebar has-cookie-notice layout-sidebar-right related-to-life'><h1>T</h1><p>{LONG}</p><p>x</p><p>{LONG}</p></div>", f"T\n{LONG}\nx\n{LONG}"),
+    "names of parts": (f"<body><div class='site-footer'>{LONG}</div><div id=comment-list>{LONG}</div><div class='cookieBanner'>{LONG}</div><p>{LONG}</p>", LONG),
+    "a quote that never closes": ('<article><p>One <a title="foo>two</a> three.</p></article>', "One two three."),
+    "an apostrophe in a value": ("<article><p title=O'Brien>One it's two.</p><p>It's three.</p></article>", "One it's two.\nIt's three."),
+    "> in a value": ("<article><p title='a > b' data-x=\"<p>no</p>\">Yes.</p></article>", "Yes."),
+    "main and a teaser": (f"<main><p>{LONG * 2}</p><article><a href=x>Teaser</a></article></main>", LONG * 2),
+    "links at the ends": (f"<article><h1><a href=x>Linked title</a></h1><p>{LONG}</p><ul><li><a href=a>Ref one</a><li><a href=b>Ref two</a></ul></article>", f"Linked title\n{LONG}\nRef one\nRef two"),
+    "a list of links amid": (f"<body><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><ul>" + "<li><a href=x>link</a></li>" * 12 + f"</ul><p>{LONG}</p><p>{LONG}</p></div>", "\n".join([LONG] * 3 + ["link"] * 12 + [LONG] * 2)),
+    "closing items": (f"<body><h1>Cake</h1><p>{LONG}</p><p>{LONG}</p><ul><li>flour</li><li>eggs</li></ul><div>© 2020</div>", f"Cake\n{LONG}\n{LONG}\nflour\neggs"),
+    "a form around the page": (f"<body><form id=f><div class='content'><main><p>{LONG}</p></main></div></form>", LONG),
+    "short comments": ("<article><!--><p>a</p><!-- x --!><p>b</p></article>", "a\nb"),
+    "an end tag in a cell": ("<article><table><tr><td>a</div></b></td><td>b</table><p>c</article>", "a\nb\nc"),
+    "text in a main element before its article": (f"<nav><p>{LONG}</p></nav><main><h1>T</h1><article><p>{LONG * 2}</p></article></main>", f"T\n{LONG * 2}"),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_articles(name):
+    page, text = CASES[name]
+    assert html_text.main_text(page) == text
+
+
+def test_every_article_of_the_pages():
+    """All lines of each page's article, by a plain search for its element and block tags."""
+    import html
+
+    import pyarrow.parquet as pq
+
+    block = re.compile(r"</?(?:p|h[1-6]|li|ul|ol|div|blockquote|table|tr|td|pre|section|figure|figcaption)\b[^>]*>")
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        parts = [html.unescape(re.sub(r"<[^>]*>", " ", x)) for x in block.split(re.search(r"<article>(.*?)</article>", page, re.S)[1])]
+        assert html_text.main_text(page) == "\n".join(x for x in (re.sub(r"\s+", " ", x).strip() for x in parts) if x)
+
+
+@pytest.mark.parametrize("page", ["<p><b>", "<div>", "<b>", "<li><a>", "<table><tr><td>", "</div>", '<a title="', "<!--"])
+def test_linear_time(page):
+    import time
+
+    seconds = []
+    for n in (2000, 16000):
+        began = time.perf_counter()
+        html_text.main_text("<article>x" + (page + "x") * n)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0] + 0.5
+
+
+def test_surges_like_all_windows():
+    r = np.random.RandomState(4)
+    for _ in range(300):
+        lengths, width, least = r.choice([0, 0, 5, 30, 80], r.randint(1, 25)), r.randint(1, 5), r.choice([1, 30, 60])
+        rising = {j for i in range(len(lengths)) if lengths[i : i + width].sum() >= least for j in range(i, min(i + width, len(lengths)))}
+        want, run = [], []
+        for j in range(len(lengths) + 1):
+            if j in rising:
+                run.append(j)
+            elif run:
+                full = [k for k in run if lengths[k]]
+                want.append((full[0], full[-1] + 1))
+                run = []
+        assert html_text.surges(lengths, width, least) == want
+
+
 def test_distribution_without_marks():
-    long = "A sentence that is long enough to raise the distribution of the lines, as prose does. "
+    long = LONG + " "
     page = f"<html><head><title>t</title></head><body><div><a>Home</a> <a>News</a></div><div><a>x</a></div><h1>Title</h1><p>{long}</p><p>Short one.</p><p>{long * 3}</p><div>© 2020 Somebody</div><div><a>Terms</a></div></body></html>"
     text = html_text.main_text(page).split("\n")
     assert text[0] == "Title" and "Short one." in text and text[-1].startswith("A sentence") and len(text) == 4
@@ -97,7 +163,7 @@ def test_distribution_without_marks():
 def test_line_blocks():
     lengths = np.array([0, 0, 10, 20, 0, 0, 0, 0, 5])
     assert html_text.line_blocks(lengths, 3).tolist() == [10, 30, 30, 20, 0, 0, 5, 5, 5]
-    assert html_text.surges(lengths, 3, 30) == [(2, 4)]
+    assert html_text.surges(lengths, 3, 30) == [(2, 4)] and html_text.surges(lengths, 3, 1) == [(2, 4), (8, 9)]
 
 
 def test_extract(spark):
