@@ -231,14 +231,18 @@ def line_blocks(lengths: np.ndarray, width: int) -> np.ndarray:
 
 def surges(lengths: np.ndarray, width: int, least: int) -> list[tuple[int, int]]:
     """(from, to) of each rise of the distribution, from its surge point to its dive point: the lines of the windows that
-    reach least, without those at either end that have no text."""
-    high = np.concatenate([[0], np.cumsum(line_blocks(lengths, width) >= least)])
-    at = np.arange(len(lengths))
-    rising = high[at + 1] > high[np.maximum(at - width + 1, 0)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], rising, [False]]).astype(np.int8)))
-    full = np.flatnonzero(lengths > 0)
-    own = [full[np.searchsorted(full, a) : np.searchsorted(full, b)] for a, b in zip(edges[::2], edges[1::2])]
-    return [(int(x[0]), int(x[-1]) + 1) for x in own if len(x)]
+    reach least, each window without the lines at its ends that it doesn't need for that."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    starts = np.flatnonzero(line_blocks(lengths, width) >= least)
+    ends = np.searchsorted(total, total[starts] + least)
+    needed = total[ends] - total[starts + 1] < least
+    out: list[tuple[int, int]] = []
+    for a, b in zip(starts[needed].tolist(), ends[needed].tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 #: How much a line counts for being in an article or in a main element.
@@ -317,8 +321,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     element; character references are decoded, and white space and line breaks within a line are one space.
 
     Over windows of 3 lines the text lengths are summed, for the lines of each article element, of each main element
-    and of the rest of the page. A surge point is where a window reaches 60 characters, a dive point where it no longer
-    does. The text comes from where most rises between the two, a line in an article counting three times and in a
+    and of the rest of the page. A surge point is where a window begins to reach 60 characters, a dive point where the
+    last does. The text comes from where most rises between the two, a line in an article counting three times and in a
     main element twice. From an article or main element every line is kept, however short or linked; from the rest of a
     page all that lies between the first surge and the last dive in the innermost element that holds two thirds of
     what rises, with headings before it and list items and sentences after it. Where no window reaches 60, any

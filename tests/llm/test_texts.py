@@ -141,14 +141,14 @@ def test_surges_like_all_windows():
     r = np.random.RandomState(4)
     for _ in range(300):
         lengths, width, least = r.choice([0, 0, 5, 30, 80], r.randint(1, 25)), r.randint(1, 5), r.choice([1, 30, 60])
-        rising = {j for i in range(len(lengths)) if lengths[i : i + width].sum() >= least for j in range(i, min(i + width, len(lengths)))}
+        enough = {(i, j) for i in range(len(lengths)) for j in range(i + 1, min(i + width, len(lengths)) + 1) if lengths[i:j].sum() >= least}
+        rising = {k for i, j in enough if not enough & {(i + 1, j), (i, j - 1)} for k in range(i, j)}
         want, run = [], []
         for j in range(len(lengths) + 1):
             if j in rising:
                 run.append(j)
             elif run:
-                full = [k for k in run if lengths[k]]
-                want.append((full[0], full[-1] + 1))
+                want.append((run[0], run[-1] + 1))
                 run = []
         assert html_text.surges(lengths, width, least) == want
 
