@@ -14,18 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
-
-#: Corners described per image, the strongest of all scales; part of the method, as in any such descriptor.
-CORNERS = 24
-SCALES = (1.0, 0.75, 0.5)
-MARGIN = 11
-#: The 256 tests are four words of 64 bits; each of three tables holds the descriptors by two neighbouring words.
-TABLES = 3
-MAX_BITS, MIN_MATCHES, MAX_ERROR = 48, 6, 4.0
-_ANGLES = 32
-_grid = np.arange(-7, 8)
-_DISC = (_grid[:, None] ** 2 + _grid[None] ** 2) <= 49
+from .common import components, scratch, small_batches, written
+
+#: One corner for so many pixels is described, over levels of the image each smaller by STEP, as far as LEVELS go; an
+#: image of more than MAX_PIXELS is shrunk by steps to that many first, so that work space is bounded.
+CORNER_PIXELS, STEP, LEVELS, MAX_PIXELS = 256, 2 ** (-1 / 5), 8, 1 << 19
+#: Radius of the patch of a corner's tests, and the side of the cells over which the corners of a level are spread.
+RADIUS, CELL = 10, 24
+MARGIN = RADIUS + 2
+#: A corner's two nearest neighbours in its level make pairs with it. In each of TABLES tables pairs are held by KEY_BITS
+#: tests of either corner, other ones in each table: a pair whose corners differ in a few tests stays together in some.
+NEIGHBOURS, TABLES, KEY_BITS = 2, 4, 20
+#: Matches are corners at most MAX_BITS tests apart; MIN_MATCHES of them, and MIN_SHARE of all, must agree to MAX_ERROR pixels.
+MAX_BITS, MIN_MATCHES, MIN_SHARE, MAX_ERROR = 64, 6, 0.25, 3.0
+_grid = np.arange(-RADIUS, RADIUS + 1).astype(np.float32)
+_square = _grid[:, None] ** 2 + _grid[None] ** 2
+_DISC = np.where(_square <= RADIUS**2, np.exp(-_square / (2 * (RADIUS / 1.8) ** 2)), 0).astype(np.float32)
 
 
 class ImageError(ValueError):
@@ -33,29 +37,19 @@ class ImageError(ValueError):
 
 
 def _tests() -> np.ndarray:
-    """Pairs of places (y1, x1, y2, x2) in a patch of radius 7, seeded. A patch is turned so that it brightens along
+    """Pairs of places (y1, x1, y2, x2) in a patch of RADIUS, seeded. A patch is turned so that it brightens along
     x, so places at about the same x are as likely brighter as darker, which spreads descriptors evenly."""
-    random, out = np.random.RandomState(20240101), []
+    random, out, r = np.random.RandomState(20240101), [], RADIUS
     while len(out) < 256:
-        x, y1, y2 = np.clip(np.round(random.normal(0, (3.5, 4, 4))), -7, 7)
-        x2 = x + random.randint(-1, 2)
-        if abs(y1 - y2) >= 3 and x * x + y1 * y1 <= 55 and x2 * x2 + y2 * y2 <= 55:
+        x, y1, y2 = np.clip(random.normal(0, (r / 2, r / 2 + 0.5, r / 2 + 0.5)), -r, r)
+        x2 = x + random.uniform(-1, 1) * r / 7
+        if abs(y1 - y2) >= 0.43 * r and x * x + y1 * y1 <= r * r and x2 * x2 + y2 * y2 <= r * r:
             out.append((y1, x, y2, x2))
-    return np.array(out)
-
-
-def _rotated_tests() -> np.ndarray:
-    """(angle, test, y1 x1 y2 x2) for each of _ANGLES turns."""
-    out, tests = np.empty((_ANGLES, 256, 4), np.int64), _tests()
-    for i in range(_ANGLES):
-        c, s = np.cos(2 * np.pi * i / _ANGLES), np.sin(2 * np.pi * i / _ANGLES)
-        for a in (0, 2):
-            y, x = tests[:, a], tests[:, a + 1]
-            out[i, :, a], out[i, :, a + 1] = np.round(s * x + c * y), np.round(c * x - s * y)
-    return out
+    return np.array(out, np.float32)
 
 
-_TURNED = _rotated_tests()
+_TESTS = _tests()
+_KEYS = [np.random.RandomState(7 + t).permutation(256)[:KEY_BITS] for t in range(TABLES)]
 
 
 def write_pgm(pixels: np.ndarray) -> bytes:
@@ -134,93 +128,152 @@ def resize(pixels: np.ndarray, scale: float) -> np.ndarray:
     return (p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx) * (1 - fy) + (p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx) * fy
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of side 2 r + 1, edges repeated."""
+def _smooth(a: np.ndarray) -> np.ndarray:
+    """Weights 1, 4, 6, 4, 1 along both axes, edges repeated."""
     for axis in (0, 1):
         pad = [(0, 0), (0, 0)]
-        pad[axis] = (r + 1, r)
-        s = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.float64)
-        n, k = a.shape[axis], 2 * r + 1
-        a = (np.take(s, np.arange(k, k + n), axis) - np.take(s, np.arange(n), axis)) / k
+        pad[axis] = (2, 2)
+        b = np.pad(a, pad, mode="edge")
+        part = lambda i: b[i : i + a.shape[0]] if axis == 0 else b[:, i : i + a.shape[1]]  # noqa: B023, E731
+        a = (part(0) + part(4) + 4 * (part(1) + part(3)) + 6 * part(2)) * np.float32(1 / 16)
     return a
 
 
+def _corners(smooth: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of about n corners of a level, between pixels: the strongest of each cell, then the second of each, ..."""
+    h, w = smooth.shape
+    gy, gx = np.gradient(smooth)
+    xx, yy, xy = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
+    strength = xx * yy - xy * xy - np.float32(0.05) * (xx + yy) ** 2
+    most = strength
+    for axis in (0, 1):  # the largest within two pixels
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (2, 2)
+        b = np.pad(most, pad, mode="edge")
+        most = np.maximum.reduce([b[i : i + h] if axis == 0 else b[:, i : i + w] for i in range(5)])
+    inner = (slice(MARGIN, h - MARGIN), slice(MARGIN, w - MARGIN))
+    y, x = np.nonzero((strength[inner] >= most[inner]) & (strength[inner] > 1))
+    y, x = y + MARGIN, x + MARGIN
+    own = strength[y, x]
+    cell = y // CELL * (w // CELL + 1) + x // CELL
+    order = np.lexsort((x, y, -own, cell))
+    new = np.concatenate([[True], cell[order][1:] != cell[order][:-1]])[: len(order)]
+    turn = np.empty(len(order), np.int64)
+    turn[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    best = np.lexsort((x, y, -own, turn))[:n]
+    y, x, own = y[best], x[best], own[best]
+    shift = lambda a, b: np.clip((a - b) / 2 / np.maximum(1e-6, 2 * own - a - b), -0.5, 0.5)
+    return y + shift(strength[y + 1, x], strength[y - 1, x]), x + shift(strength[y, x + 1], strength[y, x - 1])
+
+
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(corners: x, y, scale, angle in the image's own measure; their 256 tests as 4 signed 64-bit numbers)."""
-    found, patches = [], []
-    for scale in SCALES:
-        p = pixels.astype(np.float32) if scale == 1 else resize(pixels, scale)
-        h, w = p.shape
-        if min(h, w) <= 2 * MARGIN + 2:
-            continue
-        smooth = _box(p, 1)
-        gy, gx = np.gradient(smooth)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = strength[MARGIN : h - MARGIN, MARGIN : w - MARGIN]
-        peak = inner > 1.0
-        for dy in (-2, -1, 0, 1, 2):
-            for dx in (-2, -1, 0, 1, 2):
-                if dy or dx:
-                    peak &= inner >= strength[MARGIN + dy : h - MARGIN + dy, MARGIN + dx : w - MARGIN + dx]
-        ys, xs = np.nonzero(peak)
-        own = inner[ys, xs]
-        soft = _box(p, 2)
-        for k in np.lexsort((xs, ys, -own))[:CORNERS]:
-            found.append((-own[k], scale, ys[k] + MARGIN, xs[k] + MARGIN))
-            patches.append(soft)
-    order = sorted(range(len(found)), key=lambda i: found[i])[:CORNERS]
-    if not order:
-        return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
-    corners, words = [], []
-    for i in order:
-        _, scale, y, x = found[i]
-        soft = patches[i]
-        disc = soft[y - 7 : y + 8, x - 7 : x + 8] * _DISC
-        angle = np.arctan2((disc * _grid[:, None]).sum(), (disc * _grid[None]).sum())
-        t = _TURNED[int(np.round(angle / (2 * np.pi) * _ANGLES)) % _ANGLES]
-        bits = soft[y + t[:, 0], x + t[:, 1]] < soft[y + t[:, 2], x + t[:, 3]]
-        corners.append(((x + 0.5) / scale, (y + 0.5) / scale, 1 / scale, angle))
-        words.append(np.packbits(bits).view(">i8"))
-    return np.array(corners), np.array(words, np.int64)
-
-
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of all pairs."""
-    x = (a.astype(np.int64)[:, None] ^ b.astype(np.int64)[None]).view(np.uint8)
-    return np.bitwise_count(x).reshape(len(a), len(b), -1).sum(2, dtype=np.int64)
+    """(corners: x, y, level; their 256 tests as 4 signed 64-bit numbers), places in pixels of the image that MAX_PIXELS
+    allows. Tests are read between pixels, in a frame turned to the angle in which the patch brightens."""
+    image = pixels.astype(np.float32)
+    while image.size > MAX_PIXELS:
+        image = resize(image, STEP)
+    flat, where, base = [], [], 0
+    areas = STEP ** (2.0 * np.arange(LEVELS))
+    for level in range(LEVELS):
+        scale = STEP**level
+        smooth = _smooth(image if level == 0 else resize(image, scale))
+        h, w = smooth.shape
+        if min(h, w) <= 2 * MARGIN:
+            break
+        y, x = _corners(smooth, max(3, int(round(image.size / CORNER_PIXELS * areas[level] / areas.sum()))))
+        # Bounded by MARGIN, a patch and the pixel after it lie within the level.
+        where.append(np.stack([y, x, np.full(len(y), level), np.full(len(y), base), np.full(len(y), w)], 1))
+        flat.append(smooth.ravel())
+        base += smooth.size
+    where = np.concatenate(where) if where else np.zeros((0, 5))
+    if not len(where):
+        return np.zeros((0, 3)), np.zeros((0, 4), np.int64)
+    level, flat = where[:, 2], np.concatenate(flat)
+    row, column, first, width = (where[:, i, None] for i in (0, 1, 3, 4))
+
+    def at(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        y, x = row + y, column + x
+        low, left = y.astype(np.int64), x.astype(np.int64)
+        fy, fx = (y - low).astype(np.float32), (x - left).astype(np.float32)
+        i, w = (first + low * width + left).astype(np.int64), width.astype(np.int64)
+        return (flat[i] * (1 - fx) + flat[i + 1] * fx) * (1 - fy) + (flat[i + w] * (1 - fx) + flat[i + w + 1] * fx) * fy
+
+    inside = np.flatnonzero(_DISC.ravel())
+    dy, dx = np.repeat(_grid, len(_grid))[inside], np.tile(_grid, len(_grid))[inside]
+    patch = at(dy[None], dx[None]) * _DISC.ravel()[inside]
+    angle = np.arctan2(patch @ dy, patch @ dx)[:, None]
+    c, s = np.cos(angle), np.sin(angle)
+    turned = lambda y, x: at(s * x + c * y, c * x - s * y)
+    bits = turned(_TESTS[:, 0], _TESTS[:, 1]) < turned(_TESTS[:, 2], _TESTS[:, 3])
+    scale = STEP**level
+    return np.stack([(where[:, 1] + 0.5) / scale, (where[:, 0] + 0.5) / scale, level], 1), np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+
+
+def keys(corners: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The places in the Hamming tables: for each pair of a corner and one of its nearest neighbours in its level, and
+    each table, the table's number and the two corners' tests of that table, the smaller first."""
+    if len(corners) < 2:
+        return np.zeros(0, np.int64)
+    first, second = [], []
+    for level in np.unique(corners[:, 2]):
+        own = np.flatnonzero(corners[:, 2] == level)
+        place = corners[own, 0] + 1j * corners[own, 1]
+        for start in range(0, len(own), 256):
+            apart = np.abs(place[start : start + 256, None] - place[None])
+            apart[np.arange(len(apart)), start + np.arange(len(apart))] = np.inf
+            near = np.argsort(apart, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(own) - 1)]
+            first.append(np.repeat(own[start : start + 256], near.shape[1]))
+            second.append(own[near.ravel()])
+    a, b = np.concatenate(first), np.concatenate(second)
+    a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    bits = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(len(words), -1), axis=1).astype(np.int64)
+    out = []
+    for t, tests in enumerate(_KEYS):
+        code = bits[:, tests] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
+        out.append((t << 2 * KEY_BITS) | (np.minimum(code[a], code[b]) << KEY_BITS) | np.maximum(code[a], code[b]))
+    return np.unique(np.concatenate(out))
+
+
+def _matches(aw: np.ndarray, bw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners that are each other's nearest by Hamming distance and at most MAX_BITS apart."""
+    near, least = np.zeros(len(aw), np.int64), np.zeros(len(aw), np.int64)
+    back, low = np.zeros(len(bw), np.int64), np.full(len(bw), 1 << 20)
+    for at in range(0, len(aw), 256):
+        d = np.bitwise_count(aw[at : at + 256, None] ^ bw[None]).sum(2, dtype=np.int64)
+        near[at : at + 256], least[at : at + 256] = d.argmin(1), d.min(1)
+        better = d.min(0) < low
+        back[better], low[better] = at + d.argmin(0)[better], d.min(0)[better]
+    i = np.flatnonzero((back[near] == np.arange(len(aw))) & (least <= MAX_BITS))
+    return i, near[i]
 
 
 def consensus(a: np.ndarray, aw: np.ndarray, b: np.ndarray, bw: np.ndarray) -> int:
-    """How many matches agree on one similarity transform. A match is a pair of corners that are each other's
-    nearest; each in turn gives a transform by its places, scales and angles, and the others are held against it."""
+    """How many matches agree on one shift, turn and scale, 0 if fewer than are needed. Any two matches give a transform
+    by their places, against which the others are held; the first that enough agree with decides."""
     if not len(a) or not len(b):
         return 0
-    d = _bits(aw, bw)
-    near, back = d.argmin(1), d.argmin(0)
-    i = np.flatnonzero((back[near] == np.arange(len(a))) & (d[np.arange(len(a)), near] <= MAX_BITS))
-    if len(i) < MIN_MATCHES:
+    i, j = _matches(aw, bw)
+    enough = max(MIN_MATCHES, int(np.ceil(MIN_SHARE * len(i))))
+    if len(i) < enough:
         return 0
-    p, q = a[i], b[near[i]]
-    # The scale and turn between the images by pairs of matched places, which are more exact than single corners.
-    za, zb = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
-    best = 0
-    for k in range(len(i)):
+    za, zb = a[i, 0] + 1j * a[i, 1], b[j, 0] + 1j * b[j, 1]
+    for k in range(len(i) - enough + 1):  # of those that agree one has so many after it
         da, db = za - za[k], zb - zb[k]
-        far = np.flatnonzero(np.abs(da) > 8)
-        for m in far[:6]:
-            turn = db[m] / da[m]
-            if not 0.3 < abs(turn) < 3.3:
-                continue
-            best = max(best, int((np.abs(da * turn - db) <= MAX_ERROR).sum()))
-    return best
+        far = k + 1 + np.flatnonzero(np.abs(da[k + 1 :]) > 8)
+        turn = db[far] / da[far]
+        turn = turn[(np.abs(turn) > 0.3) & (np.abs(turn) < 3.3)]
+        if len(turn):
+            agree = (np.abs(da[None] * turn[:, None] - db[None]) <= MAX_ERROR * np.maximum(1, np.abs(turn))[:, None]).sum(1)
+            if agree.max() >= enough:
+                return int(agree.max())
+    return 0
 
 
 def _described(media: DataFrame, id_col: str, image_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, d1, d2, readable) of each row, by the digest of its pixels; (d1, d2, corners, words) of each picture, once
-    a task."""
+    a task, a corner's place and level packed into one number."""
     names = ["id", "d1", "d2", "readable", "corners", "words"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -239,65 +292,96 @@ def _described(media: DataFrame, id_col: str, image_col: str) -> tuple[DataFrame
                     seen.add(own)
                     corners, words = describe(pixels)
                     if len(words):
-                        out.append((None, *own, None, corners.ravel(), words.ravel()))
+                        out.append((None, *own, None, _pack(corners), words.ravel()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("i"))
-    both = written(rows.mapInArrow(run, "id long, d1 long, d2 long, readable boolean, corners array<double>, words array<long>"))
-    pictures = both.where("words IS NOT NULL").groupBy("d1", "d2").agg(F.first("corners").alias("corners"), F.first("words").alias("words"))
-    return both.where("words IS NULL").select("id", "d1", "d2", "readable"), pictures
+    both = written(rows.mapInArrow(run, "id long, d1 long, d2 long, readable boolean, corners array<long>, words array<long>"))
+    return both.where("words IS NULL").select("id", "d1", "d2", "readable"), both.where("words IS NOT NULL").select("d1", "d2", "corners", "words")
+
+
+def _pack(corners: np.ndarray) -> np.ndarray:
+    x, y, level = corners.T
+    return (level.astype(np.int64) << 56) | (np.round(y * 16).astype(np.int64) << 28) | np.round(x * 16).astype(np.int64)
+
+
+def _unpack(packed: np.ndarray) -> np.ndarray:
+    part = (1 << 28) - 1
+    return np.stack([(packed & part) / 16, ((packed >> 28) & part) / 16, packed >> 56], 1)
+
+
+def _shaped(corners, words) -> tuple[np.ndarray, np.ndarray]:
+    return _unpack(np.asarray(corners, np.int64)), np.asarray(words, np.int64).reshape(-1, 4)
+
+
+def _buckets(pictures: DataFrame) -> DataFrame:
+    """(key, d1): the places of each picture in the tables, by the first half of its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [keys(*_shaped(c, w)) for c, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            if own:
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], names=["key", "d1"])
+
+    return pictures.select("d1", "corners", "words").mapInArrow(run, "key long, d1 long")
 
 
 def _agreeing(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
-    """Those of the pairs (a1, a2, b1, b2) whose corners agree on a transform, with the number that do."""
-    left = pictures.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("corners").alias("ac"), F.col("words").alias("aw"))
-    right = pictures.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("corners").alias("bc"), F.col("words").alias("bw"))
+    """Those of the pairs (a, b) of first halves of digests whose corners agree on a transform, as (a1, a2, b1, b2)."""
+    ends = pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).distinct()
+    some = written(pictures.join(ends, "d1", "left_semi").dropDuplicates(["d1", "d2"]))
+    left = some.select(F.col("d1").alias("a"), F.col("d2").alias("a2"), F.col("corners").alias("ac"), F.col("words").alias("aw"))
+    right = some.select(F.col("d1").alias("b"), F.col("d2").alias("b2"), F.col("corners").alias("bc"), F.col("words").alias("bw"))
 
     def count(ac: pd.Series, aw: pd.Series, bc: pd.Series, bw: pd.Series) -> pd.Series:
-        shape = lambda c, w: (np.asarray(c).reshape(-1, 4), np.asarray(w).reshape(-1, 4))
-        return pd.Series([consensus(*shape(a, b), *shape(c, d)) for a, b, c, d in zip(ac, aw, bc, bw)], dtype="int64")
+        return pd.Series([consensus(*_shaped(a, b), *_shaped(c, d)) for a, b, c, d in zip(ac, aw, bc, bw)], dtype="int64")
 
     agree = F.pandas_udf(count, "long")
-    return written(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", agree("ac", "aw", "bc", "bw").alias("agree")).where(F.col("agree") >= MIN_MATCHES))
+    return written(pairs.join(left, "a").join(right, "b").select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", agree("ac", "aw", "bc", "bw").alias("agree")).where("agree > 0").drop("agree"))
 
 
 def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
     """media_id, class_id, n_same and readable per row: class_id is the smallest id among the rows that links reach;
     n_same counts rows of just the same pixels, itself included.
 
-    Pictures of equal pixels are one class and are compared once. Corners of three scales are described by 256
-    tests in a frame turned to the patch's own angle. Of the pictures that share two neighbouring words of a descriptor, each is
+    Pictures of equal pixels are one class and are compared once. Corners of eight levels, spread over cells, are described
+    by 256 tests in a frame turned to the patch's own angle. Tables hold pairs of neighbouring corners by some of their
+    tests, other ones in each, so that flipped tests leave most places equal. Of the pictures that share a place each is
     compared with the first, then any that are still in different components with each other; two are linked if
-    at least 6 corners that are each other's nearest agree on one shift, turn and scale. Buckets aren't capped.
+    6 corners, and a quarter of those that are each other's nearest, agree on one shift, turn and scale from 0.3 to
+    3.3. Buckets aren't capped. Copies cropped to half, shrunk or enlarged by up to 2, turned by any angle, noisy, blurred
+    or coded again are found; a crop that leaves too few corners isn't.
 
     Null or unreadable bytes have readable false and a class by equal bytes alone (nulls and empty ones: all their
     own). Pictures without corners are linked by equal pixels alone. Rows without an id have a null class. Rows may
     repeat; an empty table gives an empty table; other columns are not read.
     """
     small_batches(media.sparkSession)
+    with scratch(media.sparkSession):
+        return written(_classed(media, id_col, image_col), keep=True)
+
+
+def _classed(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     rows, pictures = _described(media, id_col, image_col)
-    pictures = written(pictures)
     some = rows.where("id IS NOT NULL")
     classes = written(some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n_same")))
-    chunk = f"transform(sequence(0, size(words) div 4 * {TABLES} - 1), i -> named_struct('t', i % {TABLES}, 'v', words[i div {TABLES} * 4 + i % {TABLES}], 'w', words[i div {TABLES} * 4 + i % {TABLES} + 1]))"
-    buckets = pictures.select("d1", "d2", F.explode(F.array_distinct(F.expr(chunk))).alias("b")).select("b.*", "d1", "d2")
-    key = ["t", "v", "w"]
-    group = Window.partitionBy(*key)
-    me = F.struct("d1", "d2")
-    met = written(buckets.withColumns({"f": F.min(me).over(group), "l": F.max(me).over(group)}).where("f <> l").select(*key, "d1", "d2", F.col("f.d1").alias("f1"), F.col("f.d2").alias("f2")))
-    other = (F.col("d1") != F.col("f1")) | (F.col("d2") != F.col("f2"))
-    stars = met.where(other).select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("d1").alias("b1"), F.col("d2").alias("b2")).distinct()
-    links = _named(_agreeing(written(stars), pictures), classes)
+    group = Window.partitionBy("key")
+    met = written(_buckets(pictures).withColumns({"f": F.min("d1").over(group), "l": F.max("d1").over(group)}).where("f <> l").select("key", "d1", "f"))
+    others = met.where("d1 <> f")
+    links = _named(_agreeing(written(others.select(F.col("f").alias("a"), F.col("d1").alias("b")).distinct()), pictures), classes)
     parts = written(components(links))
 
-    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    held = met.where(other).join(label, ["d1", "d2"]).join(label.select(F.col("d1").alias("f1"), F.col("d2").alias("f2"), F.col("c").alias("fc")), ["f1", "f2"])
-    held = written(held)
-    stray = held.where("c <> fc").select(*key, F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("c").alias("ac"), "fc")
-    rest = held.select(*key, F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("c").alias("bc"))
-    once = (F.col("bc") == F.col("fc")) | (F.struct("a1", "a2") < F.struct("b1", "b2"))
-    over = stray.join(rest, key).where((F.col("ac") != F.col("bc")) & once).select("a1", "a2", "b1", "b2").distinct()
+    # Pictures that share a first half are kept apart by no label, which compares too much rather than too little.
+    label = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("d1").agg(F.min(F.coalesce("component", "rep")).alias("c"), F.max(F.coalesce("component", "rep")).alias("d"))
+    label = label.select("d1", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"))
+    held = written(others.distinct().join(label, "d1").join(label.select(F.col("d1").alias("f"), F.col("c").alias("fc")), "f"))
+    apart = lambda x, y: ~F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    stray = held.where(apart("c", "fc")).select("key", F.col("d1").alias("a"), F.col("c").alias("ac"))
+    rest = held.select("key", F.col("d1").alias("b"), F.col("c").alias("bc"), apart("c", "fc").alias("bstray"))
+    once = ~F.col("bstray") | (F.col("a") < F.col("b"))
+    over = stray.join(rest, "key").where(apart("ac", "bc") & (F.col("a") != F.col("b")) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _named(_agreeing(written(over), pictures), classes)
     if more.limit(1).count():
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
@@ -314,29 +398,63 @@ def _named(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("a", "b")
 
 
-EDITS = ("crop", "brighten", "crop and contrast", "shrink", "turn")
+EDITS = ("crop", "half", "brighten", "contrast", "shrink", "halve", "enlarge", "double", "quarter turn", "turn", "tilt", "noise", "blur", "recode")
 
 
 def picture(vector: list[float], size: int = 96) -> np.ndarray:
-    """A picture that a vector stands for: smooth seeded noise, the same for equal vectors."""
+    """A picture that a vector stands for: seeded noise of four octaves, the same for equal vectors."""
     seed = zlib.crc32(np.asarray([np.nan if x is None else x for x in vector], "<f4").tobytes())
-    random = np.random.RandomState(seed)
-    coarse, fine = random.rand(8, 8), random.rand(24, 24)
-    out = 0.45 * resize(coarse * 255, size / 8) + 0.55 * resize(fine * 255, size / 24)
-    return np.clip((out - 128) * 1.6 + 128, 0, 255).astype(np.uint8)
+    random, out = np.random.RandomState(seed), np.float32(128)
+    for cells in (6, 12, 24, 48):
+        out = out + 0.45 * (resize(random.rand(cells, cells).astype(np.float32) * 255, size / cells) - 127.5)
+    return np.clip(out, 0, 255).astype(np.uint8)
 
 
-def edited(pixels: np.ndarray, kind: str) -> np.ndarray:
+def turned(pixels: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned about its middle, on a black ground that holds it whole."""
+    h, w = pixels.shape
+    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    height, width = int(np.ceil(abs(h * c) + abs(w * s))), int(np.ceil(abs(w * c) + abs(h * s)))
+    dy, dx = np.mgrid[:height, :width] - np.array([(height - 1) / 2, (width - 1) / 2])[:, None, None]
+    y, x = c * dy - s * dx + (h - 1) / 2, s * dy + c * dx + (w - 1) / 2
+    inside = (y >= 0) & (y <= h - 1) & (x >= 0) & (x <= w - 1)
+    y, x = np.clip(y, 0, h - 1.001), np.clip(x, 0, w - 1.001)
+    low, left = y.astype(int), x.astype(int)
+    fy, fx, p = y - low, x - left, pixels.astype(float)
+    out = (p[low, left] * (1 - fx) + p[low, left + 1] * fx) * (1 - fy) + (p[low + 1, left] * (1 - fx) + p[low + 1, left + 1] * fx) * fy
+    return np.where(inside, out, 0)
+
+
+def recoded(pixels: np.ndarray, step: float = 24) -> np.ndarray:
+    """Cosine transforms of blocks of 8 x 8, rounded to multiples of step, as lossy formats do."""
+    k = np.arange(8)
+    basis = 0.5 * np.cos(np.pi * (k[None] + 0.5) * k[:, None] / 8)
+    basis[0] /= np.sqrt(2)
+    h, w = pixels.shape[0] // 8, pixels.shape[1] // 8
+    blocks = pixels[: h * 8, : w * 8].astype(float).reshape(h, 8, w, 8).transpose(0, 2, 1, 3)
+    coded = np.round(basis @ blocks @ basis.T / step) * step
+    return (basis.T @ coded @ basis).transpose(0, 2, 1, 3).reshape(h * 8, w * 8)
+
+
+def edited(pixels: np.ndarray, kind: str, seed: int = 0) -> np.ndarray:
     h, w = pixels.shape
-    if kind.startswith("crop"):
-        pixels = pixels[h // 12 : h - h // 16, w // 8 : w - w // 24]
-    if kind == "brighten":
-        return np.clip(pixels.astype(int) + 18, 0, 255).astype(np.uint8)
-    if kind == "crop and contrast":
-        return np.clip((pixels.astype(float) - 128) * 0.8 + 128, 0, 255).astype(np.uint8)
-    if kind == "shrink":
-        return np.clip(np.round(resize(pixels, 0.75)), 0, 255).astype(np.uint8)
-    return np.rot90(pixels).copy() if kind == "turn" else pixels
+    out = {
+        "crop": lambda: pixels[h // 12 : h - h // 16, w // 8 : w - w // 24],
+        "half": lambda: pixels[h // 4 : h - h // 24, w // 20 : w - w // 4],
+        "brighten": lambda: pixels.astype(float) + 18,
+        "contrast": lambda: (pixels.astype(float) - 128) * 0.8 + 128,
+        "shrink": lambda: resize(pixels, 0.75),
+        "halve": lambda: resize(pixels, 0.5),
+        "enlarge": lambda: resize(pixels, 1.3),
+        "double": lambda: resize(pixels, 2),
+        "quarter turn": lambda: np.rot90(pixels),
+        "turn": lambda: turned(pixels, 45),
+        "tilt": lambda: turned(pixels, 15),
+        "noise": lambda: pixels + np.random.RandomState(seed).normal(0, 8, pixels.shape),
+        "blur": lambda: _smooth(pixels.astype(np.float32)),
+        "recode": lambda: recoded(pixels),
+    }[kind]()
+    return np.ascontiguousarray(np.clip(np.round(out), 0, 255).astype(np.uint8))
 
 
 def pictures_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 10) -> DataFrame:
@@ -357,7 +475,7 @@ def pictures_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
                     images.append(write_pgm(own))
                     if key % every == 0:
                         ids.append(2 * key + 1)
-                        images.append(write_pgm(edited(own, EDITS[key // every % len(EDITS)])))
+                        images.append(write_pgm(edited(own, EDITS[key // every % len(EDITS)], key % 2**32)))
                 yield pd.DataFrame({"media_id": ids, "image": images})
 
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL").mapInPandas(render, "media_id long, image binary")
