@@ -57,25 +57,26 @@ class Codec:
             pre_tokenizers.Split(Regex(pattern), "removed", invert=True),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
+        self.chars = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            tokens[rank] = token
-        self.tokens = tokens
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
+            self.chars[rank] = as_text(token)
+        #: The byte table reversed: from the character that stands for a byte to the byte.
+        self.byte_of = {ord(c): b for b, c in enumerate(chars)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        """From and to which character of the text each token reaches. Tokens that hold parts of one character
-        all span that character."""
-        return self.tokenizer.encode(text, add_special_tokens=False).offsets
+    def encode_with_offsets(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids of each text, from and to which of its characters each token reaches). Tokens that hold parts of one
+        character all span that character."""
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found], [np.array(e.offsets, np.int32).reshape(-1, 2) for e in found]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The bytes of all ids, joined before any are read as characters, which tokens may split."""
-        return b"".join([self.tokens[i] for i in ids.tolist()])
+        """The bytes of all ids, by the reversed byte table. The tokens are joined before any bytes are read as
+        characters, which tokens may split."""
+        return "".join([self.chars[i] for i in ids.tolist()]).translate(self.byte_of).encode("latin-1")
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -97,9 +98,10 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep_decoded: bool = True, keep_offsets: bool = False) -> DataFrame:
     """Per row: the id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers),
-    decoded_sha256 (of the bytes that the ids decode to) and, if they are to be kept, token_ids and decoded.
+    decoded_sha256 (of the bytes that the ids decode to) and, if they are to be kept, token_ids, decoded, token_starts and token_ends (the characters of the text that each token
+    reaches from and to; tokens that split a character all span it).
 
     path is a rank file that every executor can open. Each match of pattern is encoded by itself, no special
     tokens are made, and their strings in a text are ordinary text. Null and empty texts have no tokens. Rows
@@ -108,6 +110,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     small_batches(docs.sparkSession)
     fields = [("id", "long"), ("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     fields += [("token_ids", "array<int>")] * keep_ids + [("decoded", "binary")] * keep_decoded
+    fields += [("token_starts", "array<int>"), ("token_ends", "array<int>")] * keep_offsets
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +120,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 batch = whole.slice(at, BATCH_ROWS)
                 texts = batch.column(1).to_pylist()
                 for start, end in _groups(texts):
-                    ids = own.encode(texts[start:end])
+                    ids, spans = own.encode_with_offsets(texts[start:end]) if keep_offsets else (own.encode(texts[start:end]), [])
                     decoded = [own.decode_bytes(x) for x in ids]
                     columns = [
                         batch.column(0).slice(start, end - start),
@@ -127,6 +130,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     ]
                     columns += [pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32()))] if keep_ids else []
                     columns += [pa.array(decoded, pa.binary())] if keep_decoded else []
+                    columns += [pa.array([x[:, side] for x in spans], pa.list_(pa.int32())) for side in (0, 1)] if keep_offsets else []
                     yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields])
 
     return source.mapInArrow(batches, ", ".join(f"{n} {t}" for n, t in fields)).withColumnRenamed("id", id_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,6 +87,29 @@ TEMPLATES = {
     "cc-by-sa notice": ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
 }
 
+# The opening lines of full texts, by label.
+OPENINGS = {
+    "gpl-3": "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation",
+    "gpl-2": "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation",
+    "lgpl-3": "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation",
+    "lgpl-2.1": "gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation",
+    "agpl-3": "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation",
+    "apache-2": "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution",
+    "mpl-2": "mozilla public license version 2 0 1 definitions",
+    "cc0": "creative commons legal code cc0 1 0 universal",
+}
+
+# Identifiers after "SPDX-License-Identifier", as words, and their labels.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache-2", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3",
+    "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3", "mpl 2 0": "mpl-2", "isc": "isc", "unlicense": "unlicense",
+    "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc",
+}
+
+# What must stand in an opening: its first seven words, which name the licence and its version.
+TEMPLATES |= {f"{label} opening": (label, text, [" ".join(text.split()[:7])]) for label, text in OPENINGS.items()}
+TEMPLATES |= {f"{name} identifier": (label, f"spdx license identifier {name}", [f"spdx license identifier {name}"]) for name, label in SPDX.items()}
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -108,7 +131,11 @@ class Index:
             for at, word in enumerate(body):
                 self.postings[word].append((name, at))
         self.weight = {k: sum(idf[w] for w in body) for k, body in self.bodies.items()}
-        self.needed = {k: {w for p in phrases for w in p} for k, phrases in self.phrases.items()}
+        self.wants = {k: len({w for p in phrases for w in p}) for k, phrases in self.phrases.items()}
+        self.wanted_by = defaultdict(list)
+        for name, phrases in self.phrases.items():
+            for word in {w for p in phrases for w in p}:
+                self.wanted_by[word].append(name)
         self.base = [(p.encode().split(), label) for p, label in BASE_PHRASES.items()]
         rare = sorted(self.postings, key=lambda w: (-idf[w], w))
         self.rank = {w: i for i, w in enumerate(rare)}
@@ -117,11 +144,13 @@ class Index:
         """(places of base phrases, first, last, their labels, {label of the index: share of its weight found})."""
         own = set(words)
         phrases = [(p, label) for p, label in self.base if own.issuperset(p)]
-        # Only a template whose mandatory words, and words of enough weight, stand somewhere in the file can match.
-        names = [k for k, need in self.needed.items() if need <= own and sum(self.idf[w] for w in self.bodies[k] if w in own) >= self.min_match * self.weight[k]]
+        # Only a template whose mandatory words all stand somewhere in the file can match.
+        known = own.intersection(self.rank)
+        held = Counter(name for word in known for name in self.wanted_by[word])
+        names = {k for k, n in held.items() if n == self.wants[k]}
         if not phrases and not names:
             return 0, None, None, set(), {}
-        wanted = {p[-1] for p, _ in phrases}.union(*(self.bodies[k] for k in names))
+        wanted = {p[-1] for p, _ in phrases}.union(known if names else ())
         at = defaultdict(list)
         for i, word in enumerate(words):
             if word in wanted:
@@ -132,25 +161,36 @@ class Index:
             found = [i - k + 1 for i in at[phrase[-1]] if i + 1 >= k and words[i - k + 1 : i + 1] == phrase]
             places += found
             base |= {label} if found else set()
-        return len(places), min(places, default=None), max(places, default=None), base, self._templates(words, at, names)
+        return len(places), min(places, default=None), max(places, default=None), base, self._templates(words, at, sorted(known, key=self.rank.__getitem__), names)
 
-    def _templates(self, words: list[bytes], at: dict[bytes, list[int]], names: list[str]) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for template in names:
-            label = self.label[template]
-            seeds = sorted(set(self.bodies[template]).intersection(at), key=self.rank.__getitem__)[: self.rare_words]
-            votes = defaultdict(float)  # by where the template would begin, the weight of the seeds that stand there, give or take slack
-            for word in seeds:
-                agreed = {i - offset + d for name, offset in self.postings[word] if name == template for i in at[word] for d in range(-self.slack, self.slack + 1)}
+    def _templates(self, words: list[bytes], at: dict[bytes, list[int]], rarest: list[bytes], names: set[str]) -> dict[str, float]:
+        """{label: share of its weight found}. The file's licence words, rarest first, are looked up in the postings,
+        until each template has been met by rare_words of them; the places where it would begin, give or take slack, get
+        the words' weights, and those with enough are verified."""
+        met = Counter()
+        seeds = Counter()  # by template, the weight of the words that it was looked up by
+        votes: dict[str, Counter] = defaultdict(Counter)
+        for word in rarest:
+            starts: dict[str, set[int]] = defaultdict(set)
+            for name, offset in self.postings[word]:
+                if name in names and met[name] < self.rare_words:
+                    starts[name].update(i - offset + d for i in at[word] for d in range(-self.slack, self.slack + 1))
+            for name, agreed in starts.items():
+                met[name] += 1
+                seeds[name] += self.idf[word]
                 for start in agreed:
-                    votes[start] += self.idf[word]
-            body = self.bodies[template]
+                    votes[name][start] += self.idf[word]
+            if starts and all(met[name] >= self.rare_words for name in names):
+                break
+        out: dict[str, float] = {}
+        for name, places in votes.items():
+            label, body = self.label[name], self.bodies[name]
             # A match may miss words of 1 - min_match of the template's weight; where seeds of more are missing, none begins.
-            enough = sum(self.idf[w] for w in seeds) - (1 - self.min_match) * self.weight[template] - 1e-9
-            for start in sorted(x for x, w in votes.items() if w >= enough):
+            enough = seeds[name] - (1 - self.min_match) * self.weight[name] - 1e-9
+            for start in sorted(x for x, w in places.items() if w >= enough):
                 near = words[max(0, start - self.slack) : max(0, start + len(body) + self.slack)]
-                share = self._share(body, words, start) / self.weight[template]
-                if share >= self.min_match and share > out.get(label, 0.0) and all(_holds(near, p) for p in self.phrases[template]):
+                share = self._share(body, words, start) / self.weight[name]
+                if share >= self.min_match and share > out.get(label, 0.0) and all(_holds(near, p) for p in self.phrases[name]):
                     out[label] = share
         return out
 
@@ -191,8 +231,9 @@ def scan(docs: DataFrame, templates: dict | None = None, rare_words: int = 12, m
 
     Words are runs of 0-9, a-z (A-Z in lower case) and anything beyond ASCII. n_base counts all places where a
     base phrase's words stand one after the other; first_word and last_word are the smallest and largest start.
-    A template's label is added if, from a place where one of the file's rare_words words of highest inverse document
-    frequency (over all rows of docs) stands give or take slack words, words of min_match of its weight stand at
+    A template's label is added if, from a place where some of the file's words of highest inverse document
+    frequency (over all rows of docs; rare_words for each template that they are in) stand give or take slack words,
+    words of min_match of its weight stand at
     their places give or take slack words, and all its mandatory phrases are there. Places that the rare words rule
     out by that weight aren't tried. score is 1 with a base
     label, else the best template's share of weight, else 0. Labels are distinct, sorted, joined by commas.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, written
+from .common import free_names, join_small, scratch, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,10 +39,15 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[str, i
         nodes = nodes.withColumn("__ratio", F.col("__c").cast("double") / F.col("__w"))
         group = Window.partitionBy(*upper)
         first = group.orderBy("__ratio", level).rowsBetween(Window.unboundedPreceding, -1)
-        nodes = nodes.withColumn("__rate", (F.col("__given") - F.coalesce(F.sum("__c").over(first), F.lit(0))).cast("double") / (F.sum("__w").over(group) - F.coalesce(F.sum("__w").over(first), F.lit(0))))
-        nodes = nodes.withColumn("__full", F.col("__rate") >= F.col("__ratio"))
-        rate = F.max(F.when(~F.col("__full"), F.col("__rate"))).over(group)
-        nodes = nodes.withColumn("__b", F.when(F.col("__full"), F.col("__c")).otherwise(F.least(F.col("__c"), F.floor(rate * F.col("__w")))))
+        # In whole numbers: what is left for a node and those after it, and their weights.
+        exact = lambda c: c.cast("decimal(28,0)")
+        nodes = nodes.withColumns({"__left": F.col("__given") - F.coalesce(F.sum("__c").over(first), F.lit(0)), "__ws": F.sum("__w").over(group) - F.coalesce(F.sum("__w").over(first), F.lit(0))})
+        nodes = nodes.withColumn("__full", exact(F.col("__left")) * exact(F.col("__w")).cast("decimal(10,0)") >= exact(F.col("__c")) * F.col("__ws").cast("decimal(10,0)"))
+        # All after the first that isn't full deal what is left there.
+        short = F.min(F.when(~F.col("__full"), F.struct("__ratio", level, "__left", "__ws"))).over(group)
+        nodes = nodes.withColumns({"__sl": short["__left"], "__sw": short["__ws"]})
+        dealt = F.expr("cast((cast(__sl as decimal(28,0)) * cast(__w as decimal(10,0))) div cast(__sw as decimal(10,0)) as bigint)")
+        nodes = nodes.withColumn("__b", F.when(F.col("__full"), F.col("__c")).otherwise(F.least(F.col("__c"), dealt)))
         above = nodes.select(*levels[:depth], F.col("__b").alias("__given"))
     return leaves.join(above, levels, "left").select(*levels, "tokens", F.coalesce("__given", F.lit(0)).cast("long").alias("budget"))
 
@@ -54,7 +59,7 @@ def order_key(doc_id: Column, epoch: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float = 0.6, max_epochs: int = 2, seed: int = 1, digits: tuple[int, ...] = (2, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs chosen to meet the weights, once for every epoch that takes them: all columns of docs,
-    then the levels as __l1, __l2, ... and __epoch (from 0).
+    then the levels as __l1, __l2, ... and __epoch (from 0); a name that docs has gets underscores added.
 
     total is share of all words, rounded down. A leaf of t words and budget b gives b // t whole epochs and, of
     the next epoch, the longest prefix of its seeded permutation with at most b % t words; rows with equal keys
@@ -65,21 +70,28 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     The permutation of a leaf is never sorted in one task: words are summed by leaf and the first of the
     key's hex digits, the sums are accumulated, the one bucket in which the budget ends is summed by further digits,
     and only what is left, one part in 65,536, is ordered row by row. Texts are not
-    shuffled; the budgets (one row a leaf) are joined by broadcast after their rows are counted.
+    shuffled as long as the budgets, one row a leaf, are few enough to be broadcast after they are counted (500,000); the
+    children of one node are ordered in one task, a row for each.
     """
-    names = [f"__l{i}" for i in range(1, len(levels) + 1)]
+    *names, epoch, whole, cut_, times = free_names(docs.columns, *[f"__l{i}" for i in range(1, len(levels) + 1)], "__epoch", "__whole", "__cut", "__n")
     keyed = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit("<null>")) for n, c in zip(names, levels.values())})
-    slim = written(keyed.select(F.col(id_col).alias("__id"), *names, n_words(F.col(text_col)).alias("__tokens")))
+    with scratch(docs.sparkSession):
+        slim = written(keyed.select(F.col(f"`{id_col}`").alias("__id"), *names, n_words(F.col(f"`{text_col}`")).alias("__tokens")))
+        plan, n_leaves = _plan(slim, names, levels, weights, share, max_epochs, seed, digits)
+    out = join_small(keyed, plan.select(*names, F.col("__whole").alias(whole), F.col("__cut").alias(cut_)), names, n_leaves)
+    taken = F.col(whole) + F.when(order_key(F.col(f"`{id_col}`"), F.col(whole), seed) <= F.col(cut_), 1).otherwise(0)
+    out = out.withColumn(times, taken.cast("int")).where(F.col(times) > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *names, epoch)
+
+
+def _plan(slim: DataFrame, names: list[str], levels: dict[str, Column], weights: dict[str, dict[str, int]], share: float, max_epochs: int, seed: int, digits: tuple[int, ...]) -> tuple[DataFrame, int]:
+    """(of each leaf the whole epochs that it gives and the last key of the one that it gives in part, leaves)."""
     leaves = written(slim.groupBy(*names).agg(F.sum("__tokens").alias("tokens")))
     n_leaves, total = leaves.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     by_level = {n: weights.get(level, {}) for n, level in zip(names, levels)}
     plan = written(budgets(leaves, names, by_level, int(total * share), max_epochs).where("budget > 0").select(*names, F.expr("budget div tokens").alias("__whole"), F.expr("budget % tokens").alias("__rest")))
     cut = _cuts(slim, plan, names, n_leaves, seed, digits)
-    plan = written(plan.join(cut, names, "left"))
-    out = join_small(keyed, plan, names, n_leaves)
-    taken = F.col("__whole") + F.when(order_key(F.col(id_col), F.col("__whole"), seed) <= F.col("__cut"), 1).otherwise(0)
-    out = out.withColumn("__n", taken.cast("int")).where("__n > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *names, "__epoch")
+    return written(plan.join(cut, names, "left"), keep=True), n_leaves
 
 
 def _cuts(slim: DataFrame, plan: DataFrame, names: list[str], n_leaves: int, seed: int, digits: tuple[int, ...]) -> DataFrame:

@@ -117,9 +117,12 @@ def _op4_sql() -> str:
 n{depth} AS (SELECT {", ".join(f"n.{k}" for k in keys)}, c, w, a.given, CAST(c AS DOUBLE) / w AS ratio
   FROM (SELECT {", ".join(keys)}, CAST(sum(cap) AS BIGINT) AS c, {weight(level, name)} AS w FROM leaf GROUP BY {", ".join(keys)}) n
   JOIN {above} a ON {on} WHERE c > 0 AND w > 0),
-r{depth} AS (SELECT *, CAST(given - coalesce(sum(c) OVER before, 0) AS DOUBLE) / CAST(sum(w) OVER ({part}) - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS rate
+r{depth} AS (SELECT *, CAST(given - coalesce(sum(c) OVER before, 0) AS HUGEINT) AS rest, CAST(sum(w) OVER ({part}) - coalesce(sum(w) OVER before, 0) AS HUGEINT) AS ws,
+    row_number() OVER ({part} ORDER BY ratio, {name}) AS turn
   FROM n{depth} WINDOW before AS ({part} ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g{depth} AS (SELECT {", ".join(keys)}, CASE WHEN rate >= ratio THEN c ELSE least(c, CAST(floor(max(CASE WHEN rate < ratio THEN rate END) OVER ({part}) * w) AS BIGINT)) END AS given FROM r{depth})""")
+f{depth} AS (SELECT *, min(CASE WHEN rest * w < c * ws THEN turn END) OVER ({part}) AS short FROM r{depth}),
+g{depth} AS (SELECT {", ".join(keys)}, CASE WHEN short IS NULL OR turn < short THEN c
+    ELSE least(c, CAST(max(CASE WHEN turn = short THEN rest END) OVER ({part}) * w // max(CASE WHEN turn = short THEN ws END) OVER ({part}) AS BIGINT)) END AS given FROM f{depth})""")
     return f"""
 WITH doc AS (
   SELECT doc_id, 'd' || (CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS INTEGER) % 4) AS l1,

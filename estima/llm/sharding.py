@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 
 def is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
@@ -50,10 +52,11 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], size: int = 65537,
     null key goes where the empty text goes, an empty table gives an empty table. The lookup table (size rows of
     a number and a name, a fixed bound) is broadcast; no row is shuffled.
     """
+    kept = [c for c in df.columns if c not in (slot, shard)]
+    own_slot, index, own_shard = free_names([*df.columns, slot, shard], "__slot", "__index", "__shard")
     names = F.array(*[F.lit(s) for s in shards])
     table = df.sparkSession.range(1).select(
-        F.posexplode(F.split(F.lit(",".join(map(str, lookup_table(shards, size)))), ",")).alias("__slot", "__index")
-    ).select("__slot", F.element_at(names, F.col("__index").cast("int") + 1).alias("__shard"))
-    kept = [c for c in df.columns if c not in (slot, shard)]
-    placed = df.select(*[F.col(f"`{c}`") for c in kept], slot_of(F.col(f"`{key}`"), size).alias("__slot"))
-    return placed.join(F.broadcast(table), "__slot", "left").select(*[F.col(f"`{c}`") for c in kept], F.col("__slot").alias(slot), F.col("__shard").alias(shard))
+        F.posexplode(F.split(F.lit(",".join(map(str, lookup_table(shards, size)))), ",")).alias(own_slot, index)
+    ).select(own_slot, F.element_at(names, F.col(index).cast("int") + 1).alias(own_shard))
+    placed = df.select(*[F.col(f"`{c}`") for c in kept], slot_of(F.col(f"`{key}`"), size).alias(own_slot))
+    return placed.join(F.broadcast(table), own_slot, "left").select(*[F.col(f"`{c}`") for c in kept], F.col(own_slot).alias(slot), F.col(own_shard).alias(shard))

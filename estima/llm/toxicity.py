@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_names, scratch, small_batches, written
 
 WORDS = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6, 7)
@@ -89,8 +89,8 @@ def nnpu(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, more: np.nda
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", prior: float | None = None, seed: int = 0) -> Model:
     """A model learnt from labels of rows that are not held out.
 
-    At most MAX_POSITIVE confirmed rows and MAX_UNLABELLED others, those of smallest seeded hash of the id, are
-    read; their features are counted by a distributed aggregate, the MAX_FEATURES that most favour confirmed rows
+    At most MAX_POSITIVE confirmed ids and MAX_UNLABELLED others, those of smallest seeded hash, are
+    read, of rows that repeat an id that with the smallest text; their features are counted by a distributed aggregate, the MAX_FEATURES that most favour confirmed rows
     are kept, and only the rows' numbers of these features reach the driver. prior, the share of toxic rows, is by
     default that of the labelled rows.
     """
@@ -99,12 +99,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     by_hash = lambda frame, n: frame.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
     share = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     prior = prior if prior is not None else min(0.5, max(0.001, share or 0.0))
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").where(~held_out(F.col("id")))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").where(~held_out(F.col("id"))).distinct()
     toxic = by_hash(known.where("y = 1").select("id"), MAX_POSITIVE).withColumn("p", F.lit(True))
     # Confirmed rows may be drawn among the unlabelled too; there they count as what they are, a draw from all text.
     drawn = by_hash(ids, MAX_UNLABELLED).withColumn("p", F.lit(False))
-    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(toxic.unionByName(drawn).distinct()), "id").select("t", "p")
+    sample = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(toxic.unionByName(drawn).distinct()), "id")
+    with scratch(docs.sparkSession):
+        return _fitted(written(sample.groupBy("id", "p").agg(F.min("t").alias("t")).select("t", "p")), prior)
 
+
+def _fitted(sample: DataFrame, prior: float) -> Model:
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names: list[str] = []
@@ -167,7 +171,8 @@ def score_texts(texts: list[str | None], model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, then __score (0 to 1) and __predicted (1 if the score reaches the threshold, else 0).
+    """All columns of docs, then __score (0 to 1) and __predicted (1 if the score reaches the threshold, else 0), with
+    underscores added to a name that docs has.
 
     The whole of every text counts, by its words and their beginnings, and nothing but the text. A null
     text scores like an empty one: by the bias alone. Rows keep their number and may repeat; columns of any name
@@ -182,5 +187,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
     small_batches(docs.sparkSession)
     scorer = F.arrow_udf(run, "double")
-    return docs.withColumn("__score", scorer(F.col(text_col))).withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
+    own, predicted = free_names(docs.columns, "__score", "__predicted")
+    return docs.withColumn(own, scorer(F.col(f"`{text_col}`"))).withColumn(predicted, (F.col(own) >= threshold).cast("int"))
 

@@ -188,6 +188,11 @@ def test_bpe_like_tiktoken(spark):
         assert r["token_ids"] == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]).decode() == text
         assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode(df.limit(0), RANKS, P.PATTERN).count() == 0
+    for r in bpe.encode(df.where("doc_id IN (1, 2)"), RANKS, P.PATTERN, keep_decoded=False, keep_offsets=True).collect():
+        text = TEXTS[r["doc_id"]]
+        assert r["token_ids"] == enc.encode_ordinary(text) and len(r["token_starts"]) == len(r["token_ends"]) == r["n_tokens"]
+        covered = {k for a, b in zip(r["token_starts"], r["token_ends"]) for k in range(a, b)}
+        assert covered == set(range(len(text)))
 
 
 def test_documents_like_tiktoken():
@@ -205,10 +210,12 @@ def test_bytes_and_offsets():
     assert len(set(table)) == 256 and table[ord("A")] == "A"
     own = bpe.codec(RANKS, P.PATTERN)
     text = "x 😀é日"
-    for (a, b), i in zip(own.offsets(text), own.encode([text])[0]):
+    ids, spans = own.encode_with_offsets([text, ""])
+    assert ids[0].tolist() == own.encode([text])[0].tolist() and spans[1].shape == (0, 2)
+    for (a, b), i in zip(spans[0].tolist(), ids[0]):
         assert 0 <= a < b <= len(text)
-        token = own.tokens[i]
-        assert token in text[a:b].encode()  # a part of a character spans all of it
+        assert own.decode_bytes(np.array([i])) in text[a:b].encode()  # a part of a character spans all of it
+    assert all(own.byte_of[ord(c)] == b for b, c in enumerate(table))
     half = own.encode(["😀"])[0]
     assert own.decode(half) == "😀" and (len(half) == 1 or "�" in own.decode(half[:1]))
 
@@ -231,6 +238,8 @@ def brute_base(text: str):
 LICENSED = [
     "Released under the MIT License. Again: UNDER-THE-mit license!", "Licensed under CC BY-NC 4.0.", "x Apache License, Version 2.0 y", None, "", "É under the mit\nlicense é",
     "no license here", licenses.TEMPLATES["bsd text"][1].upper(), "This work is licensed under the GNU General Public License, version 3.", "permission is hereby granted free of charge to nobody", "cc by nc cc by nc " * 20000,
+    "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: GPL-2.0-or-later", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.",
+    "SPDX-License-Identifier: Apache-2.0 " + licenses.TEMPLATES["mit text"][1] + " x " + licenses.TEMPLATES["bsd text"][1], "the license identifier", "a " * 300000,
 ]
 
 
@@ -241,7 +250,8 @@ def test_scan(spark):
         r = out[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_base(text)
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    assert out[7]["labels"] == "bsd" and out[8]["labels"] == "gpl-3" and out[6]["labels"] == out[9]["labels"] == "" and out[3]["score"] == 0
+    assert out[7]["labels"] == "bsd" and out[8]["labels"] == "gpl-3" and out[6]["labels"] == out[9]["labels"] == out[15]["labels"] == "" and out[3]["score"] == 0
+    assert [out[i]["labels"] for i in (11, 12, 13, 14)] == ["mit", "gpl-2", "gpl-3", "apache-2,bsd,mit"] and out[14]["score"] == 1
     assert licenses.scan(df.limit(0)).count() == 0
 
 
@@ -298,6 +308,14 @@ def test_held_out_accuracy(spark):
     assert r[0] >= 0.9 * r[1] and r[2] <= 0.03 * r[3]
 
 
+def test_clashing_names_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"idiot scum {i}", 5, 6) for i in range(50)] + [(i, f"fine words {i}", 5, 6) for i in range(100, 200)], "doc_id long, text string, __score int, __PREDICTED int")
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 1)] + [(i, 1, 0) for i in range(100, 150)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model)
+    assert out.columns == [*docs.columns, "__score_", "__predicted_"] and out.agg(F.sum("__score"), F.count("__predicted_")).first()[:] == (750, 150)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "idiot scum idiot"), (2, None), (2, ""), (None, "x " * 300000)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
