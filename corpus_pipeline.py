@@ -17,13 +17,14 @@ MIX_SHARE, MIX_EPOCHS = 0.8, 2
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold. The classifier learns from the labels of rows not held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("__predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = toxicity.score(docs, model)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents that with the smallest id. Rows without an id stay; of rows that repeat an
     id one stays."""
-    found = ngram_join.join(docs)
+    found = ngram_join.join(docs, count_links=False)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     rows, ids = found.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
     kept = join_small(docs, gone, ["doc_id"], gone.count(), "left_anti")
