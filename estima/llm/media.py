@@ -27,6 +27,8 @@ MARGIN = RADIUS + 2
 NEIGHBOURS, TABLES, KEY_BITS = 2, 4, 20
 #: Matches are corners at most MAX_BITS tests apart; MIN_MATCHES of them, and MIN_SHARE of all, must agree to MAX_ERROR pixels.
 MAX_BITS, MIN_MATCHES, MIN_SHARE, MAX_ERROR = 64, 6, 0.25, 3.0
+#: Pictures that share a place are compared if at most so many of the 64 tests beside it differ.
+MAX_BESIDE = 9
 _grid = np.arange(-RADIUS, RADIUS + 1).astype(np.float32)
 _square = _grid[:, None] ** 2 + _grid[None] ** 2
 _DISC = np.where(_square <= RADIUS**2, np.exp(-_square / (2 * (RADIUS / 1.8) ** 2)), 0).astype(np.float32)
@@ -50,6 +52,8 @@ def _tests() -> np.ndarray:
 
 _TESTS = _tests()
 _KEYS = [np.random.RandomState(7 + t).permutation(256)[:KEY_BITS] for t in range(TABLES)]
+#: Tests in no table, by which chance meetings are told from copies before descriptors move.
+_REST = np.random.RandomState(7).permutation(np.setdiff1d(np.arange(256), np.concatenate(_KEYS)))[:32]
 
 
 def write_pgm(pixels: np.ndarray) -> bytes:
@@ -209,11 +213,12 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(where[:, 1] + 0.5) / scale, (where[:, 0] + 0.5) / scale, level], 1), np.packbits(bits, axis=1).view(">i8").astype(np.int64)
 
 
-def keys(corners: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The places in the Hamming tables: for each pair of a corner and one of its nearest neighbours in its level, and
-    each table, the table's number and the two corners' tests of that table, the smaller first."""
+def keys(corners: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the Hamming tables, 64 tests beside each): for each pair of a corner and one of its nearest neighbours
+    in its level, and each table, the table's number and the two corners' tests of that table, the smaller first; then 32
+    tests of either that no table uses, in the same order."""
     if len(corners) < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, second = [], []
     for level in np.unique(corners[:, 2]):
         own = np.flatnonzero(corners[:, 2] == level)
@@ -227,11 +232,15 @@ def keys(corners: np.ndarray, words: np.ndarray) -> np.ndarray:
     a, b = np.concatenate(first), np.concatenate(second)
     a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
     bits = np.unpackbits(words.astype(">i8").view(np.uint8).reshape(len(words), -1), axis=1).astype(np.int64)
-    out = []
+    out, beside = [], []
+    rest = bits[:, _REST] @ (1 << np.arange(32, dtype=np.int64))
     for t, tests in enumerate(_KEYS):
         code = bits[:, tests] @ (1 << np.arange(KEY_BITS, dtype=np.int64))
-        out.append((t << 2 * KEY_BITS) | (np.minimum(code[a], code[b]) << KEY_BITS) | np.maximum(code[a], code[b]))
-    return np.unique(np.concatenate(out))
+        low, high = np.where(code[a] <= code[b], a, b), np.where(code[a] <= code[b], b, a)
+        out.append((t << 2 * KEY_BITS) | (code[low] << KEY_BITS) | code[high])
+        beside.append((rest[low] << 32) | rest[high])
+    pairs = np.unique(np.stack([np.concatenate(out), np.concatenate(beside)]), axis=1)
+    return pairs[0], pairs[1]
 
 
 def _matches(aw: np.ndarray, bw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,16 +325,16 @@ def _shaped(corners, words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _buckets(pictures: DataFrame) -> DataFrame:
-    """(key, d1): the places of each picture in the tables, by the first half of its digest."""
+    """(key, beside, d1): the places of each picture in the tables, by the first half of its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [keys(*_shaped(c, w)) for c, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             if own:
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids, pa.int64())], names=["key", "d1"])
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k, _ in own])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(*own)), pa.array(ids, pa.int64())], names=["key", "beside", "d1"])
 
-    return pictures.select("d1", "corners", "words").mapInArrow(run, "key long, d1 long")
+    return pictures.select("d1", "corners", "words").mapInArrow(run, "key long, beside long, d1 long")
 
 
 def _agreeing(pairs: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -348,7 +357,7 @@ def find_copies(media: DataFrame, id_col: str = "media_id", image_col: str = "im
 
     Pictures of equal pixels are one class and are compared once. Corners of eight levels, spread over cells, are described
     by 256 tests in a frame turned to the patch's own angle. Tables hold pairs of neighbouring corners by some of their
-    tests, other ones in each, so that flipped tests leave most places equal. Of the pictures that share a place each is
+    tests, other ones in each, so that flipped tests leave most places equal. Of the pictures that share a place, and most of 64 tests beside it, each is
     compared with the first, then any that are still in different components with each other; two are linked if
     6 corners, and a quarter of those that are each other's nearest, agree on one shift, turn and scale from 0.3 to
     3.3. Buckets aren't capped. Copies cropped to half, shrunk or enlarged by up to 2, turned by any angle, noisy, blurred
@@ -368,9 +377,11 @@ def _classed(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     some = rows.where("id IS NOT NULL")
     classes = written(some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n_same")))
     group = Window.partitionBy("key")
-    met = written(_buckets(pictures).withColumns({"f": F.min("d1").over(group), "l": F.max("d1").over(group)}).where("f <> l").select("key", "d1", "f"))
+    alike = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BESIDE
+    held = _buckets(pictures).withColumns({"f": F.min(F.struct("d1", "beside")).over(group), "l": F.max("d1").over(group)}).where("f.d1 <> l")
+    met = written(held.select("key", "beside", "d1", F.col("f.d1").alias("f"), F.col("f.beside").alias("fb")))
     others = met.where("d1 <> f")
-    links = _named(_agreeing(written(others.select(F.col("f").alias("a"), F.col("d1").alias("b")).distinct()), pictures), classes)
+    links = _named(_agreeing(written(others.where(alike("beside", "fb")).select(F.col("f").alias("a"), F.col("d1").alias("b")).distinct()), pictures), classes)
     parts = written(components(links))
 
     # Pictures that share a first half are kept apart by no label, which compares too much rather than too little.
@@ -378,10 +389,10 @@ def _classed(media: DataFrame, id_col: str, image_col: str) -> DataFrame:
     label = label.select("d1", F.when(F.col("c") == F.col("d"), F.col("c")).alias("c"))
     held = written(others.distinct().join(label, "d1").join(label.select(F.col("d1").alias("f"), F.col("c").alias("fc")), "f"))
     apart = lambda x, y: ~F.coalesce(F.col(x) == F.col(y), F.lit(False))
-    stray = held.where(apart("c", "fc")).select("key", F.col("d1").alias("a"), F.col("c").alias("ac"))
-    rest = held.select("key", F.col("d1").alias("b"), F.col("c").alias("bc"), apart("c", "fc").alias("bstray"))
+    stray = held.where(apart("c", "fc")).select("key", F.col("d1").alias("a"), F.col("c").alias("ac"), F.col("beside").alias("ab"))
+    rest = held.select("key", F.col("d1").alias("b"), F.col("c").alias("bc"), F.col("beside").alias("bb"), apart("c", "fc").alias("bstray"))
     once = ~F.col("bstray") | (F.col("a") < F.col("b"))
-    over = stray.join(rest, "key").where(apart("ac", "bc") & (F.col("a") != F.col("b")) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    over = stray.join(rest, "key").where(apart("ac", "bc") & (F.col("a") != F.col("b")) & once & alike("ab", "bb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _named(_agreeing(written(over), pictures), classes)
     if more.limit(1).count():
         parts = written(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
