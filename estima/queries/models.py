@@ -23,9 +23,24 @@ def coefficient(fit, digits: int = 4):
     return [(t, round(float(b), digits)) for t, b in zip(fit.terms, fit.beta)]
 
 
-@query()
+#: The normal equations of three centred regressors by cofactors, with the residual variance; z and the first terms of its
+#: expansion in 1 / df give the t quantile.
+THREE_X = """WITH m AS (SELECT covar_pop(x1, x1) AS a, covar_pop(x1, x2) AS b, covar_pop(x1, x3) AS c, covar_pop(x2, x2) AS d, covar_pop(x2, x3) AS e, covar_pop(x3, x3) AS f, covar_pop(x1, y) AS p, covar_pop(x2, y) AS q, covar_pop(x3, y) AS r, var_pop(y) AS v, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice AS y FROM lineitem)),
+g AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m),
+i AS (SELECT *, (d * f - e * e) / det AS i11, (c * e - b * f) / det AS i12, (b * e - c * d) / det AS i13, (a * f - c * c) / det AS i22, (b * c - a * e) / det AS i23, (a * d - b * b) / det AS i33 FROM g),
+s AS (SELECT *, i11 * p + i12 * q + i13 * r AS b1, i12 * p + i22 * q + i23 * r AS b2, i13 * p + i23 * q + i33 * r AS b3, CAST(1.959963984540054 AS DOUBLE) AS z FROM i),
+o AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, (v - b1 * p - b2 * q - b3 * r) * n AS rss, (v - b1 * p - b2 * q - b3 * r) * n / (n - 4) AS s2,
+  z + (z * z * z + z) / (4 * (n - 4)) + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / (96 * power(n - 4, 2)) AS t,
+  m1 * (i11 * m1 + i12 * m2 + i13 * m3) + m2 * (i12 * m1 + i22 * m2 + i23 * m3) + m3 * (i13 * m1 + i23 * m2 + i33 * m3) AS h0 FROM s),
+k AS (SELECT 'intercept' AS term, b0 AS b, sqrt(s2 * (1 + h0) / n) AS se, t FROM o UNION ALL SELECT 'l_quantity', b1, sqrt(s2 * i11 / n), t FROM o UNION ALL SELECT 'l_discount', b2, sqrt(s2 * i22 / n), t FROM o UNION ALL SELECT 'l_tax', b3, sqrt(s2 * i33 / n), t FROM o)
+"""
+
+
+@query(THREE_X + "SELECT term, round(b, 2) AS estimate, round(se, 4) AS std_error, round(b / se, 4) AS statistic, round(b - t * se, 2) AS ci_lower, round(b + t * se, 2) AS ci_upper FROM k")
 def i1_ols(s, d):
-    return ols(s, d).table(s)
+    t = ols(s, d).table(s)
+    return t.select("term", *[F.round(c, k).alias(c) for c, k in (("estimate", 2), ("std_error", 4), ("statistic", 4), ("ci_lower", 2), ("ci_upper", 2))])
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 8) AS r2, count(*) AS n FROM lineitem")
@@ -48,9 +63,12 @@ def i1_two_regressors(s, d):
     return frame(s, [(round(float(b[0]), 2), round(float(b[1]), 4), round(float(b[2]), 2), round(fit.sigma2 / 1e6, 4))], "intercept double, quantity double, tax double, sigma2_m double")
 
 
-@query()
+@query(THREE_X + """, w AS (SELECT n, 1 - rss / (v * n) AS r2, sqrt(s2) AS rse, (v * n - rss) / 3 / s2 AS f, -n / 2 * (ln(2 * pi() * rss / n) + 1) AS ll FROM o)
+SELECT n, 4.0::DOUBLE AS k, round(r2, 8) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 4), 8) AS adj_r2, round(rse, 4) AS rse, round(f, 2) AS f_stat, round(ll, 2) AS loglik, round(-2 * ll + 10, 2) AS aic, round(-2 * ll + ln(n) * 5, 2) AS bic FROM w""")
 def i1_ols_metrics(s, d):
-    return metrics(s, ols(s, d).metrics())
+    m = ols(s, d).metrics()
+    digits = {"n": 0, "k": 0, "r2": 8, "adj_r2": 8, "rse": 4, "f_stat": 2, "loglik": 2, "aic": 2, "bic": 2}
+    return frame(s, [tuple(round(float(m[c]), k) for c, k in digits.items())], ", ".join(f"{c} double" for c in digits))
 
 
 @query("SELECT round((sum(w * x * y) * sum(w) - sum(w * x) * sum(w * y)) / (sum(w * x * x) * sum(w) - power(sum(w * x), 2)), 3) AS slope FROM (SELECT l_quantity AS w, l_tax * 100 AS x, l_extendedprice AS y FROM lineitem)")
@@ -65,9 +83,12 @@ def i4_predict(s, d):
     return I.predict(line(s, d), fit).select("l_orderkey", "l_linenumber", F.round("prediction", 3).alias("prediction"))
 
 
-@query()
+@query(THREE_X + """, h AS (SELECT l_orderkey, l_linenumber, b0 + b1 * l_quantity + b2 * l_discount + b3 * l_tax AS prediction, l_quantity - m1 AS u1, l_discount - m2 AS u2, l_tax - m3 AS u3, o.* FROM lineitem, o),
+j AS (SELECT *, t * sqrt(s2 * (1 + (1 + u1 * u1 * i11 + u2 * u2 * i22 + u3 * u3 * i33 + 2 * (u1 * u2 * i12 + u1 * u3 * i13 + u2 * u3 * i23)) / n)) AS half FROM h)
+SELECT l_orderkey, l_linenumber, round(prediction, 2) AS prediction, round(prediction - half, 2) AS lower, round(prediction + half, 2) AS upper FROM j""")
 def i5_predict_interval(s, d):
-    return I.predict_interval(line(s, d), ols(s, d)).select("l_orderkey", "l_linenumber", "prediction", "lower", "upper")
+    out = I.predict_interval(line(s, d), ols(s, d))
+    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 2).alias(c) for c in ("prediction", "lower", "upper")])
 
 
 @query("WITH c AS (SELECT sum(x * x) + 10 AS a, sum(x * z) AS b, sum(z * z) + 10 AS d, sum(x * y) AS p, sum(z * y) AS q FROM (SELECT l_quantity AS x, l_tax * 100 AS z, l_extendedprice AS y FROM lineitem)) SELECT round((p * d - b * q) / (a * d - b * b), 4) AS x, round((a * q - b * p) / (a * d - b * b), 4) AS z FROM c")
