@@ -247,7 +247,7 @@ def strategy(columns: dict[str, str], instrument: str | None = None, time: str |
 
 
 def report(title: str, sections: dict[str, DataFrame | str], most: int = 1000) -> str:
-    """An HTML page of texts and (at most most rows of) tables."""
+    """An HTML page of texts and tables, of each the first rows; a line below says so if there are more."""
     parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, content in sections.items():
         parts.append(f"<h2>{html.escape(name)}</h2>")
@@ -255,7 +255,8 @@ def report(title: str, sections: dict[str, DataFrame | str], most: int = 1000) -
             parts.append(f"<p>{html.escape(content)}</p>")
             continue
         cells = lambda row, tag: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in row)
-        parts.append("<table><tr>" + cells(content.columns, "th") + "</tr>" + "".join(f"<tr>{cells(r, 'td')}</tr>" for r in content.limit(most).collect()) + "</table>")
+        rows = content.limit(most + 1).collect()
+        parts.append("<table><tr>" + cells(content.columns, "th") + "</tr>" + "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows[:most]) + "</table>" + f"<p>The first {most} rows; there are more.</p>" * (len(rows) > most))
     return "".join(parts) + "</body></html>"
 
 

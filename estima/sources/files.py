@@ -92,20 +92,26 @@ def write_excel(df: DataFrame, path: str, most: int = 1_000_000) -> None:
     rows.to_excel(path, index=False)
 
 
-def _cells(df: DataFrame, most: int) -> list[list[str]]:
+def _cells(df: DataFrame, most: int) -> tuple[list[list[str]], bool]:
+    """(the first rows as texts, whether there are more)."""
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
-    return [[show(v) for v in r] for r in df.limit(most).collect()]
+    rows = df.limit(most + 1).collect()
+    return [[show(v) for v in r] for r in rows[:most]], len(rows) > most
 
 
 def to_markdown(df: DataFrame, most: int = 200) -> str:
+    """A table of the first rows; a last line says so if there are more."""
+    cells, more = _cells(df, most)
     line = lambda row: "| " + " | ".join(x.replace("|", "\\|") for x in row) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in _cells(df, most)]])
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in cells]] + [f"\nThe first {most} rows; there are more."] * more)
 
 
 def to_latex(df: DataFrame, most: int = 200) -> str:
+    """A table of the first rows; a last line says so if there are more."""
+    cells, more = _cells(df, most)
     safe = lambda x: re.sub(r"([&%$#_{}])", r"\\\1", x)
-    body = [" & ".join(safe(x) for x in row) + r" \\" for row in [df.columns, *_cells(df, most)]]
-    return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", body[0], r"\hline", *body[1:], r"\end{tabular}"])
+    body = [" & ".join(safe(x) for x in row) + r" \\" for row in [df.columns, *cells]]
+    return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", body[0], r"\hline", *body[1:], r"\end{tabular}"] + [f"The first {most} rows; there are more."] * more)
 
 
 def save_project(path: str, tables: dict[str, DataFrame], history: Sequence[str] = (), labels: dict | None = None, weight: str | None = None) -> None:

@@ -428,3 +428,13 @@ def test_exact_quantiles(spark):
     for few in (50_000, 10):
         got = quantiles(df, ["x", "y", "z"], shares, few)
         assert np.allclose(got["x"], np.quantile(x, shares)) and np.allclose(got["y"], np.quantile(y, shares)) and np.isnan(got["z"]).all()
+
+
+def test_cut_tables_say_so(spark):
+    from estima.operators import governance
+    from estima.sources import files
+
+    df = spark.range(5)
+    note = "The first 3 rows; there are more."
+    for make in (files.to_markdown, files.to_latex, lambda d, n: governance.report("t", {"s": d}, n)):
+        assert note in make(df, 3) and "there are more" not in make(df, 5)
