@@ -322,7 +322,8 @@ def fuzzy_rdd(df: DataFrame, y: str, d: str, running: str, cutoff: float, bandwi
 
 def manifold(df: DataFrame, y: str, running: str, cutoff: float, base: float, steps: int = 20, kernel: str = "triangular") -> DataFrame:
     """(bandwidth, estimate, std_error, n) over 0.2 to 3 times a bandwidth, all in one pass: a row adds to the
-    cross-products of every bandwidth that holds it."""
+    cross-products of every bandwidth that holds it. A bandwidth that holds fewer than two values of the running column on
+    a side has no such fit and no row."""
     grid = [base * (0.2 + 2.8 * i / (steps - 1)) for i in range(steps)]
     own = complete(df, {"__y": y, "__r": number(running) - cutoff}).where(F.abs("__r") <= grid[-1])
     wide = own.withColumn("__h", F.explode(F.array(*[F.when(F.abs("__r") <= h, F.lit(h)) for h in grid]))).where("__h IS NOT NULL")
@@ -330,7 +331,9 @@ def manifold(df: DataFrame, y: str, running: str, cutoff: float, base: float, st
     rows = wide.select("__h", "__y", t.alias("t"), F.col("__r").alias("x1"), (t * F.col("__r")).alias("tx1"), C.KERNELS[kernel](F.col("__r") / F.col("__h")).alias("__w")).where("__w > 0")
     out = []
     for h, g in sorted(grouped(rows, ["__y", "t", "x1", "tx1"], "__h", "__w").items()):
-        if g.n > 4:
+        x = g.centred[1:, 1:]
+        d = np.sqrt(np.diag(x))
+        if g.n > 4 and d.min() > 0 and np.linalg.matrix_rank(x / np.outer(d, d), tol=1e-10) == 3:
             fit = from_gram(g, "__y", ["t", "x1", "tx1"])
             out.append((h, float(fit.beta[1]), float(fit.se[1]), g.n))
     return frame(df.sparkSession, out, "bandwidth double, estimate double, std_error double, n long")

@@ -9,7 +9,13 @@ from ..operators import causal as M
 from ..operators import governance as V
 from ..operators import linear, mediation, panel
 from ..registry import query, table
-from .foundation import line, rounded
+from .foundation import line, rounded, shown
+from .sqlfit import inverse, residual, shares, swept
+
+#: Two-stage least squares: the first stage (x1, x2 instruments, x3 exogenous), the second on its fitted values z, and the rows
+#: with structural residuals e and what they add to a coefficient.
+FIRST = swept("f", "(SELECT l_discount AS x1, l_linenumber AS x2, l_tax AS x3, l_quantity AS x4, l_extendedprice AS y FROM lineitem)", ["x1", "x2", "x3"], "x4")
+SECOND = swept("s", "(SELECT f_r.*, b0 + b1 * x1 + b2 * x2 + b3 * x3 AS z FROM f_r, f)", ["z", "x3"]) + f", u AS (SELECT x1, x2, x3, b0, b1, b2, {residual(['x4', 'x3'])} AS e, {', '.join(f'{c} AS c{i}' for i, c in enumerate(shares(['z', 'x3'])))} FROM s_r, s)"
 
 
 @query("SELECT round(covar_samp(l_discount, l_extendedprice) / covar_samp(l_discount, l_quantity) / 1e6, 6) AS estimate_m, count(*) AS n FROM lineitem")
@@ -23,14 +29,17 @@ def m1_two_stage(s, d):
     return t.where("term = 'l_quantity'").select(F.round(F.col("estimate") / 1e6, 6).alias("estimate_m"))
 
 
-@query()
+@query(f"""WITH {FIRST}, {SECOND}, {swept("g", "(SELECT x3, x4 FROM f_r)", ["x3"], "x4")}, {swept("a", "(SELECT x1, x2, x3, e AS y FROM u)", ["x1", "x2", "x3"])}, k AS (SELECT sum(e * e) AS rss, count(*) AS n FROM u), i AS (SELECT (g.rss - f.rss) / 2 / (f.rss / (f.n - 4)) AS f FROM f, g)
+SELECT 'n' AS metric, CAST(n AS DOUBLE) AS value FROM k UNION ALL SELECT 'sigma', round(sqrt(rss / (n - 3)), 3) FROM k UNION ALL SELECT 'r2', round(1 - k.rss / s.tss, 6) FROM k, s UNION ALL SELECT 'first_stage_f_l_quantity', round(f, 6) FROM i UNION ALL SELECT 'weak_instruments', CAST(f < 10 AS DOUBLE) FROM i UNION ALL SELECT 'sargan', round(n * (1 - rss / tss), 6) FROM a""")
 def m2_first_stage(s, d):
-    return metrics(s, M.iv(line(s, d), "l_extendedprice", ["l_quantity"], ["l_discount", "l_linenumber"], ["l_tax"])[1])
+    m = M.iv(line(s, d), "l_extendedprice", ["l_quantity"], ["l_discount", "l_linenumber"], ["l_tax"])[1]
+    return metrics(s, {k: round(float(v), 3 if k == "sigma" else 6) for k, v in m.items() if k != "sargan_p_value"})
 
 
-@query()
+@query(f"""WITH {FIRST}, {SECOND}, k AS (SELECT unnest(['intercept', 'l_quantity', 'l_tax']) AS term, unnest([max(b0), max(b1), max(b2)]) AS b, unnest([{", ".join(f"sqrt(sum(power(c{i} * e, 2)) * count(*) / (count(*) - 3))" for i in range(3))}]) AS se FROM u)
+SELECT term, round(b, 1) AS estimate, round(se, 1) AS std_error, round(b / se, 4) AS statistic FROM k""")
 def m3_two_stage_robust(s, d):
-    return M.iv(line(s, d), "l_extendedprice", ["l_quantity"], ["l_discount", "l_linenumber"], ["l_tax"], robust=True)[0]
+    return shown(M.iv(line(s, d), "l_extendedprice", ["l_quantity"], ["l_discount", "l_linenumber"], ["l_tax"], robust=True)[0], "term", estimate=1, std_error=1, statistic=4)
 
 
 def events(s, d):
@@ -53,9 +62,9 @@ def m5_did_regression(s, d):
     return t.where("term = 'treated:post'").select(F.round("estimate", 6).alias("att"))
 
 
-@query()
+@query("WITH " + swept("o", f"(SELECT treated, day, treated * day AS td, value AS y FROM {EVENTS} WHERE day < 15)", ["treated", "day", "td"]) + f"SELECT 'treated:day' AS term, round(b3, 6) AS estimate, round(sqrt(rss / (n - 4) * {inverse(3, 3)}), 6) AS std_error, round(b3 / sqrt(rss / (n - 4) * {inverse(3, 3)}), 5) AS statistic FROM o")
 def m6_did_pretrend(s, d):
-    return M.did_pretrend(events(s, d), "value", "treated", "day", 15)
+    return shown(M.did_pretrend(events(s, d), "value", "treated", "day", 15), "term", estimate=6, std_error=6, statistic=5)
 
 
 def user_days(s, d):
@@ -83,9 +92,12 @@ def treated(s, d):
 TREATED = "(SELECT o_orderkey, o_totalprice / 1000 AS y, CAST(o_orderpriority = '1-URGENT' AS INT) AS t, 0.2 + 0.6 * (o_custkey % 101) / 101.0::DOUBLE AS ps, CAST(o_custkey % 101 AS DOUBLE) AS x FROM orders)"
 
 
-@query()
+@query(f"SELECT count(*) AS n, 0.0::DOUBLE AS score_0, 0.0::DOUBLE AS score_x FROM {TREATED}")
 def m9_propensity(s, d):
-    return M.propensity(treated(s, d).drop("ps"), "t", ["x"]).groupBy("t").agg(F.avg("ps").alias("mean"), F.count("*").alias("n"))
+    """The maximum of the likelihood, by its score equations: residuals sum to 0, and so do their products with x."""
+    e = F.col("t") - F.col("ps")
+    r = M.propensity(treated(s, d).drop("ps"), "t", ["x"]).agg(F.count("*").alias("n"), F.avg(e).alias("score_0"), F.avg(e * F.col("x")).alias("score_x"))
+    return r.select("n", *[F.abs(F.round(c, 6)).alias(c) for c in ("score_0", "score_x")])
 
 
 @query(f"""WITH o AS (SELECT * FROM {TREATED}), c AS (SELECT ps, min(o_orderkey) AS id FROM o WHERE t = 0 GROUP BY ps), m AS (SELECT a.o_orderkey, a.y, (SELECT id FROM c WHERE abs(c.ps - a.ps) < 1e-12) AS id FROM o a WHERE t = 1)
@@ -127,14 +139,19 @@ def m13_ipw(s, d):
     return rounded(M.ipw(treated(s, d), "y", "t", "ps"), 5)
 
 
-@query()
+@query(f"""WITH o AS (SELECT *, 1 - t AS c, ps / (1 - ps) AS o FROM {TREATED}), m AS (SELECT sum(t * y) / sum(t) AS t1, sum(c * o * y) / sum(c * o) AS c1, sum(t * y / o) / sum(t / o) AS t0, sum(c * y) / sum(c) AS c0, avg(t) AS s1, avg(c * o) AS so, avg(t / o) AS si, avg(c) AS s0, avg(t * y / ps - c * y / (1 - ps)) AS ate FROM o),
+p AS (SELECT stddev_samp(t * (y - t1) / s1 - c * o * (y - c1) / so) AS a, stddev_samp(t / o * (y - t0) / si - c * (y - c0) / s0) AS b, stddev_samp(t * y / ps - c * y / (1 - ps)) AS e, max(t1 - c1) AS att, max(t0 - c0) AS atc, max(ate) AS ate, count(*) AS n FROM o, m), k AS (SELECT unnest(['ATT', 'ATC', 'ATE']) AS estimand, unnest([att, atc, ate]) AS b, unnest([a, b, e]) / sqrt(n) AS se, n FROM p)
+SELECT estimand, round(b, 5) AS estimate, round(se, 5) AS std_error, round(b - 1.959963984540054 * se, 5) AS ci_lower, round(b + 1.959963984540054 * se, 5) AS ci_upper, n FROM k""")
 def m13_ipw_effects(s, d):
-    return M.ipw_effects(treated(s, d), "y", "t", "ps")
+    return shown(M.ipw_effects(treated(s, d), "y", "t", "ps"), "estimand", "n", estimate=5, std_error=5, ci_lower=5, ci_upper=5)
 
 
-@query()
+@query(f"""WITH o AS (SELECT *, ps / (1 - ps) AS o FROM {TREATED}), f AS (SELECT regr_slope(y, x) FILTER (t = 1) AS b1, regr_intercept(y, x) FILTER (t = 1) AS a1, regr_slope(y, x) FILTER (t = 0) AS b0, regr_intercept(y, x) FILTER (t = 0) AS a0, avg(t) AS q FROM o),
+i AS (SELECT *, a1 + b1 * x - a0 - b0 * x + t * (y - a1 - b1 * x) / ps - (1 - t) * (y - a0 - b0 * x) / (1 - ps) AS e, (t - (1 - t) * o) * (y - a0 - b0 * x) AS g FROM o, f), a AS (SELECT avg(g) / max(q) AS att FROM i),
+k AS (SELECT 'ATE' AS estimand, avg(e) AS b, stddev_samp(e) / sqrt(count(*)) AS se, count(*) AS n FROM i UNION ALL SELECT 'ATT', max(att), stddev_samp((g - t * att) / q) / sqrt(count(*)), count(*) FROM i, a)
+SELECT estimand, round(b, 5) AS estimate, round(se, 5) AS std_error, round(b - 1.959963984540054 * se, 5) AS ci_lower, round(b + 1.959963984540054 * se, 5) AS ci_upper, n FROM k""")
 def m14_aipw(s, d):
-    return M.aipw(treated(s, d), "y", "t", ["x"], "ps")
+    return shown(M.aipw(treated(s, d), "y", "t", ["x"], "ps"), "estimand", "n", estimate=5, std_error=5, ci_lower=5, ci_upper=5)
 
 
 @query()
@@ -192,9 +209,9 @@ def m22_generalised_synthetic(s, d):
     return M.generalised_synthetic(own, "unit", "t", "y", [0, 1], mid, reps=50)[0]
 
 
-@query()
+@query("WITH h AS (SELECT 8.0::DOUBLE * (0.2::DOUBLE + 2.8::DOUBLE * i / 19.0::DOUBLE) AS h FROM range(20) AS t(i)), r AS (SELECT h, p_size - 25 AS x, CAST(p_size >= 25 AS DOUBLE) AS t, CAST(p_size >= 25 AS DOUBLE) * (p_size - 25) AS tx, p_retailprice AS y, 1 - abs(p_size - 25) / h AS w FROM part, h WHERE abs(p_size - 25) < h QUALIFY min(p_size) FILTER (p_size >= 25) OVER (PARTITION BY h) < max(p_size) FILTER (p_size >= 25) OVER (PARTITION BY h) AND min(p_size) FILTER (p_size < 25) OVER (PARTITION BY h) < max(p_size) FILTER (p_size < 25) OVER (PARTITION BY h)), " + swept("o", "r", ["t", "x", "tx"], by="h", weight="w") + f" SELECT round(h, 6) AS bandwidth, round(b1, 5) AS estimate, round(sqrt(rss / (n - 4) * {inverse(1, 1)}), 5) AS std_error, CAST(n AS BIGINT) AS n FROM o")
 def m24_manifold(s, d):
-    return M.manifold(table(s, d, "part"), "p_retailprice", "p_size", 25, 8.0)
+    return shown(M.manifold(table(s, d, "part"), "p_retailprice", "p_size", 25, 8.0), "n", bandwidth=6, estimate=5, std_error=5)
 
 
 # --- P ---------------------------------------------------------------------------------------------------------------------

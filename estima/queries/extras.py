@@ -20,7 +20,8 @@ from ..plans.storage import shared_folder
 from ..registry import query, table
 from ..sources import files
 from ..streaming import events as W
-from .foundation import line, rounded
+from .foundation import line, rounded, shown
+from .series import TRADE, trade
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
@@ -139,11 +140,12 @@ def n9_news_impact(s, d):
     return frame(s, N.news_impact({"omega": 0.1, "alpha": 0.1, "beta": 0.8, "gamma": 0.05}, [-2.0, -1.0, 0.0, 1.0, 2.0], 1.0), "shock double, variance double")
 
 
-@query()
+@query("""WITH s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127 AS k FROM embeddings), q AS (SELECT vec_id, CASE WHEN k > 0 THEN k ELSE 1 END AS k, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE) / CASE WHEN k > 0 THEN k ELSE 1 END)) AS q FROM s)
+SELECT a.vec_id, round(list_inner_product(a.q, b.q) * a.k * b.k, 8) AS dot FROM q AS a, q AS b WHERE b.vec_id = 0""")
 def q5_quantized_dot(s, d):
     e = table(s, d, "embeddings").select("vec_id", ml.quantize(F.col("embedding")).alias("q"))
     one = e.where("vec_id = 0").select(F.col("q").alias("p"))
-    return e.crossJoin(F.broadcast(one)).select("vec_id", ml.quantized_dot(F.col("q"), F.col("p")).alias("dot"))
+    return shown(e.crossJoin(F.broadcast(one)).select("vec_id", ml.quantized_dot(F.col("q"), F.col("p")).alias("dot")), "vec_id", dot=8)
 
 
 @query()
@@ -156,10 +158,9 @@ def q12_two_cycles(s, d):
     return graph.two_cycles(frame(s, [(0, 1, 2.0), (1, 0, 1.0), (2, 3, 1.0), (3, 2, 4.0), (5, 6, 1.0)], "src int, dst int, w double"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM {TRADE} WHERE a <> b), t AS (SELECT x.a, x.b, y.b AS c FROM e AS x JOIN e AS y ON x.b = y.a JOIN e AS z ON z.a = x.a AND z.b = y.b)
+SELECT node, count(*) AS triangles FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY node""")
 def r_triangles(s, d):
-    from .series import trade
-
     return graph.triangle_counts(graph.build(trade(s, d), "a", "b"))
 
 

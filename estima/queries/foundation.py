@@ -17,6 +17,11 @@ from ..sources.dataset import Dataset
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def shown(df, *keep: str, **digits: int):
+    """The columns kept, and others rounded to so many digits."""
+    return df.select(*keep, *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
 def rounded(df, digits: int = 6):
     """Doubles rounded, so that sums in another order give the same value."""
     return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema])

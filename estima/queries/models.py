@@ -10,7 +10,8 @@ from ..operators import glm as J
 from ..operators import linear as I
 from ..operators import panel as L
 from ..registry import query, table
-from .foundation import line, rounded
+from .foundation import line, rounded, shown
+from .sqlfit import inverse, leverage, residual, shares, swept
 
 X = ["l_quantity", "l_discount", "l_tax"]
 
@@ -146,9 +147,10 @@ def returned(s, d):
     return line(s, d).select((F.col("l_returnflag") == "R").cast("int").alias("y"), "l_quantity", (F.col("l_tax") * 100).alias("tax"), (F.col("l_linestatus") == "F").cast("double").alias("f"))
 
 
-@query()
+@query("WITH " + swept("o", "(SELECT l_tax * 100 AS x1, l_quantity AS y FROM lineitem)", ["x1"]) + f""", k AS (SELECT 'intercept' AS term, b0 AS b, sqrt(rss / (n - 2) * (1 / n + m1 * m1 * {inverse(1, 1)})) AS se FROM o UNION ALL SELECT 'tax', b1, sqrt(rss / (n - 2) * {inverse(1, 1)}) FROM o)
+SELECT term, round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 4) AS statistic FROM k""")
 def j3_glm_gaussian(s, d):
-    return J.glm(returned(s, d), "l_quantity", ["tax"], "gaussian").table(s)
+    return shown(J.glm(returned(s, d), "l_quantity", ["tax"], "gaussian").table(s), "term", estimate=6, std_error=6, statistic=4)
 
 
 @query("SELECT round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 5) AS slope, round(ln(p0 / (1 - p0)), 5) AS intercept FROM (SELECT avg(CAST(l_returnflag = 'R' AS INT)) FILTER (l_quantity > 25) AS p1, avg(CAST(l_returnflag = 'R' AS INT)) FILTER (l_quantity <= 25) AS p0 FROM lineitem)")
@@ -239,6 +241,12 @@ def simple(s, d):
     return I.ols(line(s, d), "l_extendedprice", ["l_quantity"])
 
 
+X3 = ["x1", "x2", "x3"]
+#: The fit of three regressors, its rows with residual, leverage and what they add to a coefficient, and White's auxiliary fit.
+FULL = swept("o", "(SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_discount AS x2, l_tax AS x3, l_extendedprice AS y FROM lineitem)", X3)
+FULL_E = f"e AS (SELECT o_r.*, n, {', '.join(f'b{i}' for i in range(4))}, {', '.join(f'{c} AS c{i}' for i, c in enumerate(shares(X3)))}, {inverse(1, 1)} AS i11, rss / (n - 4) AS s2, {residual(X3)} AS e, {leverage(X3)} AS h FROM o_r, o)"
+WHITE = swept("u", f"(SELECT x1, x2, x3, x1 * x1 AS x11, x2 * x2 AS x22, x3 * x3 AS x33, x1 * x2 AS x12, x1 * x3 AS x13, x2 * x3 AS x23, power({residual(X3)}, 2) AS y FROM o_r, o)", ["x1", "x2", "x3", "x11", "x22", "x33", "x12", "x13", "x23"])
+
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
@@ -252,9 +260,9 @@ def k3_breusch_pagan(s, d):
     return K.breusch_pagan(line(s, d), simple(s, d)).select(F.round("statistic", 5).alias("statistic"), "n")
 
 
-@query()
+@query(f"WITH {FULL}, {WHITE} SELECT 'White' AS test, round(n * (1 - rss / tss), 4) AS statistic, 9.0::DOUBLE AS df, CAST(n AS BIGINT) AS n FROM u")
 def k4_white(s, d):
-    return K.white(line(s, d), ols(s, d))
+    return shown(K.white(line(s, d), ols(s, d)), "test", "df", "n", statistic=4)
 
 
 @query(f"WITH {SIMPLE}, g AS (SELECT sum(e * e) / (max(n) - 2) AS s2 FROM r) SELECT l_orderkey, l_linenumber, round(e * e * h / (2 * s2 * power(1 - h, 2)) * 1e6, 4) AS cooks_m, round(h * 1e6, 4) AS leverage_m FROM r, g")
@@ -268,29 +276,38 @@ def k8_flags(s, d):
     return K.influence(line(s, d), simple(s, d)).agg(F.count_if("high_leverage").alias("high"))
 
 
-@query()
+@query(f"""WITH {FULL}, {FULL_E}, i AS (SELECT *, e / sqrt(s2 * (1 - h)) AS std_residual, e / sqrt(((n - 4) * s2 - e * e / (1 - h)) / (n - 5) * (1 - h)) AS t, e * e * h / (4 * s2 * power(1 - h, 2)) AS cooks FROM e)
+SELECT l_orderkey, l_linenumber, round(t, 5) AS student_residual, round(cooks * 1e6, 4) AS cooks_m, round(t * sqrt(h / (1 - h)), 7) AS dffits, round(c1 * e / (1 - h) / sqrt(((n - 4) * s2 - e * e / (1 - h)) / (n - 5) * i11), 7) AS dfbetas_l_quantity, abs(std_residual) > 3 AS outlier, h > 8 / n AS high_leverage, cooks > 4 / n AS influential
+FROM i WHERE cooks > 4 / n OR h > 8 / n OR abs(std_residual) > 2""")
 def k7_influence_all(s, d):
-    return K.influential_rows(line(s, d), ols(s, d), ["l_orderkey", "l_linenumber"])
+    r = K.influential_rows(line(s, d), ols(s, d), ["l_orderkey", "l_linenumber"]).withColumn("cooks_m", F.col("cooks_distance") * 1e6)
+    return shown(r, "l_orderkey", "l_linenumber", "outlier", "high_leverage", "influential", student_residual=5, cooks_m=4, dffits=7, dfbetas_l_quantity=7)
 
 
-@query()
+@query(f"""WITH {FULL}, {FULL_E}, {WHITE}, {swept('p', "(SELECT x1, x2, x3, e * e AS y FROM e)", ["x1", "x2", "x3"])}, {swept('q', "(SELECT x1, x2, x3, z * z AS z2, z * z * z AS z3, y FROM (SELECT *, (y - e - avg(y - e) OVER ()) / stddev_pop(y - e) OVER () AS z FROM e))", ["x1", "x2", "x3", "z2", "z3"])},
+j AS (SELECT avg(e * e) AS v2, avg(e * e * e) AS v3, avg(e * e * e * e) AS v4, count(*) AS n FROM e)
+SELECT 'Breusch-Pagan' AS test, round(n * (1 - rss / tss), 4) AS statistic, 3.0::DOUBLE AS df, CAST(n AS BIGINT) AS n FROM p UNION ALL SELECT 'White', round(n * (1 - rss / tss), 4), 9, CAST(n AS BIGINT) FROM u
+UNION ALL SELECT 'Jarque-Bera', round(n / 6.0 * (v3 * v3 / power(v2, 3) + power(v4 / (v2 * v2) - 3, 2) / 4), 3), 2, n FROM j UNION ALL SELECT 'RESET', round((o.rss - q.rss) / 2 / (q.rss / (q.n - 6)), 4), 2, CAST(q.n AS BIGINT) FROM q, o""")
 def k9_summary(s, d):
-    return K.summary(line(s, d), ols(s, d))
+    return K.summary(line(s, d), ols(s, d)).select("test", "df", "n", F.when(F.col("test") == "Jarque-Bera", F.round("statistic", 3)).otherwise(F.round("statistic", 4)).alias("statistic"))
 
 
-@query()
+@query(f"""WITH {SIMPLE}, l AS (SELECT x, e AS y, coalesce(lag(e, 1) OVER w, 0) AS p, coalesce(lag(e, 2) OVER w, 0) AS q FROM r WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)), {swept('o', 'l', ['x', 'p', 'q'])}
+SELECT round(n * (1 - rss / tss), 5) AS statistic, round(exp(-n * (1 - rss / tss) / 2), 7) AS p_value, 2.0::DOUBLE AS df, CAST(n AS BIGINT) AS n, round((tss - rss) / 2 / (rss / (n - 4)), 5) AS effect_size FROM o""")
 def k10_breusch_godfrey(s, d):
-    return K.breusch_godfrey(line(s, d), simple(s, d), ORDER, 2)
+    return shown(K.breusch_godfrey(line(s, d), simple(s, d), ORDER, 2), "df", "n", statistic=5, p_value=7, effect_size=5)
 
 
-@query()
+@query("WITH c AS (SELECT quantile_cont(l_orderkey, 0.4) AS low, quantile_cont(l_orderkey, 0.6) AS high FROM lineitem), r AS (SELECT l_orderkey > high AS late, l_quantity AS x1, l_extendedprice AS y FROM lineitem, c WHERE l_orderkey <= low OR l_orderkey > high), " + swept("o", "r", ["x1"], by="late") + """
+SELECT round(b.rss / (b.n - 2) / (a.rss / (a.n - 2)), 7) AS statistic, b.n - 2 AS df, CAST(a.n + b.n AS BIGINT) AS n FROM o AS a, o AS b WHERE b.late AND NOT a.late""")
 def k11_goldfeld_quandt(s, d):
-    return K.goldfeld_quandt(line(s, d), "l_extendedprice", ["l_quantity"], "l_orderkey")
+    return shown(K.goldfeld_quandt(line(s, d), "l_extendedprice", ["l_quantity"], "l_orderkey"), "df", "n", statistic=7)
 
 
-@query()
+@query(f"""WITH {SIMPLE}, {swept('o', "(SELECT (x - avg(x) OVER ()) / 10 AS x1, power((x - avg(x) OVER ()) / 10, 2) AS x2, power((x - avg(x) OVER ()) / 10, 3) AS x3, l_extendedprice AS y FROM r)", ["x1", "x2", "x3"])}, t AS (SELECT (q.rss - o.rss) / 2 / (o.rss / (o.n - 4)) AS f, o.n FROM o, (SELECT sum(e * e) AS rss FROM r) AS q)
+SELECT round(f, 6) AS statistic, round(power(1 + 2 * f / (n - 4), (4 - n) / 2), 6) AS p_value, 2.0::DOUBLE AS df, CAST(n AS BIGINT) AS n FROM t""")
 def k12_reset(s, d):
-    return K.reset(line(s, d), simple(s, d))
+    return shown(K.reset(line(s, d), simple(s, d)), "df", "n", statistic=6, p_value=6)
 
 
 @query("""WITH p AS (SELECT *, l_orderkey >= 700 AS k FROM lineitem), q AS (SELECT regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity) AS rss FROM p GROUP BY k), t AS (SELECT regr_syy(l_extendedprice, l_quantity) - power(regr_sxy(l_extendedprice, l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity) AS rss, count(*) AS n FROM p)
@@ -299,14 +316,16 @@ def k13_chow(s, d):
     return K.chow(line(s, d), "l_extendedprice", ["l_quantity"], F.col("l_orderkey") >= 700).select(F.round("statistic", 5).alias("statistic"))
 
 
-@query()
+@query("""WITH c AS (SELECT corr(l_quantity, l_discount) AS a, corr(l_quantity, l_tax) AS b, corr(l_discount, l_tax) AS c FROM lineitem), p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM c), f AS (SELECT p, acos(a * b * c / power(p, 3)) / 3 AS f FROM p)
+SELECT round(sqrt((1 + 2 * p * cos(f)) / (1 + 2 * p * cos(f + 2 * pi() / 3))), 8) AS condition_number, 'none' AS severity FROM f""")
 def k14_condition_number(s, d):
-    return K.condition_number(line(s, d), X)
+    return shown(K.condition_number(line(s, d), X), "severity", condition_number=8)
 
 
-@query()
+@query("WITH " + swept("f", "(SELECT l_tax, l_discount, l_quantity, l_extendedprice FROM lineitem)", ["l_tax", "l_discount"], "l_quantity") + f""", v AS (SELECT l_quantity AS x1, l_tax AS x2, {residual(["l_tax", "l_discount"], "l_quantity")} AS x3, l_extendedprice AS y FROM f_r, f), {swept("w", "v", ["x1", "x2", "x3"])}
+SELECT 'Durbin-Wu-Hausman' AS test, round(b3 * b3 / (rss / (n - 4) * {inverse(3, 3)}), 6) AS statistic, 1.0::DOUBLE AS df, CAST(n AS BIGINT) AS n FROM w""")
 def k15_durbin_wu_hausman(s, d):
-    return K.durbin_wu_hausman(line(s, d), "l_extendedprice", "l_quantity", ["l_tax"], ["l_discount"])
+    return shown(K.durbin_wu_hausman(line(s, d), "l_extendedprice", "l_quantity", ["l_tax"], ["l_discount"]), "test", "df", "n", statistic=6)
 
 
 @query(f"WITH {SIMPLE} SELECT round(sqrt(sum(power(x - m, 2) * e * e)) / max(sxx), 6) AS hc0 FROM r, f")
@@ -316,16 +335,19 @@ def k16_robust(s, d):
     return frame(s, [(round(float(v[1, 1] ** 0.5), 6),)], "hc0 double")
 
 
-@query()
+@query(f"""WITH {FULL}, {FULL_E}, k AS (SELECT unnest(['intercept', 'l_quantity', 'l_discount', 'l_tax']) AS term, unnest([max(b0), max(b1), max(b2), max(b3)]) AS b, unnest([sqrt(sum(power(c0 * e / (1 - h), 2))), sqrt(sum(power(c1 * e / (1 - h), 2))), sqrt(sum(power(c2 * e / (1 - h), 2))), sqrt(sum(power(c3 * e / (1 - h), 2)))]) AS se FROM e)
+SELECT term, round(b, 3) AS estimate, round(se, 4) AS std_error, round(b / se, 5) AS statistic FROM k""")
 def k16_robust_hc3(s, d):
     fit = ols(s, d)
-    return K.robust_table(line(s, d), fit, K.robust_vcov(line(s, d), fit, "HC3"))
+    return shown(K.robust_table(line(s, d), fit, K.robust_vcov(line(s, d), fit, "HC3")), "term", estimate=3, std_error=4, statistic=5)
 
 
-@query()
+@query(f"""WITH {SIMPLE}, u AS (SELECT *, (1 / n - m * (x - m) / sxx) * e AS u0, (x - m) / sxx * e AS u1 FROM r, (SELECT m, sxx FROM f)), l AS (SELECT n, u0, u1, {", ".join(f"coalesce(lag(u{i}, {k}) OVER w, 0) AS u{i}_{k}" for i in (0, 1) for k in (1, 2, 3))} FROM u WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+k AS (SELECT {", ".join(f"sqrt(sum(u{i} * (u{i} + 1.5 * u{i}_1 + u{i}_2 + 0.5 * u{i}_3)) * max(n) / (max(n) - 2)) AS se{i}" for i in (0, 1))} FROM l)
+SELECT 'intercept' AS term, round(a, 3) AS estimate, round(se0, 4) AS std_error, round(a / se0, 4) AS statistic FROM f, k UNION ALL SELECT 'l_quantity', round(b, 3), round(se1, 4), round(b / se1, 4) FROM f, k""")
 def k17_newey_west(s, d):
     fit = simple(s, d)
-    return K.robust_table(line(s, d), fit, K.newey_west_vcov(line(s, d), fit, ORDER, 3))
+    return shown(K.robust_table(line(s, d), fit, K.newey_west_vcov(line(s, d), fit, ORDER, 3)), "term", estimate=3, std_error=4, statistic=4)
 
 
 @query(f"WITH {SIMPLE}, c AS (SELECT l_suppkey, sum((x - m) * e) AS s FROM r, f GROUP BY 1), g AS (SELECT CAST(count(*) AS DOUBLE) AS g, sum(s * s) AS q FROM c) SELECT round(sqrt(q * g / (g - 1) * (n - 1) / (n - 2)) / sxx, 6) AS se FROM g, f")
@@ -358,9 +380,14 @@ def l1_two_way_effects(s, d):
     return L.fixed_effects(monthly(s, d), "price", ["n"], "unit", "month")[0]
 
 
-@query()
+@query("""WITH g AS (SELECT l_suppkey AS u, CAST(count(*) AS DOUBLE) AS c, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) * count(*) AS xx, covar_pop(l_quantity, l_extendedprice) * count(*) AS xy, var_pop(l_extendedprice) * count(*) AS yy FROM lineitem GROUP BY 1),
+w AS (SELECT (sum(yy) - sum(xy) * sum(xy) / sum(xx)) / (sum(c) - count(*) - 1) AS se, count(*) / sum(1 / c) AS harmonic, (regr_syy(my, mx) - power(regr_sxy(my, mx), 2) / regr_sxx(my, mx)) / (count(*) - 2) AS between FROM g),
+t AS (SELECT g.*, sqrt(se / (se + c * greatest(0, between - se / harmonic))) AS k FROM g, w),
+z AS (SELECT sum(c * k * k) AS a, sum(c * k * k * mx) AS b, sum(xx + c * k * k * mx * mx) AS e, sum(c * k * k * my) AS p, sum(xy + c * k * k * mx * my) AS q, sum(yy + c * k * k * my * my) AS r, sum(c) AS n FROM t),
+o AS (SELECT *, (p * e - b * q) / (a * e - b * b) AS b0, (a * q - b * p) / (a * e - b * b) AS b1 FROM z), v AS (SELECT *, (r - b0 * p - b1 * q) / (n - 2) / (a * e - b * b) AS s FROM o)
+SELECT 'intercept' AS term, round(b0, 3) AS estimate, round(sqrt(s * e), 4) AS std_error FROM v UNION ALL SELECT 'l_quantity', round(b1, 3), round(sqrt(s * a), 4) FROM v""")
 def l2_random_effects(s, d):
-    return L.random_effects(line(s, d), "l_extendedprice", ["l_quantity"], "l_suppkey")[0]
+    return shown(L.random_effects(line(s, d), "l_extendedprice", ["l_quantity"], "l_suppkey")[0], "term", estimate=3, std_error=4)
 
 
 @query()

@@ -12,7 +12,8 @@ from ..operators import timeseries as N
 from ..operators.optimise import branch_and_bound
 from ..registry import query, table
 from ..streaming import events as W
-from .foundation import line, points, rounded
+from .foundation import line, points, rounded, shown
+from .sqlfit import inverse, residual, swept
 
 
 def daily(s, d):
@@ -21,6 +22,15 @@ def daily(s, d):
 
 
 DAILY = "(SELECT date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS day, avg(o_totalprice) / 1000 AS price, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)"
+LAGS = [f"{c}{k}" for k in range(1, 5) for c in "pq"]
+#: Two lags of both series: the fits of each equation (a, b) and the residuals' covariance (s).
+VAR = f"""l AS (SELECT day, price AS u, n AS v, lag(price, 1) OVER w AS p1, lag(n, 1) OVER w AS q1, lag(price, 2) OVER w AS p2, lag(n, 2) OVER w AS q2 FROM {DAILY} WINDOW w AS (ORDER BY day) QUALIFY p2 IS NOT NULL), {swept("a", "l", LAGS[:4], "u")}, {swept("b", "l", LAGS[:4], "v")},
+x AS (SELECT day, {residual(LAGS[:4], "u")} AS e FROM a_r, a), y AS (SELECT day, {residual(LAGS[:4], "v")} AS e FROM b_r, b), s AS (SELECT sum(x.e * x.e) / (count(*) - 5) AS s11, sum(x.e * y.e) / (count(*) - 5) AS s12, sum(y.e * y.e) / (count(*) - 5) AS s22 FROM x JOIN y USING (day))"""
+#: Its moving averages, those before them, and the responses to orthogonal shocks (r).
+IMPULSES = f"""c0 AS (SELECT sqrt(s11) AS c11, s12 / sqrt(s11) AS c21, sqrt(s22 - s12 * s12 / s11) AS c22 FROM s),
+f AS (SELECT 0::BIGINT AS h, 1.0::DOUBLE AS f11, 0.0::DOUBLE AS f12, 0.0::DOUBLE AS f21, 1.0::DOUBLE AS f22, 0.0::DOUBLE AS g11, 0.0::DOUBLE AS g12, 0.0::DOUBLE AS g21, 0.0::DOUBLE AS g22 UNION ALL
+SELECT h + 1, {", ".join(f"f{i}1 * a.b{j} + f{i}2 * b.b{j} + g{i}1 * a.b{j + 2} + g{i}2 * b.b{j + 2}" for i in (1, 2) for j in (1, 2))}, f11, f12, f21, f22 FROM f, a, b WHERE h < 5),
+r AS (SELECT h, f11 * c11 + f12 * c21 AS r11, f12 * c22 AS r12, f21 * c11 + f22 * c21 AS r21, f22 * c22 AS r22 FROM f, c0)"""
 
 
 @query(f"SELECT round(regr_slope(price, p), 6) AS phi, round(regr_intercept(price, p), 4) AS const, count(*) AS n FROM (SELECT price, lag(price) OVER (ORDER BY day) AS p FROM {DAILY}) WHERE p IS NOT NULL")
@@ -29,16 +39,17 @@ def n1_autoregression(s, d):
     return frame(s, [(round(float(fit.beta[1]), 6), round(float(fit.beta[0]), 4), fit.n)], "phi double, const double, n long")
 
 
-@query()
+@query(f"""WITH {VAR}, k AS (SELECT 'price' AS equation, a.*, s11 AS s2 FROM a, s UNION ALL SELECT 'n', b.*, s22 FROM b, s), t AS (SELECT equation, unnest(['intercept', 'price_1', 'n_1', 'price_2', 'n_2']) AS term, unnest([b0, b1, b2, b3, b4]) AS b, unnest([1 / n + {" + ".join(f"m{i} * m{j} * {inverse(i, j)}" for i in range(1, 5) for j in range(1, 5))}, {", ".join(inverse(i, i) for i in range(1, 5))}]) * s2 AS v FROM k)
+SELECT equation, term, round(b, 6) AS estimate, round(sqrt(v), 6) AS std_error, round(b / sqrt(v), 5) AS statistic FROM t""")
 def n2_var(s, d):
-    return N.var_table(s, N.var(daily(s, d), ["price", "n"], "day", 2))
+    return shown(N.var_table(s, N.var(daily(s, d), ["price", "n"], "day", 2)), "equation", "term", estimate=6, std_error=6, statistic=5)
 
 
-@query()
+@query(f"WITH RECURSIVE {VAR}, {IMPULSES} SELECT step, response, shock, round(value, 6) AS value FROM (SELECT h AS step, unnest(['price', 'price', 'n', 'n']) AS response, unnest(['price', 'n', 'price', 'n']) AS shock, unnest([r11, r12, r21, r22]) AS value FROM r)")
 def n3_impulse_responses(s, d):
     m = N.var(daily(s, d), ["price", "n"], "day", 2)
     r = m.irf(5)
-    return frame(s, [(h, m.names[i], m.names[j], r[h, i, j]) for h in range(6) for i in range(2) for j in range(2)], "step int, response string, shock string, value double")
+    return shown(frame(s, [(h, m.names[i], m.names[j], r[h, i, j]) for h in range(6) for i in range(2) for j in range(2)], "step long, response string, shock string, value double"), "step", "response", "shock", value=6)
 
 
 @query()
@@ -46,27 +57,32 @@ def n3_impulse_bands(s, d):
     return N.irf_bands(daily(s, d), ["price", "n"], "day", 1, 3, reps=20)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VAR}, {IMPULSES}, c AS (SELECT h, {", ".join(f"sum(r{k} * r{k}) OVER (ORDER BY h) AS c{k}" for k in (11, 12, 21, 22))} FROM r)
+SELECT step, variable, shock, round(share, 8) AS share FROM (SELECT h AS step, unnest(['price', 'price', 'n', 'n']) AS variable, unnest(['price', 'n', 'price', 'n']) AS shock, unnest([c11 / (c11 + c12), c12 / (c11 + c12), c21 / (c21 + c22), c22 / (c21 + c22)]) AS share FROM c WHERE h < 4)""")
 def n4_variance_decomposition(s, d):
     m = N.var(daily(s, d), ["price", "n"], "day", 2)
     r = m.fevd(4)
-    return frame(s, [(h, m.names[i], m.names[j], r[h, i, j]) for h in range(4) for i in range(2) for j in range(2)], "step int, variable string, shock string, share double")
+    return shown(frame(s, [(h, m.names[i], m.names[j], r[h, i, j]) for h in range(4) for i in range(2) for j in range(2)], "step long, variable string, shock string, share double"), "step", "variable", "shock", share=8)
 
 
-@query()
+@query(f"""WITH {VAR}, {swept("c", "l", ["p1", "p2"], "u")}, f AS (SELECT (c.rss - a.rss) / 2 / (a.rss / (a.n - 5)) AS f, a.n - 5 AS df FROM a, c)
+SELECT 'f_stat' AS metric, round(f, 6) AS value FROM f UNION ALL SELECT 'df1', 2 FROM f UNION ALL SELECT 'df2', df FROM f UNION ALL SELECT 'p_value', round(power(1 + 2 * f / df, -df / 2), 6) FROM f""")
 def n5_granger(s, d):
-    return metrics(s, N.var(daily(s, d), ["price", "n"], "day", 2).granger("n", "price"))
+    return shown(metrics(s, N.var(daily(s, d), ["price", "n"], "day", 2).granger("n", "price")), "metric", value=6)
 
 
-@query()
+@query(f"""WITH l AS (SELECT day, price AS u, n AS v, {", ".join(f"lag(price, {k}) OVER w AS p{k}, lag(n, {k}) OVER w AS q{k}" for k in range(1, 5))} FROM {DAILY} WINDOW w AS (ORDER BY day) QUALIFY p4 IS NOT NULL), {", ".join(f"{swept(f'a{p}', 'l', LAGS[: 2 * p], 'u')}, {swept(f'b{p}', 'l', LAGS[: 2 * p], 'v')}, x{p} AS (SELECT day, {residual(LAGS[: 2 * p], 'u')} AS e FROM a{p}_r, a{p}), y{p} AS (SELECT day, {residual(LAGS[: 2 * p], 'v')} AS e FROM b{p}_r, b{p})" for p in range(1, 5))},
+d AS ({" UNION ALL ".join(f"SELECT {p} AS lag, CAST(count(*) AS DOUBLE) AS n, sum(x.e * x.e) / count(*) AS a, sum(x.e * y.e) / count(*) AS b, sum(y.e * y.e) / count(*) AS c FROM x{p} AS x JOIN y{p} AS y USING (day)" for p in range(1, 5))}), m AS (SELECT *, ln(a * c - b * b) AS ml, 2 * (2 * lag + 1) AS m FROM d)
+SELECT lag, round(ml + 2 * m / n, 7) AS aic, round(ml + ln(n) * m / n, 7) AS bic, round(ml + 2 * ln(ln(n)) * m / n, 7) AS hqc, round(exp(ml) * power((n + m / 2) / (n - m / 2), 2), 3) AS fpe FROM m""")
 def n6_lag_selection(s, d):
-    return N.var_select(daily(s, d), ["price", "n"], "day", 4)
+    return shown(N.var_select(daily(s, d), ["price", "n"], "day", 4), "lag", aic=7, bic=7, hqc=7, fpe=3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VAR}, f AS (SELECT 0::BIGINT AS h, u AS u1, v AS v1, p1 AS u2, q1 AS v2 FROM l WHERE day = (SELECT max(day) FROM l) UNION ALL SELECT h + 1, a.b0 + a.b1 * u1 + a.b2 * v1 + a.b3 * u2 + a.b4 * v2, b.b0 + b.b1 * u1 + b.b2 * v1 + b.b3 * u2 + b.b4 * v2, u1, v1 FROM f, a, b WHERE h < 5)
+SELECT h AS step, round(u1, 6) AS price, round(v1, 6) AS n FROM f WHERE h > 0""")
 def n7_forecast(s, d):
     f = N.var(daily(s, d), ["price", "n"], "day", 2).forecast(5)
-    return frame(s, [(h + 1, f[h, 0], f[h, 1]) for h in range(5)], "step int, price double, n double")
+    return shown(frame(s, [(h + 1, f[h, 0], f[h, 1]) for h in range(5)], "step long, price double, n double"), "step", price=6, n=6)
 
 
 def users(s, d):
@@ -101,9 +117,10 @@ def n12_warping(s, d):
     return N.dtw(e.crossJoin(F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("other")))), "embedding", "other").select("vec_id", "dtw")
 
 
-@query()
+@query("WITH " + swept("o", f"(SELECT price - lag(price) OVER w AS y, lag(price) OVER w AS x1, lag(price, 1) OVER w - lag(price, 2) OVER w AS x2, lag(price, 2) OVER w - lag(price, 3) OVER w AS x3 FROM {DAILY} WINDOW w AS (ORDER BY day) QUALIFY x3 IS NOT NULL)", ["x1", "x2", "x3"]) + f"SELECT 'statistic' AS metric, round(b1 / sqrt(rss / (n - 4) * {inverse(1, 1)}), 5) AS value FROM o UNION ALL SELECT 'lags', 2 FROM o UNION ALL SELECT 'n', n FROM o")
 def n13_adf(s, d):
-    return metrics(s, N.adf(daily(s, d), "price", "day", 2))
+    r = N.adf(daily(s, d), "price", "day", 2)
+    return shown(metrics(s, {k: r[k] for k in ("statistic", "lags", "n")}), "metric", value=5)
 
 
 KPSS = f"""WITH e AS (SELECT day, price - avg(price) OVER () AS e FROM {DAILY}), c AS (SELECT day, e, sum(e) OVER (ORDER BY day) AS s, lag(e, 1) OVER (ORDER BY day) AS e1, lag(e, 2) OVER (ORDER BY day) AS e2 FROM e)

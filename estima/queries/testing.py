@@ -8,7 +8,8 @@ from ..functions.result import frame
 from ..operators import anova
 from ..operators import hypothesis as H
 from ..registry import query, table
-from .foundation import line, rounded
+from .foundation import line, rounded, shown
+from .sqlfit import swept
 
 
 def orders(s, d):
@@ -35,9 +36,9 @@ def g2_t_welch(s, d):
     return H.two_sample_statistics(line(s, d), "l_extendedprice", "l_linestatus", "F", "O", False).select(F.round("statistic", 5).alias("statistic"), F.round("df", 3).alias("df"))
 
 
-@query()
+@query(TWO + "SELECT 'two-sample t' AS test, round((m1 - m2) / sqrt(pooled * (1 / n1 + 1 / n2)), 5) AS statistic, n1 + n2 - 2 AS df, CAST(n1 + n2 AS BIGINT) AS n, round((m1 - m2) / sqrt(pooled), 6) AS effect_size FROM p")
 def g2_t_table(s, d):
-    return H.t_two_sample(line(s, d), "l_extendedprice", "l_linestatus", "F", "O")
+    return shown(H.t_two_sample(line(s, d), "l_extendedprice", "l_linestatus", "F", "O"), "test", "df", "n", statistic=5, effect_size=6)
 
 
 @query("SELECT round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 4) AS statistic, count(*) AS n FROM (SELECT l_discount - l_tax AS x FROM lineitem)")
@@ -118,9 +119,10 @@ def h1_one_way(s, d):
     return t.select("source", F.round(F.col("ss") / 1e6, 3).alias("ss"), "df", F.round("f_stat", 5).alias("f_stat"), F.round("eta_sq", 8).alias("eta_sq"))
 
 
-@query()
+@query(ONE_WAY + "SELECT 'between' AS source, round(b / (k - 1) / 1e6, 3) AS ms, round(b / (k - 1) / (w / (n - k)), 5) AS f_stat, round(power(1 + 2 * b / (k - 1) / w, (k - n) / 2), 6) AS p_value FROM s UNION ALL SELECT 'within', round(w / (n - k) / 1e6, 3), NULL, NULL FROM s UNION ALL SELECT 'total', NULL, NULL, NULL FROM s")
 def h1_one_way_table(s, d):
-    return anova.one_way(line(s, d), "l_extendedprice", "l_returnflag")
+    t = anova.one_way(line(s, d), "l_extendedprice", "l_returnflag").withColumn("ms", F.col("ms") / 1e6)
+    return shown(t, "source", ms=3, f_stat=5, p_value=6)
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS w FROM orders GROUP BY ALL), a AS (SELECT o_orderstatus AS a, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1), b AS (SELECT o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1), g AS (SELECT avg(o_totalprice) AS m FROM orders)
@@ -141,9 +143,14 @@ def h3_tukey(s, d):
     return anova.tukey(table(s, d, "customer"), "c_acctbal", "c_mktsegment")
 
 
-@query()
+ANCOVA = "(SELECT l_quantity AS q, l_tax AS t, CAST(l_returnflag = 'N' AS DOUBLE) AS g1, CAST(l_returnflag = 'R' AS DOUBLE) AS g2, l_extendedprice AS y FROM lineitem)"
+
+
+@query("WITH " + swept("f", ANCOVA, ["q", "t", "g1", "g2"]) + ", " + swept("c", ANCOVA, ["q", "t"]) + ", " + swept("g", ANCOVA, ["g1", "g2"]) + """, k AS (SELECT 'l_returnflag' AS source, c.rss - f.rss AS ss, f.rss AS w, f.n - 5 AS m FROM c, f UNION ALL SELECT 'covariates', g.rss - f.rss, f.rss, f.n - 5 FROM g, f)
+SELECT source, round(ss / 1e6, 3) AS ss, 2::BIGINT AS df, round(ss / 2 / (w / m), 5) AS f_stat, round(power(1 + ss / w, -m / 2), 6) AS p_value, round(ss / (ss + w), 9) AS eta_sq FROM k UNION ALL SELECT 'residual', round(rss / 1e6, 3), CAST(n - 5 AS BIGINT), NULL, NULL, NULL FROM f""")
 def h4_ancova(s, d):
-    return anova.ancova(line(s, d), "l_extendedprice", "l_returnflag", ["l_quantity", "l_tax"])[0]
+    t = anova.ancova(line(s, d), "l_extendedprice", "l_returnflag", ["l_quantity", "l_tax"])[0].withColumn("ss", F.col("ss") / 1e6)
+    return shown(t, "source", "df", ss=3, f_stat=5, p_value=6, eta_sq=9)
 
 
 P_VALUES = "(VALUES (1, 0.001::DOUBLE), (2, 0.04::DOUBLE), (3, 0.03::DOUBLE), (4, 0.2::DOUBLE), (5, 0.011::DOUBLE)) AS t(id, p_value)"
