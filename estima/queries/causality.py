@@ -9,7 +9,7 @@ from ..operators import causal as M
 from ..operators import governance as V
 from ..operators import linear, mediation, panel
 from ..registry import query, table
-from .foundation import line, rounded, shown
+from .foundation import BALANCES, line, rounded, shown
 from .sqlfit import inverse, residual, shares, swept
 
 #: Two-stage least squares: the first stage (x1, x2 instruments, x3 exogenous), the second on its fitted values z, and the rows
@@ -112,14 +112,16 @@ def m10_psm(s, d):
     return M.psm(treated(s, d), "o_orderkey", "y", "t", ["x"])
 
 
-@query()
+@query(f"""WITH o AS (SELECT *, s / 100 + 2 * t + id % 7 AS y FROM {BALANCES}), p AS (SELECT a.id, a.y, b.y AS cy, 1.0::DOUBLE AS w FROM o AS a JOIN o AS b ON a.t = 1 AND b.t = 0 AND abs(a.s - b.s) <= 50), k AS (SELECT max(y) - sum(w * cy) / sum(w) AS d FROM p GROUP BY id HAVING sum(w) > 0)
+SELECT 'ATT' AS estimand, round(avg(d), 7) AS estimate, round(stddev_samp(d) / sqrt(count(*)), 7) AS std_error, count(*) AS n FROM k""")
 def m11_radius_matching(s, d):
-    return M.psm_weighted(balances_outcome(s, d), "id", "y", "t", "s", "radius", 50.0)
+    return shown(M.psm_weighted(balances_outcome(s, d), "id", "y", "t", "s", "radius", 50.0), "estimand", "n", estimate=7, std_error=7)
 
 
-@query()
+@query(f"""WITH o AS (SELECT *, s / 100 + 2 * t + id % 7 AS y FROM {BALANCES}), p AS (SELECT a.id, a.y, b.y AS cy, 0.75::DOUBLE * (1 - power((a.s - b.s) / 50, 2)) AS w FROM o AS a JOIN o AS b ON a.t = 1 AND b.t = 0 AND abs(a.s - b.s) <= 50), k AS (SELECT max(y) - sum(w * cy) / sum(w) AS d FROM p GROUP BY id HAVING sum(w) > 0)
+SELECT 'ATT' AS estimand, round(avg(d), 7) AS estimate, round(stddev_samp(d) / sqrt(count(*)), 7) AS std_error, count(*) AS n FROM k""")
 def m11_kernel_matching(s, d):
-    return M.psm_weighted(balances_outcome(s, d), "id", "y", "t", "s", "kernel", 50.0)
+    return shown(M.psm_weighted(balances_outcome(s, d), "id", "y", "t", "s", "kernel", 50.0), "estimand", "n", estimate=7, std_error=7)
 
 
 def balances_outcome(s, d):
@@ -177,10 +179,12 @@ def m18_manipulation(s, d):
     return M.manipulation_test(table(s, d, "part"), "p_size", 25, 5).select("below", "above")
 
 
-@query()
+@query("WITH p AS (SELECT p_retailprice AS y, CAST(p_size >= 25 AND p_partkey % 5 <> 0 AS DOUBLE) AS d, CAST(p_size >= 25 AS DOUBLE) AS t, p_size - 25 AS x, 1 - abs(p_size - 25) / 15.0::DOUBLE AS w FROM part WHERE abs(p_size - 25) < 15), " + swept("o", "p", ["t", "x"], weight="w") + ", " + swept("f", "p", ["t", "x"], "d", weight="w") + f""", j AS (SELECT o.b1 / f.b1 AS late, f.b1 AS first, o.b0 - o.b1 / f.b1 * f.b0 AS c0, o.b2 - o.b1 / f.b1 * f.b2 AS c2 FROM o, f),
+e AS (SELECT w * {shares(["t", "x"])[1]} * (y - c0 - late * d - c2 * x) / first AS u, late, first FROM o_r, j, o)
+SELECT unnest(['late', 'std_error', 'first_stage', 'n']) AS metric, round(unnest([max(late), sqrt(sum(u * u)), max(first), count(*)]), 6) AS value FROM e""")
 def m19_fuzzy_rdd(s, d):
     p = table(s, d, "part").withColumn("d", ((F.col("p_size") >= 25) & (F.col("p_partkey") % 5 != 0)).cast("double"))
-    return metrics(s, M.fuzzy_rdd(p, "p_retailprice", "d", "p_size", 25, 15.0))
+    return shown(metrics(s, M.fuzzy_rdd(p, "p_retailprice", "d", "p_size", 25, 15.0)), "metric", value=6)
 
 
 def regions(s, d):

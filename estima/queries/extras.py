@@ -226,9 +226,10 @@ def w3_stream_kalman(s, d):
     return _drained(W.kalman(_stream(s, d), "user_id", "ts", "value"), "append")
 
 
-@query()
+@query("""SELECT start, start + INTERVAL 1 DAY AS "end", event_type, n, round(total, 4) AS total, round(mean, 6) AS mean, round(sd, 6) AS sd FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, sum(value) AS total, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY 1, 2)
+WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def w4_stream_windows(s, d):
-    return _drained(W.windowed(_stream(s, d), "ts", "value", ["event_type"], "1 day", late="1 hour"), "append")
+    return shown(_drained(W.windowed(_stream(s, d), "ts", "value", ["event_type"], "1 day", late="1 hour"), "append"), "start", "end", "event_type", "n", total=4, mean=6, sd=6)
 
 
 @query("SELECT CAST(count(*) AS DOUBLE) AS n, round(regr_slope(value, user_id), 6) AS slope FROM events")

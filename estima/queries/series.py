@@ -12,7 +12,7 @@ from ..operators import timeseries as N
 from ..operators.optimise import branch_and_bound
 from ..registry import query, table
 from ..streaming import events as W
-from .foundation import line, points, rounded, shown
+from .foundation import KNN, line, points, rounded, shown
 from .sqlfit import inverse, residual, swept
 
 
@@ -133,9 +133,12 @@ def n14_kpss(s, d):
     return frame(s, [(round(r["statistic"], 5), r["n"])], "statistic double, n long")
 
 
-@query()
+@query(f"""WITH o AS (SELECT day, price AS y, n AS x FROM {DAILY}), f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM o), e AS (SELECT day, y - a - b * x AS e FROM o, f), l AS (SELECT e - lag(e) OVER w AS y, lag(e) OVER w AS p, lag(e, 1) OVER w - lag(e, 2) OVER w AS q FROM e WINDOW w AS (ORDER BY day) QUALIFY q IS NOT NULL),
+s AS (SELECT sum(p * p) AS a, sum(p * q) AS b, sum(q * q) AS c, sum(p * y) AS u, sum(q * y) AS v, sum(y * y) AS yy, count(*) AS n FROM l), r AS (SELECT *, (u * c - b * v) / (a * c - b * b) AS b1, (a * v - b * u) / (a * c - b * b) AS b2 FROM s)
+SELECT 'statistic' AS metric, round(b1 / sqrt((yy - b1 * u - b2 * v) / (n - 2) * c / (a * c - b * b)), 5) AS value FROM r UNION ALL SELECT 'beta', round(b, 5) FROM f UNION ALL SELECT 'n', n FROM r""")
 def n15_engle_granger(s, d):
-    return metrics(s, N.engle_granger(daily(s, d), "price", "n", "day"))
+    r = N.engle_granger(daily(s, d), "price", "n", "day")
+    return shown(metrics(s, {k: r[k] for k in ("statistic", "beta", "n")}), "metric", value=5)
 
 
 @query()
@@ -216,12 +219,12 @@ def q5_quantize(s, d):
     return q.select("vec_id", F.round("q.scale", 10).alias("scale"), F.aggregate("q.q", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("total"))
 
 
-@query()
+@query(KNN.replace("rank <= 5", "rank <= 10"))
 def q6_approximate_neighbours(s, d):
     from ..operators.joins import knn_lsh
 
     e = table(s, d, "embeddings")
-    return knn_lsh(e, e.where("vec_id % 50 = 0"), 10, width=0.8)
+    return rounded(knn_lsh(e, e.where("vec_id % 50 = 0"), 10, width=0.8))
 
 
 @query()
@@ -277,9 +280,11 @@ def r2_pagerank(s, d):
     return rounded(graph.pagerank_fixed(graph.build(trade(s, d), "a", "b"), 5), 7)
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM {GRAPH}), n AS (SELECT src AS node, CASE WHEN src IN (0, 1) THEN 1.0::DOUBLE / 2 ELSE 0.0::DOUBLE END AS r FROM g GROUP BY src),
+r(step, node, score) AS (SELECT 0, node, r FROM n UNION ALL SELECT r.step + 1, g.dst, 0.15::DOUBLE * max(n.r) + 0.85 * sum(g.p * r.score) FROM r JOIN g ON g.src = r.node JOIN n ON n.node = g.dst WHERE r.step < 10 GROUP BY r.step, g.dst)
+SELECT node, round(score, 7) AS score FROM r WHERE step = 10""")
 def r3_personalised(s, d):
-    return graph.pagerank(graph.build(trade(s, d), "a", "b"), seeds=[0, 1], rounds=10)
+    return rounded(graph.pagerank(graph.build(trade(s, d), "a", "b"), seeds=[0, 1], rounds=10, tol=0.0), 7)
 
 
 @query()
