@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -347,9 +348,9 @@ def _garch_variance(theta: np.ndarray, e: np.ndarray, kind: str) -> np.ndarray:
         omega, alpha, beta, gamma = theta
     else:
         (omega, alpha, beta), gamma = theta, 0.0
-    for t in range(1, len(e)):
-        v[t] = omega + (alpha + gamma * (e[t - 1] < 0)) * e[t - 1] ** 2 + beta * v[t - 1]
-    return v
+    news = omega + (alpha + gamma * (e[:-1] < 0)) * e[:-1] ** 2
+    beta = float(beta)
+    return np.array(list(accumulate(news.tolist(), lambda last, new: new + beta * last, initial=base)))
 
 
 def fit_garch(returns: np.ndarray, kind: str = "garch", dist: str = "normal") -> dict[str, float]:
@@ -358,16 +359,18 @@ def fit_garch(returns: np.ndarray, kind: str = "garch", dist: str = "normal") ->
     mean, scale = x.mean(), x.std() or 1.0
     e = (x - mean) / scale
     sig = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    # A step may go far out: its infinite variance makes the search take a shorter one.
+    exp = lambda z: math.exp(z) if z < 700 else math.inf
 
     def unpack(u: np.ndarray) -> tuple[np.ndarray, float]:
         if kind == "egarch":
             theta = np.array([u[0], u[1], math.tanh(u[2]), u[3]])
         elif kind == "igarch":
-            theta = np.array([math.exp(u[0]), sig(u[1])])
+            theta = np.array([exp(u[0]), sig(u[1])])
         else:
             total = 0.9999 * sig(u[1])
             alpha = total * sig(u[2])
-            theta = np.array([math.exp(u[0]), alpha, total - alpha])
+            theta = np.array([exp(u[0]), alpha, total - alpha])
             if kind == "gjr":
                 theta = np.append(theta, 2 * (1 - total) * sig(u[3]))
         return theta, 2.05 + math.exp(min(10.0, u[-1])) if dist == "t" else math.inf

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_recovery import frame
 
-from estima.operators import joins, spatial
+from estima.operators import joins, spatial, timeseries
 
 
 def places(spark, n, seed=3):
@@ -89,3 +89,9 @@ def test_multipliers_by_implicit_weights(spark):
     p, rows = places(spark, 150)
     a, b = (spatial.lm_tests(rows, "v", ["a"], k) for k in (joins.distance_weights(p, "i", ["x", "y"], 20.0), spatial.DistanceWeights(p, "i", ["x", "y"], 20.0)))
     assert a[1] == b[1] and np.allclose(a[0].toPandas()["statistic"], b[0].toPandas()["statistic"])
+
+
+def test_garch_of_a_series_that_overflowed(spark):
+    own = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id = 535").select("user_id", F.col("event_id").alias("t"), "value")
+    r = timeseries.garch(own, "user_id", "t", "value").first()
+    assert 0 < r["persistence"] < 1 and r["omega"] > 0 and np.isfinite(r["loglik"])
