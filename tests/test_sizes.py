@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_recovery import frame
 
-from estima.operators import joins, spatial, timeseries
+from estima.operators import hypothesis, joins, spatial, timeseries
 
 
 def places(spark, n, seed=3):
@@ -95,3 +95,16 @@ def test_garch_of_a_series_that_overflowed(spark):
     own = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id = 535").select("user_id", F.col("event_id").alias("t"), "value")
     r = timeseries.garch(own, "user_id", "t", "value").first()
     assert 0 < r["persistence"] < 1 and r["omega"] > 0 and np.isfinite(r["loglik"])
+
+
+def test_shapiro_wilk_of_many_rows(spark):
+    r = np.random.RandomState(5)
+    x = np.round(r.randn(6000), 2)
+    got = hypothesis.shapiro_wilk(frame(spark, x=x), "x").first()
+    assert got["n"] == 6000 and 0.999 < got["statistic"] < 1 and got["p_value"] > 0.01
+    assert hypothesis.shapiro_wilk(frame(spark, x=x**3), "x").first()["p_value"] < 1e-6
+    for few in (x[:4000], np.exp(x[:500])):
+        own = frame(spark, x=few)
+        assert np.isclose(hypothesis._shapiro_of_many(own)[1], hypothesis.shapiro_wilk(own, "x").first()["statistic"], rtol=1e-12)
+    # Half of normal samples of a size lie above the median, whose place the simulations gave.
+    assert 0.4 < hypothesis._shapiro_p(1 - np.exp(0.639) / 10_000, 10_000) < 0.6 and 0.4 < hypothesis._shapiro_p(1 - np.exp(0.812) / 300_000, 300_000) < 0.6
