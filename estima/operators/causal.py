@@ -227,14 +227,14 @@ def aipw(df: DataFrame, y: str, treatment: str, x: Sequence[str], ps: str, trim:
 
 def covariate_matching(df: DataFrame, id_col: str, y: str, treatment: str, x: Sequence[str], k: int = 1) -> DataFrame:
     """ATT by the k nearest controls in Mahalanobis distance: columns are whitened by the Cholesky factor of their
-    covariance, then matched as vectors in blocks."""
+    covariance, then matched as vectors in cells."""
     names = list(x)
     own = complete(df, {"y": y, "t": treatment, **{c: c for c in names}}, [F.col(id_col).cast("long").alias("id")])
     g = gram(own, names)
     white = np.linalg.inv(np.linalg.cholesky(g.cov()))
     vec = F.array(*[sum((F.lit(float(white[i, j])) * (F.col(f"`{c}`") - float(g.mean[j])) for j, c in enumerate(names)), F.lit(0.0)) for i in range(len(names))])
     v = own.select("id", "y", "t", vec.alias("embedding")).withColumn("vec_id", F.col("id"))
-    near = joins.knn_blocks(v.where("t = 0"), v.where("t = 1"), k)
+    near = joins.knn_cells(v.where("t = 0"), v.where("t = 1"), k)
     r = near.join(v.select(F.col("id").alias("vec_id"), F.col("y").alias("cy")), "vec_id").groupBy("query_id").agg(F.avg("cy").alias("cy")).join(v.select(F.col("id").alias("query_id"), "y"), "query_id").select((F.col("y") - F.col("cy")).alias("d")).agg(F.avg("d"), F.stddev_samp("d"), F.count("d")).first()
     return frame(df.sparkSession, [effect_row("ATT", r[0], r[1] / math.sqrt(r[2]), r[2])], EFFECTS)
 

@@ -108,3 +108,16 @@ def test_shapiro_wilk_of_many_rows(spark):
         assert np.isclose(hypothesis._shapiro_of_many(own)[1], hypothesis.shapiro_wilk(own, "x").first()["statistic"], rtol=1e-12)
     # Half of normal samples of a size lie above the median, whose place the simulations gave.
     assert 0.4 < hypothesis._shapiro_p(1 - np.exp(0.639) / 10_000, 10_000) < 0.6 and 0.4 < hypothesis._shapiro_p(1 - np.exp(0.812) / 300_000, 300_000) < 0.6
+
+
+def test_neighbours_by_cells_like_brute_force(spark):
+    r = np.random.RandomState(6)
+    for a, b, k in ((r.randn(900, 2), r.randn(80, 2) * 2, 3), (np.round(r.randn(700, 3)), np.round(r.randn(60, 3) * 2), 2), (r.randint(0, 3, (400, 2)) * 1.0, r.randint(0, 4, (300, 2)) * 1.0, 1), (r.randn(3, 2), r.randn(5, 2), 4)):
+        d = spark.createDataFrame([(int(i) * 2, x.tolist()) for i, x in enumerate(a)], "vec_id long, embedding array<double>")
+        q = spark.createDataFrame([(int(i) * 2 + 1, x.tolist()) for i, x in enumerate(b)], "vec_id long, embedding array<double>")
+        got = {(x["query_id"], x["rank"]): (x["vec_id"], x["distance"]) for x in joins.knn_cells(d, q, k, cell=32).collect()}
+        dist = ((b[:, None] - a) ** 2).sum(2)
+        for i in range(len(b)):
+            for rank, j in enumerate(np.lexsort((np.arange(len(a)), dist[i]))[:k], 1):
+                assert got.pop((i * 2 + 1, rank)) == (j * 2, dist[i, j])
+        assert not got
