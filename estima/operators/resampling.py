@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as D
 from ..functions.result import frame
 from ..plans.gram import number
+from ..plans.storage import written
 from .mediation import poisson_weight
 
 SUMMARY = "estimate double, bias double, std_error double, ci_lower double, ci_upper double, n_reps long"
@@ -36,15 +37,20 @@ def _summary(df: DataFrame, estimate: float, draws: np.ndarray, level: float) ->
     return frame(df.sparkSession, [(estimate, float(draws.mean() - estimate), float(draws.std(ddof=1)), float(low), float(high), len(draws))], SUMMARY)
 
 
-def replicates(df: DataFrame, columns: list[str], statistic: Callable[[np.ndarray], float], reps: int, seed: int = 1, block: int | None = None, order: str | None = None, most: int = 1_000_000) -> tuple[float, DataFrame]:
-    """(the statistic of all rows, (rep, value)): any function of a matrix. The rows, of which there may be so many, go to
-    every task; repetitions are dealt over tasks. block: moving blocks of rows in the order's sequence."""
+def replicates(df: DataFrame, columns: list[str], statistic: Callable[[np.ndarray], float], reps: int, seed: int = 1, block: int | None = None, order: str | None = None, most: int = 32_000_000) -> tuple[float, DataFrame]:
+    """(the statistic of all rows, (rep, value)): any function of a matrix. A matrix of up to most numbers (256 MB)
+    goes to every task and repetitions are dealt over tasks; beyond, each repetition's rows are joined by their places (see
+    _joined), as only one of them need fit a task. block: moving blocks of rows in the order's sequence."""
     rows = df.select(*([F.col(order).alias("__o")] if order else []), *[number(c).alias(c) for c in columns]).dropna()
-    data = rows.limit(most + 1).toPandas()
-    if len(data) > most:
-        raise ValueError("too many rows for an arbitrary statistic; use bootstrap_mean or Poisson weights")
-    x = (data.sort_values("__o") if order else data)[columns].to_numpy()
-    n = len(x)
+    data = rows.limit(most // len(columns) + 1).toArrow()
+    n = data.num_rows
+    if n * len(columns) > most:
+        return _joined(rows, columns, statistic, reps, seed, block, bool(order))
+    x = np.empty((n, len(columns)))
+    at = data.column("__o").to_pandas().sort_values().index.to_numpy() if order else slice(None)
+    for i in range(len(columns)):
+        x[:, i] = data.column(i + (1 if order else 0)).to_numpy()[at]
+    del data
 
     def run(frames):
         for f in frames:
@@ -62,6 +68,32 @@ def replicates(df: DataFrame, columns: list[str], statistic: Callable[[np.ndarra
     return float(statistic(x)), df.sparkSession.range(reps).repartition(min(reps, 64)).mapInPandas(run, "rep long, value double")
 
 
+def _joined(rows: DataFrame, columns: list[str], statistic: Callable[[np.ndarray], float], reps: int, seed: int, block: int | None, ordered: bool) -> tuple[float, DataFrame]:
+    """As replicates, without rows on the driver: hashes draw the places of each repetition, which meet the rows there.
+    Moves reps times the rows."""
+    own = written((rows.orderBy("__o") if ordered else rows).select(F.monotonically_increasing_id().alias("m"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(columns)]))
+    part = F.shiftright("m", 33)
+    sizes = sorted(own.groupBy(part.alias("p")).count().collect())
+    starts, n = [], 0
+    for p, size in sizes:
+        starts.append((p, n))
+        n += size
+    start = frame(own.sparkSession, starts, "p long, start long")
+    own = own.withColumn("p", part).join(F.broadcast(start), "p").select((F.col("start") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"), *[f"x{i}" for i in range(len(columns))])
+    own = written(own)
+    names = [f"x{i}" for i in range(len(columns))]
+
+    def value(rep: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"rep": [rep[0]], "value": [float(statistic(f.sort_values("k")[names].to_numpy(float)))]})
+
+    draw = lambda k, of: F.pmod(F.xxhash64("rep", k, F.lit(seed)), F.lit(of))
+    k = F.col("k")
+    at = draw(F.floor(k / block), n - block + 1) + k % block if block else draw(k, n)
+    places = own.sparkSession.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1)).cast("array<bigint>")).alias("rep")).select("rep", "k", at.alias("at"))
+    point = own.select(F.lit(-1).cast("long").alias("rep"), F.col("at").alias("k"), *names).groupBy("rep").applyInPandas(value, "rep long, value double").first()["value"]
+    return point, places.join(own, "at").select("rep", "k", *names).groupBy("rep").applyInPandas(value, "rep long, value double")
+
+
 def bootstrap(df: DataFrame, columns: list[str], statistic: Callable[[np.ndarray], float], reps: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
     point, draws = replicates(df, columns, statistic, reps, seed)
     return _summary(df, point, draws.toPandas()["value"].to_numpy(), level)

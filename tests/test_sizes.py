@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_recovery import frame
 
-from estima.operators import hypothesis, joins, spatial, timeseries
+from estima.operators import hypothesis, joins, resampling, spatial, timeseries
 
 
 def places(spark, n, seed=3):
@@ -121,3 +121,21 @@ def test_neighbours_by_cells_like_brute_force(spark):
             for rank, j in enumerate(np.lexsort((np.arange(len(a)), dist[i]))[:k], 1):
                 assert got.pop((i * 2 + 1, rank)) == (j * 2, dist[i, j])
         assert not got
+
+
+def test_bootstrap_of_more_than_a_million_rows(spark):
+    own = spark.range(1_200_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("x"))
+    b = resampling.bootstrap(own, ["x"], lambda m: float(np.median(m)), 10).first()
+    assert abs(b["estimate"] - own.agg(F.median("x")).first()[0]) < 1e-12 and b["n_reps"] == 10 and 2e-4 < b["std_error"] < 1e-3
+
+
+def test_bootstrap_by_joined_places(spark):
+    x = np.random.RandomState(8).permutation(300) * 1.0
+    own = frame(spark, x=x, t=x * 2).repartition(5)
+    point, draws = resampling.replicates(own, ["x"], lambda m: float(m.mean()), 200, most=299)
+    v = draws.toPandas()
+    assert np.isclose(point, 149.5) and sorted(v["rep"]) == list(range(200))
+    assert abs(v["value"].std() / (x.std() / np.sqrt(300)) - 1) < 0.2 and abs(v["value"].mean() - 149.5) < 1.5
+    # Whole blocks of neighbours in the order: steps of one but where a block begins.
+    point, draws = resampling.replicates(own, ["x"], lambda m: float((np.diff(m[:, 0]) == 1).sum() + len(m) / 1000), 20, 3, 20, "t", most=299)
+    assert np.isclose(point, 299.3) and all(285 <= r["value"] - 0.3 <= 299 for r in draws.collect())
